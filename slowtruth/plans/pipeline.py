@@ -1,0 +1,187 @@
+"""The guarded evaluation: score, route and grade every matched event, over history."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from slowtruth.functions import expr
+from slowtruth.operators import learn, scan
+from slowtruth.operators.models import Settings
+from slowtruth.operators.scan import BLOCK, ROW, stage_order, with_block
+
+# The model key. More columns (plant, line) give more independent model sets and more parallel tasks.
+MODEL_KEYS = ("steel_grade",)
+ORDER = ("evaluation_timestamp", "slab_id", "pass_number")
+
+RESULT_COLUMNS = (
+    "evaluation_timestamp", "steel_grade", "slab_id", "pass_number", "baseline_roll_force_kn",
+    "target_mean_roll_force_kn", "sgd_roll_force_kn", "am_rules_roll_force_kn", "actual_roll_force_kn",
+    "baseline_ape", "target_mean_ape", "sgd_ape", "am_rules_ape", "am_rules_shadow_ape", "wear_level",
+    "is_am_rules_fallback",
+)
+X = tuple(f"x{i}" for i in range(len(expr.FEATURE_NAMES)))
+
+
+def matched_rows(pairs: DataFrame, keys: Sequence[str] = MODEL_KEYS) -> DataFrame:
+    """Flat rows for the models from matched (a, b) structs: time and wear from b, the rest from a."""
+    extra = [F.col(f"a.{k}").alias(k) for k in keys if k != "steel_grade"]
+    vector = expr.feature_vector(F.col("a.features"))
+    flat = pairs.select(
+        F.col("b.ts").alias("evaluation_timestamp"),
+        F.col("a.steel_grade").alias("steel_grade"),
+        F.col("a.slab_id").alias("slab_id"),
+        F.col("a.pass_number").alias("pass_number"),
+        *extra,
+        F.col("a.baseline_roll_force_kn").alias("baseline"),
+        F.col("b.actual_roll_force_kn").alias("actual"),
+        F.col("b.wear_level").alias("wear_level"),
+        vector.alias("_x"),
+    )
+    return flat.select(
+        "*", *[F.col("_x")[i].alias(x) for i, x in enumerate(X)],
+        expr.residual(F.col("actual"), F.col("baseline")).alias("residual"),
+    ).drop("_x")
+
+
+def stage_matched(pairs: DataFrame, keys: Sequence[str] = MODEL_KEYS) -> DataFrame:
+    return stage_order(matched_rows(pairs, keys), keys, ORDER, "matched")
+
+
+def target_mean_model(staged: DataFrame, keys: Sequence[str] = MODEL_KEYS, rate: float = 0.02) -> DataFrame:
+    """Adds ``target_mean_residual``: the moving average of the earlier residuals."""
+    return scan.ewma(staged, keys, {"residual": "_tm"}, rate).withColumnRenamed(
+        "_tm_prior", "target_mean_residual"
+    ).drop("_tm")
+
+
+def trust_scores(rows: DataFrame, keys: Sequence[str], model_ape: str, baseline_ape: str, rate: float = 0.2):
+    """Adds ``model_trust`` and ``baseline_trust`` as the router sees them: before this row."""
+    columns = {model_ape: "_mt", baseline_ape: "_bt"}
+    return (
+        scan.ewma(rows, keys, columns, rate)
+        .withColumnRenamed("_mt_prior", "model_trust").withColumnRenamed("_bt_prior", "baseline_trust")
+        .drop("_mt", "_bt")
+    )
+
+
+def shadow_route(
+    rows: DataFrame, challenger: str, keys: Sequence[str] = MODEL_KEYS, settings: Settings = Settings()
+) -> DataFrame:
+    """Guard any challenger given as a residual column.
+
+    ``rows`` must carry the row id of a staged table, baseline and actual. Adds the raw and routed
+    force, both errors, the trust scores, the two guards and the flag.
+    """
+    b, a, r = F.col("baseline"), F.col("actual"), F.col(challenger)
+    scored = rows.select(
+        "*", (b + r).alias("raw_force"), expr.ape(b, a).alias("baseline_ape"), expr.ape(b + r, a).alias("shadow_ape")
+    )
+    scored = trust_scores(scored, keys, "shadow_ape", "baseline_ape", settings.trust_rate)
+    return route(scored, r, settings)
+
+
+def route(scored: DataFrame, challenger: Column, settings: Settings = Settings()) -> DataFrame:
+    b, a = F.col("baseline"), F.col("actual")
+    guarded = scored.withColumn(
+        "unsafe", expr.unsafe_predicate(challenger, b, settings.overpress, settings.underpress)
+    ).withColumn(
+        "untrusted",
+        expr.untrusted_predicate(F.col("model_trust"), F.col("baseline_trust"), settings.trust_tolerance),
+    )
+    return (
+        guarded.withColumn("fallback", expr.fallback_flag(F.col("unsafe") | F.col("untrusted")))
+        .withColumn("routed_force", F.when(F.col("fallback") == 1, b).otherwise(F.col("raw_force")))
+        .withColumn("safe_ape", expr.ape(F.col("routed_force"), a))
+    )
+
+
+def guarded_target_mean(pairs: DataFrame, keys: Sequence[str] = MODEL_KEYS, settings: Settings = Settings()):
+    """Would the guarded offset model have beaten the physics? The smallest complete evaluation."""
+    rows = target_mean_model(stage_matched(pairs, keys), keys, settings.mean_rate)
+    return shadow_route(rows, "target_mean_residual", keys, settings)
+
+
+def prequential_eval(
+    pairs: DataFrame,
+    keys: Sequence[str] = MODEL_KEYS,
+    settings: Settings = Settings(),
+    state: dict[str, DataFrame] | None = None,
+    rows_per_round: int = learn.ROWS_PER_ROUND,
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The 16-column result row of every matched event, and the models to resume from.
+
+    ``state`` is what an earlier call returned; the new rows must come later than those.
+    Everything but the rule learner runs in blocks over the whole cluster. The learner is
+    sequential by nature, so its pass gets only what it needs and is parallel by key.
+    """
+    state = state or {}
+    staged = stage_matched(pairs, keys)
+    keys = list(keys)
+    blocked = with_block(staged)
+    offset = scan.ewma_carry(
+        with_block(staged, scan.ewma_bits(settings.mean_rate)), keys, {"residual": "_tm"}, settings.mean_rate,
+        state.get("offset"), with_final=True,
+    )
+    moments = scan.moments_carry(blocked, keys, X, state.get("moments"), with_final=True)
+    rows = scan.apply_ewma(
+        with_block(staged, scan.ewma_bits(settings.mean_rate)), _started(offset), keys, {"residual": "_tm"},
+        settings.mean_rate,
+    ).withColumnRenamed("_tm_prior", "target_mean_residual").drop("_tm")
+    z = [f"{x}_z" for x in X]
+    blocks = with_block(rows)
+    weights = learn.sgd_carry(
+        blocked, _started(moments), keys, X, "residual", settings.sgd_rate, settings.sgd_decay,
+        state.get("weights"), with_final=True,
+    )
+    scored = learn.apply_sgd(
+        blocks, _started(moments), _started(weights), keys, X, "residual", settings.sgd_rate, settings.sgd_decay
+    )
+    scored = learn.materialize(scored, "scored")
+    routed, rules = learn.amrules_prequential(
+        scored, keys, z, settings=settings, initial=state.get("rules"), rows_per_round=rows_per_round
+    )
+    joined = scored.drop(*z, "baseline_ape").join(routed.drop("baseline", "actual"), [*keys, ROW])
+    b, a = F.col("baseline"), F.col("actual")
+    mean_force = expr.final_force(b, F.col("target_mean_residual"))
+    sgd_force = expr.final_force(b, F.col("sgd_residual"))
+    extra = [k for k in keys if k not in RESULT_COLUMNS]
+    result = joined.select(
+        *extra, "evaluation_timestamp", "steel_grade", "slab_id", "pass_number",
+        b.alias("baseline_roll_force_kn"),
+        mean_force.alias("target_mean_roll_force_kn"),
+        sgd_force.alias("sgd_roll_force_kn"),
+        F.col("routed_force").alias("am_rules_roll_force_kn"),
+        a.alias("actual_roll_force_kn"),
+        "baseline_ape",
+        expr.ape(mean_force, a).alias("target_mean_ape"),
+        expr.ape(sgd_force, a).alias("sgd_ape"),
+        F.col("safe_ape").alias("am_rules_ape"),
+        F.col("shadow_ape").alias("am_rules_shadow_ape"),
+        "wear_level",
+        F.col("fallback").alias("is_am_rules_fallback"),
+    )
+    after = {
+        "offset": _final(offset), "moments": _final(moments), "weights": _final(weights), "rules": rules,
+    }
+    return result, {name: after[name] for name in after}
+
+
+def _started(carry: DataFrame) -> DataFrame:
+    return carry.where(F.col(BLOCK).isNotNull())
+
+
+def _final(carry: DataFrame) -> DataFrame:
+    return carry.where(F.col(BLOCK).isNull()).drop(BLOCK)
+
+
+def write_checkpoint(state: dict[str, DataFrame], path: str) -> None:
+    """Save the models of every key as tables; ``read_checkpoint`` resumes from them."""
+    for name, table in state.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_checkpoint(spark, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("offset", "moments", "weights", "rules")}
