@@ -121,18 +121,26 @@ class KeyModels:
 class RulesAndRouter:
     """The part of the model set that cannot be split: rule learner, then router, over scored rows."""
 
+    STRETCH = 256
+
     def __init__(self, columns: list[str], settings: Settings):
         self.columns, self.settings = columns, settings
         self.rules, self.router = AdaptiveRules(len(columns), settings.rules), Router(settings)
 
     def run(self, pdf):
         z = np.column_stack([pdf[c].to_numpy(dtype=float) for c in self.columns])
-        answer_to, route = self.rules.predict_and_train, self.router.step
-        found = []
-        rows = zip(z, z.tolist(), (z * z).sum(axis=1).tolist(), pdf["baseline"].tolist(), pdf["actual"].tolist())
-        for zi, values, norm, b, a in rows:
-            answer = answer_to(zi, a - b, values, norm)
-            found.append((answer, *route(b, answer, a)))
+        norms, baseline, actual = (z * z).sum(axis=1).tolist(), pdf["baseline"].tolist(), pdf["actual"].tolist()
+        rules, route, found, at = self.rules, self.router.step, [], 0
+        while at < len(z):
+            # Owners are looked up for a stretch of rows at once, and again when the rule set changes.
+            version, owners = rules.version, rules.owners(z[at: at + self.STRETCH])
+            for rule in owners:
+                b, a = baseline[at], actual[at]
+                answer = rules.step(rule, z[at], a - b, norms[at])
+                found.append((answer, *route(b, answer, a)))
+                at += 1
+                if rules.version != version:
+                    break
         out = pdf.drop(columns=self.columns)
         names = ["rules_residual", "routed_force", "fallback", "baseline_ape", "shadow_ape", "safe_ape"]
         for name, values in zip(names, zip(*found)):

@@ -85,13 +85,26 @@ class AdaptiveRules:
         self.rules: list[Rule] = []
         self.default = Rule(width, params)
         self.count, self.y_mean, self.y_m2 = 0, 0.0, 0.0
-        self.alarms = 0
-
-    def predict_and_train(self, z: np.ndarray, y: float, values=None, norm=None) -> float:
-        """``values`` and ``norm`` (z as a list, and its squared length) spare a caller with many rows the work."""
-        if values is None:
-            values, norm = z.tolist(), float(z @ z)
+        self.alarms, self.version = 0, 0
+
+    def owners(self, z: np.ndarray) -> list[Rule]:
+        """The rule that answers each row, as long as ``version`` stays the same."""
+        owner = np.full(len(z), len(self.rules))
+        for i in range(len(self.rules) - 1, -1, -1):
+            inside = np.ones(len(z), dtype=bool)
+            for feature, above, cut in self.rules[i].literals:
+                inside &= (z[:, feature] > cut) == above
+            owner[inside] = i
+        listed = [*self.rules, self.default]
+        return [listed[i] for i in owner.tolist()]
+
+    def predict_and_train(self, z: np.ndarray, y: float) -> float:
+        values = z.tolist()
         rule = next((r for r in self.rules if r.covers(values)), self.default)
+        return self.step(rule, z, y, float(z @ z))
+
+    def step(self, rule: Rule, z: np.ndarray, y: float, norm: float) -> float:
+        """Answer by, and train, the given owner; ``norm`` is the squared length of z."""
         mean = rule.total / rule.n if rule.n else 0.0
         linear = rule.bias + float(rule.weights.dot(z))
         answer = mean if rule.mean_error < rule.linear_error else linear
@@ -126,6 +139,7 @@ class AdaptiveRules:
 
     def _prune(self, rule: Rule) -> None:
         """A rule whose error has lastingly grown is dropped; the default rule starts afresh."""
+        self.version += 1
         if rule is self.default:
             self.default = Rule(self.width, self.params)
         else:
@@ -141,6 +155,7 @@ class AdaptiveRules:
         bound = math.sqrt(math.log(1.0 / self.params.delta) / (2.0 * rule.n))
         if gain <= 0.0 or not (second / gain + bound < 1.0 or bound < self.params.tie):
             return
+        self.version += 1
         literal = (feature, above, float(self.cuts[cut]))
         if rule is self.default:
             self.rules.append(Rule(self.width, self.params, [literal], rule.weights, rule.bias))
