@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The 13 measured features in model order and the value used when one is missing.
@@ -53,6 +53,15 @@ GRADE_HARDNESS = {"structural": 18000.0, "microalloyed": 28000.0, "high_alloy":
 WEAR_PENALTY_RATE = 0.40
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is evaluated once per row.
+
+    Filters pushed down through a plain projection copy its expressions, so a JSON parse or a map
+    lookup would run again for each mention. Nothing is copied across a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def feature_value(features: Column, name: str) -> Column:
     """One entry of the feature map, or its default."""
     return F.coalesce(F.try_element_at(features, F.lit(name)), F.lit(FEATURE_DEFAULTS[name]))

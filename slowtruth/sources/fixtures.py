@@ -91,10 +91,11 @@ def feature_map(optional: bool = True) -> Column:
 def requests(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """Prediction requests, flat. Some passes have none, so that their ground truth is an orphan."""
     rows = source if source is not None else passes(spark, sf_dir)
-    return rows.where("(o + p) % 50 != 1").select(
+    rows = expr.once(rows.where("(o + p) % 50 != 1"), "features", feature_map())
+    return rows.select(
         "slab_id", "pass_number", "steel_grade",
         F.col("requested_at").alias("ts"),
-        feature_map().alias("features"),
+        "features",
         F.col("baseline").alias("baseline_roll_force_kn"),
     )
 
@@ -154,55 +155,3 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrapped = F.when(F.col("p") % 2 == 1, F.concat(F.lit('{"value":'), "body", F.lit("}"))).otherwise(F.col("body"))
     text = F.when(F.col("o") % 97 == 0, F.expr("substring(body, 1, 40)")).otherwise(F.col("body"))
     return sent.withColumn("body", wrapped).withColumn("body", text)
-
-
-# --- the same mapping as SQL, for the oracles -------------------------------------------------
-
-PASSES_SQL = """
-lines AS (
-  SELECT l_orderkey AS o, CAST(l_linenumber AS INTEGER) AS p, l_partkey, l_suppkey, l_quantity, l_extendedprice,
-         l_discount, l_tax, l_shipdate
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey,
-          l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS rn FROM lineitem) WHERE rn = 1),
-base AS (
-  SELECT o, p, CAST(o AS VARCHAR) AS slab_id, p AS pass_number,
-    CASE o % 3 WHEN 0 THEN 'structural' WHEN 1 THEN 'microalloyed' ELSE 'high_alloy' END AS steel_grade,
-    CAST(l_shipdate AS TIMESTAMP) + to_minutes(CAST(o % 1440 AS INTEGER)) + to_seconds(10 * p) AS requested_at,
-    CAST(2 + floor(l_quantity / 10) AS INTEGER) AS delay, l_shipdate, l_tax,
-    15 + CAST(4.7 AS DOUBLE) * l_quantity AS entry_thickness_mm,
-    1613 + CAST(floor(l_extendedprice) AS DOUBLE) % 2500 AS width_mm,
-    1794 + 10 * CAST(l_partkey % 3600 AS DOUBLE) AS length_mm,
-    889 + CAST((37 * l_suppkey + 11 * o) % 344 AS DOUBLE) AS temperature_c,
-    round(CAST(0.01 AS DOUBLE) + 3 * l_discount, 3) AS reduction_pct,
-    135 + CAST(l_partkey % 1000 AS DOUBLE) AS reheating_time_min,
-    1042 + CAST(l_suppkey % 80 AS DOUBLE) AS roll_diameter_mm,
-    CAST(o % 217 AS DOUBLE) AS roll_crown_mm,
-    CAST(1.5 AS DOUBLE) + l_quantity * CAST(0.08 AS DOUBLE) AS speed_m_s,
-    6 + CAST(l_partkey % 219 AS DOUBLE) AS wait_time_sec,
-    CAST(0.02 AS DOUBLE) + l_discount * 5 AS strain,
-    CAST(0.5 AS DOUBLE) + l_quantity * CAST(0.3 AS DOUBLE) AS strain_rate
-  FROM lines),
-forced AS (
-  SELECT *,
-    round(CASE steel_grade WHEN 'structural' THEN 18000e0 WHEN 'microalloyed' THEN 28000e0 ELSE 45000e0 END
-          * width_mm * (entry_thickness_mm * reduction_pct) / greatest(temperature_c, 1e0), 2) AS baseline,
-    CASE steel_grade WHEN 'structural' THEN 0e0
-      WHEN 'high_alloy' THEN CASE WHEN l_shipdate >= TIMESTAMP '1998-07-01' THEN 60e0 ELSE 0e0 END
-      ELSE 60e0 * abs(CAST(((date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 730) + 730) % 730
-                           AS DOUBLE) / 365 - 1) END AS wear_level
-  FROM base),
-passes AS (
-  SELECT *,
-    round(greatest(baseline * (1 + pow(greatest(0e0, least(wear_level, 100e0)) / 100, 1.5e0) * 0.4e0
-        * (greatest(0.1e0, (1250 - temperature_c) / 200) * (100 / greatest(entry_thickness_mm, 10e0))
-           * (1 + reduction_pct)))
-      + CAST((31 * o + 17 * p) % 2001 - 1000 AS DOUBLE) / 1000 * 800, 0e0), 2) AS actual,
-    requested_at + to_seconds(delay) AS measured_at
-  FROM forced)"""
-
-# Passes whose two events are both present and lie closer than the time limit, in the total order.
-MATCHED_SQL = PASSES_SQL + """,
-matched AS (
-  SELECT *, row_number() OVER (PARTITION BY steel_grade ORDER BY measured_at, slab_id, pass_number) AS rn,
-    actual - baseline AS residual
-  FROM passes WHERE (o + p) % 50 NOT IN (0, 1))"""

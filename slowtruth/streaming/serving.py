@@ -8,10 +8,11 @@ it equals the batch result when each micro-batch is complete in time.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,6 +31,7 @@ STREAM_SETTINGS = {
 _EVENT = (
     "at long, side string, steel_grade string, x array<double>, baseline double, actual double, wear_level double"
 )
+_FIELDS = [part.strip().split(" ")[0] for part in _EVENT.split(",")]
 PAIR_SCHEMA = (
     "slab_id string, pass_number int, status string, event_ts timestamp, a_at long, b_at long, "
     "steel_grade string, x array<double>, baseline double, actual double, wear_level double"
@@ -70,97 +72,71 @@ class PairProcessor(StatefulProcessor):
         self.handle = handle
         self.slot = handle.getValueState("slot", _EVENT)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["at", "side"], kind="stable")
-        waiting = self._load()
-        timer = self._deadline(waiting)
-        found = []
-        for event in events.to_dict("records"):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = sorted((r.asDict() for r in rows), key=lambda e: (e["at"], e["side"]))
+        stored = self._load()
+        waiting = stored
+        for event in events:
             expired = waiting is not None and waiting["at"] + self.ttl <= event["at"]
             if waiting is None:
                 waiting = event
             elif expired or waiting["side"] == event["side"]:
-                found.append(_lost(key, waiting, "orphan" if expired else "superseded"))
+                yield _lost(key, waiting, "orphan" if expired else "superseded")
                 waiting = event
             else:
                 a, b = (waiting, event) if waiting["side"] == "A" else (event, waiting)
-                found.append(_pair(key, a, b, event["at"]))
+                yield _pair(key, a, b, event["at"])
                 waiting = None
-        self._store(waiting, timer)
-        if found:
-            yield _frame(found)
+        self._store(stored, waiting)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         waiting = self._load()
         if waiting is not None and self._deadline(waiting) <= expiredTimerInfo.getExpiryTimeInMs():
             self.slot.clear()
-            yield _frame([_lost(key, waiting, "orphan")])
+            yield _lost(key, waiting, "orphan")
 
     def close(self) -> None:
         pass
 
-    def _deadline(self, event):
+    def _deadline(self, event) -> int:
         """Timer of a waiting event in milliseconds, rounded up so that it never fires early."""
-        return None if event is None else -(-(event["at"] + self.ttl) // 1000)
+        return -(-(event["at"] + self.ttl) // 1000)
 
     def _load(self):
-        if not self.slot.exists():
-            return None
-        names = [part.strip().split(" ")[0] for part in _EVENT.split(",")]
-        return dict(zip(names, self.slot.get()))
-
-    def _store(self, waiting, timer) -> None:
-        deadline = self._deadline(waiting)
-        if timer is not None and timer != deadline:
-            self.handle.deleteTimer(timer)
-        if waiting is None:
+        return dict(zip(_FIELDS, self.slot.get())) if self.slot.exists() else None
+
+    def _store(self, before, after) -> None:
+        """Touch the state store and the timers only where something changed: most keys pair in one go."""
+        if after is before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(self._deadline(before))
+        if after is None:
             self.slot.clear()
             return
-        x = waiting["x"]
-        self.slot.update((
-            int(waiting["at"]), waiting["side"], _text(waiting["steel_grade"]),
-            None if x is None or np.ndim(x) == 0 else [float(v) for v in x],
-            _number(waiting["baseline"]), _number(waiting["actual"]), _number(waiting["wear_level"]),
-        ))
-        if timer != deadline:
-            self.handle.registerTimer(deadline)
-
-
-def _time(at: int) -> pd.Timestamp:
-    """Zoned, so that no session time zone is applied to it."""
-    return pd.Timestamp(int(at), unit="us", tz="UTC")
+        self.slot.update(tuple(after[name] for name in _FIELDS))
+        self.handle.registerTimer(self._deadline(after))
 
 
-def _frame(found: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame(found)
-    return frame.astype({"a_at": "Int64", "b_at": "Int64"})
+def _time(at: int) -> datetime:
+    return datetime.fromtimestamp(at // 1_000_000, timezone.utc).replace(microsecond=at % 1_000_000)
 
 
-def _text(value):
-    return value if isinstance(value, str) else None
-
-
-def _number(value):
-    return None if value is None or value != value else float(value)
-
-
-def _lost(key, event, status: str) -> dict:
-    side_a = event["side"] == "A"
-    return {
-        "slab_id": key[0], "pass_number": key[1], "status": status, "event_ts": _time(event["at"]),
-        "a_at": event["at"] if side_a else None, "b_at": None if side_a else event["at"],
-        "steel_grade": _text(event["steel_grade"]), "x": event["x"] if side_a else None,
-        "baseline": _number(event["baseline"]), "actual": _number(event["actual"]),
-        "wear_level": _number(event["wear_level"]),
-    }
+def _lost(key, event, status: str) -> Row:
+    at = event["at"]
+    a_at, b_at = (at, None) if event["side"] == "A" else (None, at)
+    return Row(
+        slab_id=key[0], pass_number=key[1], status=status, event_ts=_time(at), a_at=a_at, b_at=b_at,
+        steel_grade=event["steel_grade"], x=event["x"], baseline=event["baseline"], actual=event["actual"],
+        wear_level=event["wear_level"],
+    )
 
 
-def _pair(key, a, b, at) -> dict:
-    return {
-        "slab_id": key[0], "pass_number": key[1], "status": "matched", "event_ts": _time(at), "a_at": a["at"], "b_at": b["at"],
-        "steel_grade": a["steel_grade"], "x": a["x"], "baseline": a["baseline"], "actual": b["actual"],
-        "wear_level": b["wear_level"],
-    }
+def _pair(key, a, b, at: int) -> Row:
+    return Row(
+        slab_id=key[0], pass_number=key[1], status="matched", event_ts=_time(at), a_at=a["at"], b_at=b["at"],
+        steel_grade=a["steel_grade"], x=a["x"], baseline=a["baseline"], actual=b["actual"], wear_level=b["wear_level"],
+    )
 
 
 def pair_stream(tagged: DataFrame, ttl: float = DEFAULT_TTL, delay: str = "5 minutes") -> DataFrame:
@@ -168,7 +144,7 @@ def pair_stream(tagged: DataFrame, ttl: float = DEFAULT_TTL, delay: str = "5 min
     return (
         tagged.withWatermark("ts", delay)
         .groupBy("slab_id", "pass_number")
-        .transformWithStateInPandas(
+        .transformWithState(
             PairProcessor(ttl), outputStructType=PAIR_SCHEMA, outputMode="Append", timeMode="EventTime",
             eventTimeColumnName="event_ts",
         )
