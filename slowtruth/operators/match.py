@@ -109,22 +109,22 @@ def _by_key(tagged, keys, order, ttl) -> DataFrame:
     upto = win.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = tagged.select(
         "*",
-        F.lag(_event()).over(win).alias("prev"),
+        F.lag(_event()).over(win).alias("_prev"),
         F.row_number().over(win).alias("_rn"),
         F.lead(F.lit(True), 1, False).over(win).alias("_next"),
     )
-    rows = rows.withColumn("linked", _linked(ttl))
+    rows = rows.withColumn("_linked", _linked(ttl))
     # Same partitioning and order as above: no new shuffle or sort.
-    rows = rows.withColumn("k", F.col("_rn") - F.max(F.when(~F.col("linked"), F.col("_rn"))).over(upto))
+    rows = rows.withColumn("_k", F.col("_rn") - F.max(F.when(~F.col("_linked"), F.col("_rn"))).over(upto))
     return rows.select(
-        *keys, "ts", "side", "a", "b", "prev", "linked", "k",
-        F.lag("k", 1, 1).over(win).alias("prev_k"),
-        (~F.col("_next")).alias("is_last"),
+        *keys, "ts", "side", "a", "b", "_prev", "_linked", "_k",
+        F.lag("_k", 1, 1).over(win).alias("_prev_k"),
+        (~F.col("_next")).alias("_is_last"),
     )
 
 
 def _linked(ttl) -> Column:
-    prev = F.col("prev")
+    prev = F.col("_prev")
     linked = (prev["side"] != F.col("side")) & ~_expired(prev["ts"], F.col("ts"), ttl)
     return F.coalesce(linked, F.lit(False))
 
@@ -144,37 +144,37 @@ def _by_block(tagged, keys, order, ttl) -> DataFrame:
     )
     rows = (
         rows.join(ends, [*keys, BLOCK])
-        .withColumn("prev", F.coalesce("_local", "_before"))
-        .withColumn("linked", _linked(ttl))
+        .withColumn("_prev", F.coalesce("_local", "_before"))
+        .withColumn("_linked", _linked(ttl))
     )
     runs = rows.groupBy(*keys, BLOCK).agg(
         F.count(F.lit(1)).alias("_n"),
-        (F.max(ROW) - F.max(F.when(~F.col("linked"), F.col(ROW)))).alias("_run"),
+        (F.max(ROW) - F.max(F.when(~F.col("_linked"), F.col(ROW)))).alias("_run"),
     ).withColumn("_run", F.coalesce("_run", F.lit(-1)))
     carry = carry_in(
         runs, keys, "_k0 long", (-1,), lambda held, b: (b[1] if b[1] >= 0 else held[0] + b[0],), ["_n", "_run"]
     )
     upto = win.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_reset", F.max(F.when(~F.col("linked"), F.col(ROW))).over(upto)).withColumn(
+    rows = rows.withColumn("_reset", F.max(F.when(~F.col("_linked"), F.col(ROW))).over(upto)).withColumn(
         "_i", F.row_number().over(win)
     )
     rows = rows.join(carry, [*keys, BLOCK]).withColumn(
-        "k", F.when(F.col("_reset").isNotNull(), F.col(ROW) - F.col("_reset")).otherwise(F.col("_k0") + F.col("_i"))
+        "_k", F.when(F.col("_reset").isNotNull(), F.col(ROW) - F.col("_reset")).otherwise(F.col("_k0") + F.col("_i"))
     )
-    rows = rows.withColumn("_lag_k", F.lag("k").over(win))
+    rows = rows.withColumn("_lag_k", F.lag("_k").over(win))
     return rows.select(
-        *keys, "ts", "side", "a", "b", "prev", "linked", "k",
-        F.coalesce("_lag_k", F.when(F.col("_k0") >= 0, F.col("_k0")), F.lit(1)).alias("prev_k"),
-        (~F.col("_next") & ~F.col("_more")).alias("is_last"),
+        *keys, "ts", "side", "a", "b", "_prev", "_linked", "_k",
+        F.coalesce("_lag_k", F.when(F.col("_k0") >= 0, F.col("_k0")), F.lit(1)).alias("_prev_k"),
+        (~F.col("_next") & ~F.col("_more")).alias("_is_last"),
     )
 
 
 def _resolve(rows: DataFrame, keys: Sequence[str], ttl, horizon) -> DataFrame:
     """Say what became of each event: its successor decides, or the end of the input."""
-    prev = F.col("prev")
+    prev = F.col("_prev")
     a_type, b_type = rows.schema["a"].dataType, rows.schema["b"].dataType
-    closes = (F.col("k") % 2) == 1
-    prev_stored = prev.isNotNull() & ((F.col("prev_k") % 2) == 0)
+    closes = (F.col("_k") % 2) == 1
+    prev_stored = prev.isNotNull() & ((F.col("_prev_k") % 2) == 0)
     none_a, none_b = F.lit(None).cast(a_type), F.lit(None).cast(b_type)
     pair = F.when(
         closes,
@@ -189,7 +189,7 @@ def _resolve(rows: DataFrame, keys: Sequence[str], ttl, horizon) -> DataFrame:
         ),
     )
     left = F.when(
-        F.col("is_last") & ~closes,
+        F.col("_is_last") & ~closes,
         F.struct(F.lit("waiting").alias("status"), F.col("ts").alias("ts"), F.col("a").alias("a"), F.col("b").alias("b")),
     )
     out = rows.select(*keys, F.explode(F.array_compact(F.array(pair, lost, left))).alias("e")).select(*keys, "e.*")

@@ -41,8 +41,9 @@ def stage_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], label:
     return materialize(ranged.withColumn(ROW, F.monotonically_increasing_id()), label)
 
 
-def with_block(staged: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    return staged.withColumn(BLOCK, F.shiftright(F.col(ROW), bits))
+def with_block(staged: DataFrame, bits: int | None = None) -> DataFrame:
+    """Adds the block number: ``2**bits`` consecutive row ids (``2**BLOCK_BITS`` unless given)."""
+    return staged.withColumn(BLOCK, F.shiftright(F.col(ROW), BLOCK_BITS if bits is None else bits))
 
 
 def block_window(keys: Sequence[str]):
