@@ -411,7 +411,7 @@ def serve_stream(spark, sf):
         query.awaitTermination()
         if query.exception():
             raise query.exception()
-    return spark.read.schema(sinks.METRICS_SCHEMA).parquet(out)
+    return spark.read.schema(sinks.METRICS_SCHEMA).parquet(out).select(*pipeline.RESULT_COLUMNS)
 
 
 # --- reports ---
