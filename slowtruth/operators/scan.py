@@ -127,36 +127,50 @@ def ewma(
     columns: dict[str, str],
     rate: float,
     initial: DataFrame | None = None,
+    bits: int | None = None,
 ) -> DataFrame:
     """Exponential moving averages s <- rate*x + (1-rate)*s with s = 0 before the first row.
 
     ``columns`` maps an input column to the name of its average. Adds that name (the value
     after the row) and ``<name>_prior`` (before it, what a predictor may use).
     Inside a block the average is a weighted running sum; block sizes keep the weights finite.
+    With ``bits`` the block column stays, and a following step with the same ``bits`` finds its
+    rows already together: no second shuffle.
     """
+    size = ewma_bits(rate) if bits is None else bits
+    if size > ewma_bits(rate):
+        raise ValueError("blocks too large for this rate")
+    rows = staged if bits is not None and BLOCK in staged.columns else with_block(staged, size)
+    carry = ewma_carry(rows, keys, columns, rate, initial, bits=size)
+    found = apply_ewma(rows, carry, keys, columns, rate, size)
+    return found if bits is not None else found.drop(BLOCK)
+
+
+def ewma_bits(rate: float) -> int:
+    """Largest block for which the growing weight (1-rate)**-n stays far from overflow."""
     if not 0.0 < rate < 1.0:
         raise ValueError("rate must lie strictly between 0 and 1")
-    rows = with_block(staged, ewma_bits(rate))
-    carry = ewma_carry(rows, keys, columns, rate, initial)
-    return apply_ewma(rows, carry, keys, columns, rate)
+    return max(0, min(BLOCK_BITS, int(math.log2(575.0 / -math.log1p(-rate)))))
 
 
-def _position(rate: float) -> Column:
-    return F.col(ROW).bitwiseAND((1 << ewma_bits(rate)) - 1).cast("double")
+def _position(bits: int) -> Column:
+    return F.col(ROW).bitwiseAND((1 << bits) - 1).cast("double")
 
 
-def _grown(column: str, rate: float) -> Column:
-    return F.col(column) * rate * F.pow(F.lit(1.0 - rate), -_position(rate))
+def _grown(column: str, rate: float, bits: int) -> Column:
+    return F.col(column) * rate * F.pow(F.lit(1.0 - rate), -_position(bits))
 
 
-def ewma_carry(rows, keys, columns, rate, initial=None, with_final=False) -> DataFrame:
+def ewma_carry(rows, keys, columns, rate, initial=None, with_final=False, bits=None) -> DataFrame:
+    """Averages before each block, ``_c_<name>``."""
+    bits = ewma_bits(rate) if bits is None else bits
     outs = list(columns.values())
     summary = (
         rows.groupBy(*keys, BLOCK)
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.max(_position(rate)).alias("_last"),
-            *[F.sum(_grown(c, rate)).alias(f"_sum_{o}") for c, o in columns.items()],
+            F.max(_position(bits)).alias("_last"),
+            *[F.sum(_grown(c, rate, bits)).alias(f"_sum_{o}") for c, o in columns.items()],
         )
         .select(
             *keys, BLOCK, "_n",
@@ -175,18 +189,28 @@ def ewma_carry(rows, keys, columns, rate, initial=None, with_final=False) -> Dat
     )
 
 
-def apply_ewma(rows, carry, keys, columns, rate) -> DataFrame:
+def apply_ewma(rows, carry, keys, columns, rate, bits=None) -> DataFrame:
+    bits = ewma_bits(rate) if bits is None else bits
     before = block_window(keys).rowsBetween(Window.unboundedPreceding, -1)
     keep = F.lit(1.0 - rate)
-    local = rows.withColumn("_k", (F.row_number().over(block_window(keys)) - 1).cast("double"))
-    for c, o in columns.items():
-        local = local.withColumn(f"_l_{o}", F.coalesce(F.sum(_grown(c, rate)).over(before), F.lit(0.0)))
+    local = rows.select(
+        "*",
+        (F.row_number().over(block_window(keys)) - 1).cast("double").alias("_k"),
+        *[
+            F.coalesce(F.sum(_grown(c, rate, bits)).over(before), F.lit(0.0)).alias(f"_l_{o}")
+            for c, o in columns.items()
+        ],
+    )
     joined = local.join(carry, [*keys, BLOCK])
-    for c, o in columns.items():
-        prior = F.col(f"_l_{o}") * F.pow(keep, _position(rate) - 1) + F.col(f"_c_{o}") * F.pow(keep, F.col("_k"))
-        joined = joined.withColumn(f"{o}_prior", prior)
-        joined = joined.withColumn(o, F.col(c) * rate + keep * F.col(f"{o}_prior"))
-    return joined.drop(BLOCK, "_k", *[f"_l_{o}" for o in columns.values()], *[f"_c_{o}" for o in columns.values()])
+    kept = [F.col(c) for c in rows.columns]
+    priors = {
+        o: F.col(f"_l_{o}") * F.pow(keep, _position(bits) - 1) + F.col(f"_c_{o}") * F.pow(keep, F.col("_k"))
+        for o in columns.values()
+    }
+    joined = joined.select(*kept, *[p.alias(f"{o}_prior") for o, p in priors.items()])
+    return joined.select("*", *[
+        (F.col(c) * rate + keep * F.col(f"{o}_prior")).alias(o) for c, o in columns.items()
+    ])
 
 
 def moments_merge(held, block):

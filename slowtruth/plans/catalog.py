@@ -36,9 +36,20 @@ def _r(name: str, digits: int, out: str | None = None):
     return F.round(F.col(name), digits).alias(out or name)
 
 
+def _at_rest(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Both event tables on disk, as a user would have them, instead of rederived at every scan."""
+    requests, truths = fixtures.requests(spark, sf), fixtures.truths(spark, sf)
+    both = match.tag_union(requests, truths, PASS_KEYS, "ts").select("side", "a", "b")
+    stored = materialize(both, "events", ["side"])
+    return stored.where("side = 'A'").select("a.*"), stored.where("side = 'B'").select("b.*")
+
+
+def _all_pairs(spark, sf) -> DataFrame:
+    return match.pair_events(*_at_rest(spark, sf), PASS_KEYS)
+
+
 def _matched(spark, sf) -> DataFrame:
-    pairs = match.pair_events(fixtures.requests(spark, sf), fixtures.truths(spark, sf), PASS_KEYS)
-    return match.match_pairs(pairs)
+    return match.match_pairs(_all_pairs(spark, sf))
 
 
 def _user_pairs(spark, sf) -> DataFrame:
@@ -257,7 +268,7 @@ def latest_orphans_overwritten(spark, sf):
 
 
 def match_passes(spark, sf):
-    pairs = match.pair_events(fixtures.requests(spark, sf), fixtures.truths(spark, sf), PASS_KEYS)
+    pairs = _all_pairs(spark, sf)
     return pairs.select(*PASS_KEYS, "status", _text_time("ts"), F.col("a.steel_grade").alias("steel_grade"),
                         F.col("b.actual_roll_force_kn").alias("actual"))
 
@@ -271,7 +282,7 @@ def match_hot_keys(spark, sf):
 
 
 def match_unique(spark, sf):
-    pairs = match.join_unique(fixtures.requests(spark, sf), fixtures.truths(spark, sf), PASS_KEYS)
+    pairs = match.join_unique(*_at_rest(spark, sf), PASS_KEYS)
     return pairs.select(*PASS_KEYS, F.col("a.baseline_roll_force_kn").alias("baseline"),
                         F.col("b.actual_roll_force_kn").alias("actual"))
 
@@ -314,7 +325,7 @@ def prior_state(spark, sf):
 
 
 def target_mean_model(spark, sf):
-    rows = pipeline.target_mean_model(pipeline.stage_matched(_matched(spark, sf)))
+    rows = pipeline.target_mean_model(pipeline.stage_matched(_matched(spark, sf), features=False))
     return rows.select(*PASS_KEYS, F.round(F.col("baseline") + F.col("target_mean_residual"), 2).alias("force"))
 
 
@@ -340,7 +351,7 @@ def amrules_prequential(spark, sf):
 
 
 def drift_detect(spark, sf):
-    staged = pipeline.stage_matched(_matched(spark, sf)).withColumn(
+    staged = pipeline.stage_matched(_matched(spark, sf), features=False).withColumn(
         "error", expr.ape(F.col("baseline"), F.col("actual")))
     rows = learn.drift_detect(staged.select("steel_grade", ROW, "error"), ["steel_grade"], "error")
     ids = staged.select("steel_grade", ROW, *PASS_KEYS)
@@ -348,7 +359,7 @@ def drift_detect(spark, sf):
 
 
 def first_drift(spark, sf):
-    staged = pipeline.stage_matched(_matched(spark, sf)).withColumn(
+    staged = pipeline.stage_matched(_matched(spark, sf), features=False).withColumn(
         "error", expr.ape(F.col("baseline"), F.col("actual")))
     rows = learn.first_drift(staged.select("steel_grade", ROW, "error"), ["steel_grade"], "error")
     return rows.select("steel_grade", "n", _r("excess", 4))
@@ -357,7 +368,9 @@ def first_drift(spark, sf):
 def shadow_route(spark, sf):
     """The router over another challenger: the linear model."""
     rows = learn.sgd_prequential(pipeline.stage_matched(_matched(spark, sf)), ["steel_grade"], pipeline.X, "residual")
-    g = pipeline.shadow_route(materialize(rows.drop(*[f"{x}_z" for x in pipeline.X]), "sgd"), "sgd_residual")
+    # Written once: the router reads it twice, and the linear model must not run twice.
+    scored = materialize(rows.drop(*[f"{x}_z" for x in pipeline.X]), "sgd")
+    g = pipeline.shadow_route(scored, "sgd_residual")
     return g.select(*PASS_KEYS, _r("routed_force", 2), "fallback", _r("safe_ape", 4))
 
 

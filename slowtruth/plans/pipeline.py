@@ -25,50 +25,57 @@ RESULT_COLUMNS = (
 X = tuple(f"x{i}" for i in range(len(expr.FEATURE_NAMES)))
 
 
-def matched_rows(pairs: DataFrame, keys: Sequence[str] = MODEL_KEYS) -> DataFrame:
-    """Flat rows for the models from matched (a, b) structs: time and wear from b, the rest from a."""
-    extra = [F.col(f"a.{k}").alias(k) for k in keys if k != "steel_grade"]
-    vector = expr.feature_vector(F.col("a.features"))
+def matched_rows(pairs: DataFrame, keys: Sequence[str] = MODEL_KEYS, features: bool = True) -> DataFrame:
+    """Flat rows for the models from matched (a, b) structs: time and wear from b, the rest from a.
+
+    Models that use no features do without the vector, so it is neither computed nor shuffled.
+    """
     flat = pairs.select(
         F.col("b.ts").alias("evaluation_timestamp"),
         F.col("a.steel_grade").alias("steel_grade"),
         F.col("a.slab_id").alias("slab_id"),
         F.col("a.pass_number").alias("pass_number"),
-        *extra,
+        *[F.col(f"a.{k}").alias(k) for k in keys if k != "steel_grade"],
         F.col("a.baseline_roll_force_kn").alias("baseline"),
         F.col("b.actual_roll_force_kn").alias("actual"),
         F.col("b.wear_level").alias("wear_level"),
-        vector.alias("_x"),
+        F.col("a.features").alias("features"),
     )
-    return flat.select(
-        "*", *[F.col("_x")[i].alias(x) for i, x in enumerate(X)],
-        expr.residual(F.col("actual"), F.col("baseline")).alias("residual"),
-    ).drop("_x")
+    if features:
+        flat = expr.once(flat, "_x", expr.feature_vector(F.col("features")))
+    vector = [F.col("_x")[i].alias(x) for i, x in enumerate(X)] if features else []
+    residual = expr.residual(F.col("actual"), F.col("baseline")).alias("residual")
+    return flat.select("*", *vector, residual).drop("_x", "features")
 
 
-def stage_matched(pairs: DataFrame, keys: Sequence[str] = MODEL_KEYS) -> DataFrame:
-    return stage_order(matched_rows(pairs, keys), keys, ORDER, "matched")
+def stage_matched(pairs: DataFrame, keys: Sequence[str] = MODEL_KEYS, features: bool = True) -> DataFrame:
+    return stage_order(matched_rows(pairs, keys, features), keys, ORDER, "matched")
 
 
-def target_mean_model(staged: DataFrame, keys: Sequence[str] = MODEL_KEYS, rate: float = 0.02) -> DataFrame:
+def target_mean_model(
+    staged: DataFrame, keys: Sequence[str] = MODEL_KEYS, rate: float = 0.02, bits: int | None = None
+) -> DataFrame:
     """Adds ``target_mean_residual``: the moving average of the earlier residuals."""
-    return scan.ewma(staged, keys, {"residual": "_tm"}, rate).withColumnRenamed(
+    return scan.ewma(staged, keys, {"residual": "_tm"}, rate, bits=bits).withColumnRenamed(
         "_tm_prior", "target_mean_residual"
     ).drop("_tm")
 
 
-def trust_scores(rows: DataFrame, keys: Sequence[str], model_ape: str, baseline_ape: str, rate: float = 0.2):
+def trust_scores(
+    rows: DataFrame, keys: Sequence[str], model_ape: str, baseline_ape: str, rate: float = 0.2, bits: int | None = None
+) -> DataFrame:
     """Adds ``model_trust`` and ``baseline_trust`` as the router sees them: before this row."""
     columns = {model_ape: "_mt", baseline_ape: "_bt"}
     return (
-        scan.ewma(rows, keys, columns, rate)
+        scan.ewma(rows, keys, columns, rate, bits=bits)
         .withColumnRenamed("_mt_prior", "model_trust").withColumnRenamed("_bt_prior", "baseline_trust")
         .drop("_mt", "_bt")
     )
 
 
 def shadow_route(
-    rows: DataFrame, challenger: str, keys: Sequence[str] = MODEL_KEYS, settings: Settings = Settings()
+    rows: DataFrame, challenger: str, keys: Sequence[str] = MODEL_KEYS, settings: Settings = Settings(),
+    bits: int | None = None,
 ) -> DataFrame:
     """Guard any challenger given as a residual column.
 
@@ -79,7 +86,7 @@ def shadow_route(
     scored = rows.select(
         "*", (b + r).alias("raw_force"), expr.ape(b, a).alias("baseline_ape"), expr.ape(b + r, a).alias("shadow_ape")
     )
-    scored = trust_scores(scored, keys, "shadow_ape", "baseline_ape", settings.trust_rate)
+    scored = trust_scores(scored, keys, "shadow_ape", "baseline_ape", settings.trust_rate, bits)
     return route(scored, r, settings)
 
 
@@ -100,8 +107,10 @@ def route(scored: DataFrame, challenger: Column, settings: Settings = Settings()
 
 def guarded_target_mean(pairs: DataFrame, keys: Sequence[str] = MODEL_KEYS, settings: Settings = Settings()):
     """Would the guarded offset model have beaten the physics? The smallest complete evaluation."""
-    rows = target_mean_model(stage_matched(pairs, keys), keys, settings.mean_rate)
-    return shadow_route(rows, "target_mean_residual", keys, settings)
+    # Both averages use the same blocks, so the rows are shuffled once for the two of them.
+    bits = min(scan.ewma_bits(settings.mean_rate), scan.ewma_bits(settings.trust_rate))
+    rows = target_mean_model(stage_matched(pairs, keys, features=False), keys, settings.mean_rate, bits)
+    return shadow_route(rows, "target_mean_residual", keys, settings, bits).drop(BLOCK)
 
 
 def prequential_eval(
@@ -121,17 +130,18 @@ def prequential_eval(
     staged = stage_matched(pairs, keys)
     keys = list(keys)
     blocked = with_block(staged)
+    bits = scan.ewma_bits(settings.mean_rate)
+    steps = blocked if bits == scan.BLOCK_BITS else with_block(staged, bits)
     offset = scan.ewma_carry(
-        with_block(staged, scan.ewma_bits(settings.mean_rate)), keys, {"residual": "_tm"}, settings.mean_rate,
-        state.get("offset"), with_final=True,
+        steps, keys, {"residual": "_tm"}, settings.mean_rate, state.get("offset"), with_final=True
     )
     moments = scan.moments_carry(blocked, keys, X, state.get("moments"), with_final=True)
     rows = scan.apply_ewma(
-        with_block(staged, scan.ewma_bits(settings.mean_rate)), _started(offset), keys, {"residual": "_tm"},
-        settings.mean_rate,
+        steps, _started(offset), keys, {"residual": "_tm"}, settings.mean_rate
     ).withColumnRenamed("_tm_prior", "target_mean_residual").drop("_tm")
     z = [f"{x}_z" for x in X]
-    blocks = with_block(rows)
+    # With equal block sizes the rows are already together: the next step adds no shuffle.
+    blocks = rows if bits == scan.BLOCK_BITS else with_block(rows)
     weights = learn.sgd_carry(
         blocked, _started(moments), keys, X, "residual", settings.sgd_rate, settings.sgd_decay,
         state.get("weights"), with_final=True,
