@@ -63,13 +63,20 @@ def add_phases(passes: DataFrame, slab: str = "slab_id", number: str = "pass_num
     )
 
 
-def drift_what_if(passes: DataFrame, scenarios: Sequence[float]) -> DataFrame:
-    """Expected force of every pass under each assumed wear: one row per pass and scenario, no shuffle."""
+def drift_what_if(
+    passes: DataFrame, scenarios: Sequence[float], noise_sd: float = 0.0, seed: int = 42
+) -> DataFrame:
+    """Expected force of every pass under each assumed wear: one row per pass and scenario, no shuffle.
+
+    ``noise_sd`` adds seeded sensor noise (the plant's is 500 kN).
+    """
+    noise = F.randn(seed) * noise_sd if noise_sd else None
     spread = passes.withColumn("wear", F.explode(F.array(*[F.lit(float(w)) for w in scenarios])))
     c = F.col
     return spread.withColumn(
         "expected_force",
-        expr.worn_force(c("baseline"), c("wear"), c("temperature_c"), c("entry_thickness_mm"), c("reduction_pct")),
+        expr.worn_force(c("baseline"), c("wear"), c("temperature_c"), c("entry_thickness_mm"), c("reduction_pct"),
+                        noise),
     )
 
 
@@ -137,7 +144,7 @@ def wear_timeline(commands: DataFrame, key: str = "steel_grade", start: float =
     ``commands``: key, ts, a tie-breaker, type (``abrupt`` sets, ``gradual`` adds every ``freq`` seconds and
     turns at the limits, ``velocity`` adds every second between floor and ceiling), value, freq.
     """
-    rows = commands.select(key, "ts", tie, "type", "value", "freq", _second(F.col("ts")).alias("second"))
+    rows = commands.select(key, "ts", tie, "type", "value", "freq", wall_second(F.col("ts")).alias("second"))
     staged = stage_order(rows, [key], ["ts", tie], "commands")
     columns = ["ts", tie, "second", "type", "value", "freq"]
     done, _ = ordered_pass(
@@ -147,7 +154,7 @@ def wear_timeline(commands: DataFrame, key: str = "steel_grade", start: float =
     return done
 
 
-def _second(ts: Column) -> Column:
+def wall_second(ts: Column) -> Column:
     """Whole seconds of the wall clock since 1970, free of any session time zone."""
     return (
         F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("long") * 86400
@@ -189,6 +196,6 @@ def wear_at(passes: DataFrame, timeline: DataFrame, key: str = "steel_grade", or
     filled = running_last(staged, [key], "_cmd", "_now").where(F.col("_kind") == 1)
     c = F.col("_now")
     wear = wear_column(
-        c["wear_start"], c["step"], c["every"], c["bounces"], c["second"], _second(F.col("ts"))
+        c["wear_start"], c["step"], c["every"], c["bounces"], c["second"], wall_second(F.col("ts"))
     )
     return filled.select("_pass.*", F.coalesce(wear, F.lit(start)).alias("wear_now"))

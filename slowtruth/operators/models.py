@@ -249,18 +249,18 @@ def linear_maps(z, y, rate: float, decay: float) -> np.ndarray:
     """One augmented map [matrix | vector] per strip."""
     u, target, real = _strips(z, y)
     count, _, size = u.shape
-    keep = _decay(size - 1, decay)
+    keep = _decay(size - 1, decay)[None, :, None]
     maps = np.zeros((count, size, size + 1))
     maps[:, range(size), range(size)] = 1.0
+    tail = int(real[-1].sum())
     for t in range(STRIP):
-        live = real[:, t]
-        if not live.any():
-            break
-        m = maps[live]
-        ut = u[live, t]
-        seen = np.matmul(ut[:, None, :], m)[:, 0, :]
-        seen[:, -1] -= target[live, t]
-        maps[live] = keep[None, :, None] * m - rate * ut[:, :, None] * seen[:, None, :]
+        # Only the last strip can be short; past its end the others go on without it.
+        live = count if t < tail else count - 1
+        m, ut = maps[:live], u[:live, t]
+        seen = np.matmul(ut[:, None, :], m)
+        seen[:, 0, -1] -= target[:live, t]
+        m *= keep
+        m -= (rate * ut)[:, :, None] * seen
     return maps
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slowtruth.functions import expr
 from slowtruth.operators import history, learn, match, scan
 from slowtruth.operators.scan import ROW, stage_order
-from slowtruth.plans import oracle, pipeline, report
+from slowtruth.plans import evaluation, oracle, report
 from slowtruth.session import materialize, new_path
 from slowtruth.sources import events, fixtures, sinks
 from slowtruth.streaming import serving
@@ -108,7 +108,7 @@ def route_events(spark, sf):
 
 
 def _gtm_rows(spark, sf) -> DataFrame:
-    g = pipeline.guarded_target_mean(_matched(spark, sf))
+    g = evaluation.guarded_target_mean(_matched(spark, sf))
     return g.select(
         "evaluation_timestamp", "steel_grade", *PASS_KEYS, F.col("baseline").alias("baseline_roll_force_kn"),
         _r("raw_force", 2, "target_mean_roll_force_kn"), _r("routed_force", 2, "routed_roll_force_kn"),
@@ -125,7 +125,7 @@ def guarded_target_mean(spark, sf):
 
 def _metrics(spark, sf) -> DataFrame:
     """Metrics rows (offset model as challenger) written as the metrics table and read back."""
-    g = pipeline.guarded_target_mean(_matched(spark, sf))
+    g = evaluation.guarded_target_mean(_matched(spark, sf))
     path = new_path(spark, "metrics")
     sinks.write_metrics_table(
         g.select(
@@ -213,7 +213,8 @@ def event_time(spark, sf):
         F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"), "event_type")
     text = F.when(F.col("event_type") == "view", F.concat("t", F.lit("+02:00"))).when(
         F.col("event_type") == "error", F.concat("t", F.lit("Z"))).otherwise(F.col("t"))
-    return rows.select("event_id", F.date_format(expr.event_time(text), "yyyy-MM-dd HH:mm:ss.SSS").alias("event_time"))
+    return rows.select("event_id", F.coalesce(
+        F.date_format(expr.event_time(text), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("rejected")).alias("event_time"))
 
 
 def validate_ranges(spark, sf):
@@ -244,7 +245,7 @@ def unsafe_predicate(spark, sf):
 
 
 def untrusted_predicate(spark, sf):
-    g = pipeline.guarded_target_mean(_matched(spark, sf))
+    g = evaluation.guarded_target_mean(_matched(spark, sf))
     return g.select(*PASS_KEYS, F.col("untrusted").cast("int").alias("untrusted"), F.col("unsafe").cast("int").alias("unsafe"))
 
 
@@ -255,22 +256,28 @@ def _flat_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select("user_id", F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"))
 
 
+def _flat_events(events: DataFrame) -> DataFrame:
+    side = F.when(F.col("a").isNotNull(), "A").otherwise("B")
+    return events.select("user_id", side.alias("side"), F.coalesce("a.event_id", "b.event_id").alias("event_id"))
+
+
 def match_pairs(spark, sf):
     return _flat_pairs(match.match_pairs(_user_pairs(spark, sf)))
 
 
 def match_orphans(spark, sf):
-    return _flat_pairs(match.match_orphans(_user_pairs(spark, sf)))
+    return _flat_events(match.match_orphans(_user_pairs(spark, sf)))
 
 
 def latest_orphans_overwritten(spark, sf):
-    return _flat_pairs(match.latest_orphans_overwritten(_user_pairs(spark, sf)))
+    return _flat_events(match.latest_orphans_overwritten(_user_pairs(spark, sf)))
 
 
 def match_passes(spark, sf):
     pairs = _all_pairs(spark, sf)
-    return pairs.select(*PASS_KEYS, "status", _text_time("ts"), F.col("a.steel_grade").alias("steel_grade"),
-                        F.col("b.actual_roll_force_kn").alias("actual"))
+    return pairs.select(*PASS_KEYS, "status", _text_time("ts"),
+                        F.coalesce(F.col("a.steel_grade"), F.lit("unknown")).alias("steel_grade"),
+                        F.coalesce(F.col("b.actual_roll_force_kn"), F.lit(-1.0)).alias("actual"))
 
 
 def match_hot_keys(spark, sf):
@@ -278,7 +285,9 @@ def match_hot_keys(spark, sf):
     a, b = fixtures.user_events(spark, sf)
     one = F.lit("all").alias("line")
     pairs = match.pair_events(a.select("*", one), b.select("*", one), ["line"], tie=["event_id"], ttl=600.0, hot_keys="all")
-    return pairs.select("status", F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"))
+    return pairs.select("status", *[
+        F.coalesce(F.col(f"{s}.event_id"), F.lit(-1)).alias(f"{s}_id") for s in "ab"
+    ])
 
 
 def match_unique(spark, sf):
@@ -325,12 +334,12 @@ def prior_state(spark, sf):
 
 
 def target_mean_model(spark, sf):
-    rows = pipeline.target_mean_model(pipeline.stage_matched(_matched(spark, sf), features=False))
+    rows = evaluation.target_mean_model(evaluation.stage_matched(_matched(spark, sf), features=False))
     return rows.select(*PASS_KEYS, F.round(F.col("baseline") + F.col("target_mean_residual"), 2).alias("force"))
 
 
 def trust_scores(spark, sf):
-    g = pipeline.guarded_target_mean(_matched(spark, sf))
+    g = evaluation.guarded_target_mean(_matched(spark, sf))
     return g.select(*PASS_KEYS, _r("model_trust", 5), _r("baseline_trust", 5))
 
 
@@ -338,12 +347,12 @@ def trust_scores(spark, sf):
 
 
 def sgd_prequential(spark, sf):
-    rows = learn.sgd_prequential(pipeline.stage_matched(_matched(spark, sf)), ["steel_grade"], pipeline.X, "residual")
+    rows = learn.sgd_prequential(evaluation.stage_matched(_matched(spark, sf)), ["steel_grade"], evaluation.X, "residual")
     return rows.select(*PASS_KEYS, F.round(F.col("baseline") + F.col("sgd_residual"), 2).alias("force"))
 
 
 def amrules_prequential(spark, sf):
-    result, _ = pipeline.prequential_eval(_matched(spark, sf))
+    result, _ = evaluation.prequential_eval(_matched(spark, sf))
     return result.groupBy("steel_grade").agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("am_rules_shadow_ape"), 4).alias("rules_ape"),
         F.round(F.avg("am_rules_ape"), 4).alias("guarded_ape"), F.sum("is_am_rules_fallback").alias("n_fallbacks"),
@@ -351,7 +360,7 @@ def amrules_prequential(spark, sf):
 
 
 def drift_detect(spark, sf):
-    staged = pipeline.stage_matched(_matched(spark, sf), features=False).withColumn(
+    staged = evaluation.stage_matched(_matched(spark, sf), features=False).withColumn(
         "error", expr.ape(F.col("baseline"), F.col("actual")))
     rows = learn.drift_detect(staged.select("steel_grade", ROW, "error"), ["steel_grade"], "error")
     ids = staged.select("steel_grade", ROW, *PASS_KEYS)
@@ -359,7 +368,7 @@ def drift_detect(spark, sf):
 
 
 def first_drift(spark, sf):
-    staged = pipeline.stage_matched(_matched(spark, sf), features=False).withColumn(
+    staged = evaluation.stage_matched(_matched(spark, sf), features=False).withColumn(
         "error", expr.ape(F.col("baseline"), F.col("actual")))
     rows = learn.first_drift(staged.select("steel_grade", ROW, "error"), ["steel_grade"], "error")
     return rows.select("steel_grade", "n", _r("excess", 4))
@@ -367,15 +376,15 @@ def first_drift(spark, sf):
 
 def shadow_route(spark, sf):
     """The router over another challenger: the linear model."""
-    rows = learn.sgd_prequential(pipeline.stage_matched(_matched(spark, sf)), ["steel_grade"], pipeline.X, "residual")
+    rows = learn.sgd_prequential(evaluation.stage_matched(_matched(spark, sf)), ["steel_grade"], evaluation.X, "residual")
     # Written once: the router reads it twice, and the linear model must not run twice.
-    scored = materialize(rows.drop(*[f"{x}_z" for x in pipeline.X]), "sgd")
-    g = pipeline.shadow_route(scored, "sgd_residual")
+    scored = materialize(rows.drop(*[f"{x}_z" for x in evaluation.X]), "sgd")
+    g = evaluation.shadow_route(scored, "sgd_residual")
     return g.select(*PASS_KEYS, _r("routed_force", 2), "fallback", _r("safe_ape", 4))
 
 
 def shadow_vs_safe(spark, sf):
-    g = pipeline.guarded_target_mean(_matched(spark, sf))
+    g = evaluation.guarded_target_mean(_matched(spark, sf))
     return g.groupBy("steel_grade").agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("baseline_ape"), 4).alias("baseline_ape"),
         F.round(F.avg("shadow_ape"), 4).alias("shadow_ape"), F.round(F.avg("safe_ape"), 4).alias("safe_ape"),
@@ -384,7 +393,7 @@ def shadow_vs_safe(spark, sf):
 
 
 def prequential_eval(spark, sf):
-    result, _ = pipeline.prequential_eval(_matched(spark, sf))
+    result, _ = evaluation.prequential_eval(_matched(spark, sf))
     return result
 
 
@@ -393,30 +402,29 @@ def model_checkpoint(spark, sf):
     rows = materialize(_matched(spark, sf), "pairs")
     span = rows.agg(F.expr("percentile_approx(datediff(b.ts, DATE'1970-01-01'), 0.5)").alias("mid")).first()
     early = F.expr("datediff(b.ts, DATE'1970-01-01')") < span["mid"]
-    first, state = pipeline.prequential_eval(rows.where(early))
+    first, state = evaluation.prequential_eval(rows.where(early))
     path = new_path(spark, "models")
-    pipeline.write_checkpoint(state, path)
-    second, _ = pipeline.prequential_eval(rows.where(~early), state=pipeline.read_checkpoint(spark, path))
+    evaluation.write_checkpoint(state, path)
+    second, _ = evaluation.prequential_eval(rows.where(~early), state=evaluation.read_checkpoint(spark, path))
     return first.unionByName(second)
 
 
 def serve_stream(spark, sf):
     """The live job over the raw messages: every slice of time is one run that resumes from the checkpoint."""
     raw = materialize(fixtures.raw_messages(spark, sf).select("side", "body", "sent_at"), "raw")
-    day = F.expr("datediff(sent_at, DATE'1970-01-01')")
-    n = raw.count()
-    slices = max(2, -(-n // STREAM_SLICE_ROWS))
+    slices = max(2, -(-raw.count() // STREAM_SLICE_ROWS))
     marks = [i / slices for i in range(1, slices)]
-    cuts = raw.select(day.alias("d")).agg(F.percentile_approx("d", marks, 10_000).alias("c")).first()["c"]
+    second = history.wall_second(F.col("sent_at"))
+    cuts = raw.agg(F.percentile_approx(second, marks, 10_000).alias("c")).first()["c"]
     serving.use_stream_settings(spark)
     sources = {side: new_path(spark, f"topic-{side}") for side in "AB"}
     out, checkpoint = new_path(spark, "served"), new_path(spark, "checkpoint")
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = raw
         if low is not None:
-            part = part.where(day >= low)
+            part = part.where(second >= low)
         if high is not None:
-            part = part.where(day < high)
+            part = part.where(second < high)
         for side, path in sources.items():
             part.where(F.col("side") == side).select("body").write.mode("append").text(path)
         streams = [events.read_event_stream(spark, sources[side]) for side in "AB"]
@@ -424,7 +432,7 @@ def serve_stream(spark, sf):
         query.awaitTermination()
         if query.exception():
             raise query.exception()
-    return spark.read.schema(sinks.METRICS_SCHEMA).parquet(out).select(*pipeline.RESULT_COLUMNS)
+    return spark.read.schema(sinks.METRICS_SCHEMA).parquet(out).select(*evaluation.RESULT_COLUMNS)
 
 
 # --- reports ---

@@ -236,15 +236,18 @@ def slot_machine(key: str, ttl: float) -> str:
 
 _USER = slot_machine("user_id", 6 * 3600)
 MATCH_PAIRS = f"WITH {_USER} SELECT k AS user_id, a_id, b_id FROM fate WHERE status = 'matched'"
-MATCH_ORPHANS = f"WITH {_USER} SELECT k AS user_id, a_id, b_id FROM fate WHERE status = 'orphan'"
-MATCH_SUPERSEDED = f"WITH {_USER} SELECT k AS user_id, a_id, b_id FROM fate WHERE status = 'superseded'"
-MATCH_HOT_KEYS = f"WITH {slot_machine(chr(39) + 'all' + chr(39), 600)} SELECT status, a_id, b_id FROM fate"
+MATCH_ORPHANS = f"""WITH {_USER} SELECT k AS user_id, CASE WHEN a_id IS NULL THEN 'B' ELSE 'A' END AS side,
+  coalesce(a_id, b_id) AS event_id FROM fate WHERE status = 'orphan'"""
+MATCH_SUPERSEDED = f"""WITH {_USER} SELECT k AS user_id, CASE WHEN a_id IS NULL THEN 'B' ELSE 'A' END AS side,
+  coalesce(a_id, b_id) AS event_id FROM fate WHERE status = 'superseded'"""
+MATCH_HOT_KEYS = f"WITH {slot_machine(chr(39) + 'all' + chr(39), 600)} SELECT status, coalesce(a_id, -1) AS a_id, coalesce(b_id, -1) AS b_id FROM fate"
 MATCH_PASSES = with_passes(f"""SELECT {KEYS},
   CASE WHEN {HAS_REQUEST} AND {HAS_TRUTH} THEN 'matched'
     WHEN CASE WHEN {HAS_REQUEST} THEN requested_at ELSE measured_at END + to_seconds(300) <= horizon THEN 'orphan'
     ELSE 'waiting' END AS status,
   {stamp(f"CASE WHEN {HAS_TRUTH} THEN measured_at ELSE requested_at END")} AS ts,
-  CASE WHEN {HAS_REQUEST} THEN steel_grade END AS steel_grade, CASE WHEN {HAS_TRUTH} THEN actual END AS actual
+  CASE WHEN {HAS_REQUEST} THEN steel_grade ELSE 'unknown' END AS steel_grade,
+  CASE WHEN {HAS_TRUTH} THEN actual ELSE -1e0 END AS actual
 FROM passes, (SELECT max(CASE WHEN {HAS_TRUTH} THEN measured_at ELSE requested_at END) AS horizon FROM passes)""")
 MATCH_UNIQUE = with_passes(f"SELECT {KEYS}, baseline, actual FROM passes WHERE {HAS_REQUEST} AND {HAS_TRUTH}")
 TAG_UNION = with_passes(f"""SELECT {KEYS}, 'A' AS side, {stamp("requested_at")} AS ts FROM passes WHERE {HAS_REQUEST}
@@ -287,7 +290,7 @@ FINAL_FORCE = with_passes(f"""SELECT {KEYS},
   round(baseline + 5 + (100 * reduction_pct - 20 * strain + 3 * strain_rate), 3) AS force FROM passes""")
 MATCH_KEY = with_passes(f"SELECT slab_id || '-' || pass_number AS match_key FROM passes WHERE {HAS_REQUEST}")
 EVENT_TIME = f"""SELECT event_id, CASE WHEN event_type NOT IN ('view', 'error') THEN
-  {stamp("date_trunc('millisecond', ts)")} END AS event_time FROM events"""
+  {stamp("date_trunc('millisecond', ts)")} ELSE 'rejected' END AS event_time FROM events"""
 _CHECKS = [
     f"SELECT '{n}' AS rule, 'request' AS kind FROM passes WHERE {HAS_REQUEST} AND "
     f"(({SENT[n]}) IS NULL OR ({SENT[n]}) NOT BETWEEN {low!r} AND {high!r})"

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from slowtruth.functions import expr
 from slowtruth.operators.match import DEFAULT_TTL
 from slowtruth.operators.models import KeyModels, Settings
-from slowtruth.plans.pipeline import RESULT_COLUMNS
+from slowtruth.plans.evaluation import RESULT_COLUMNS
 from slowtruth.sources.events import decode_events
 
 STREAM_SETTINGS = {
@@ -103,7 +103,8 @@ class PairProcessor(StatefulProcessor):
         return -(-(event["at"] + self.ttl) // 1000)
 
     def _load(self):
-        return dict(zip(_FIELDS, self.slot.get())) if self.slot.exists() else None
+        held = self.slot.get()
+        return None if held is None else dict(zip(_FIELDS, held))
 
     def _store(self, before, after) -> None:
         """Touch the state store and the timers only where something changed: most keys pair in one go."""
@@ -201,3 +202,8 @@ def serve(raw_requests: DataFrame, raw_truths: DataFrame, ttl: float = DEFAULT_T
     """The whole job: raw JSON of both topics in, result rows out."""
     tagged = tag_streams(decode_events(raw_requests, "request"), decode_events(raw_truths, "truth"))
     return evaluate_stream(pair_stream(tagged, ttl, delay), settings=settings)
+
+
+def late_rows(query) -> int:
+    """Rows a running query has dropped because they were behind the watermark, for the orphan report."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

@@ -9,7 +9,7 @@ from slowtruth.functions import expr
 from slowtruth.operators import match
 from slowtruth.operators.models import KeyModels, Router, Settings, ape
 from slowtruth.operators.rules import AdaptiveRules
-from slowtruth.plans import pipeline, report
+from slowtruth.plans import evaluation, report
 from slowtruth.session import materialize
 from slowtruth.sources import fixtures
 
@@ -31,11 +31,11 @@ def pairs(spark):
 
 
 def by_row(pairs):
-    rows = pipeline.matched_rows(pairs).toPandas().sort_values(ORDER)
+    rows = evaluation.matched_rows(pairs).toPandas().sort_values(ORDER)
     parts = []
     for _, g in rows.groupby("steel_grade"):
         model = KeyModels()
-        done = [model.step(x, b, a) for x, b, a in zip(g[list(pipeline.X)].to_numpy(), g["baseline"].tolist(), g["actual"].tolist())]
+        done = [model.step(x, b, a) for x, b, a in zip(g[list(evaluation.X)].to_numpy(), g["baseline"].tolist(), g["actual"].tolist())]
         parts.append(pd.concat([g[ORDER].reset_index(drop=True), pd.DataFrame(done, columns=COMPUTED)], axis=1))
     return pd.concat(parts)
 
@@ -48,8 +48,8 @@ def same(found, expected):
 
 
 def test_batch_equals_row_by_row(spark, pairs):
-    result, _ = pipeline.prequential_eval(pairs)
-    assert tuple(result.columns) == pipeline.RESULT_COLUMNS
+    result, _ = evaluation.prequential_eval(pairs)
+    assert tuple(result.columns) == evaluation.RESULT_COLUMNS
     same(result.toPandas(), by_row(pairs))
 
 
@@ -58,16 +58,16 @@ def test_small_blocks_rounds_and_resume(spark, pairs, monkeypatch, tmp_path):
 
     monkeypatch.setattr(scan, "BLOCK_BITS", 7)
     cut = F.lit("1998-06-01").cast("timestamp_ntz")
-    first, state = pipeline.prequential_eval(pairs.where(F.col("b.ts") < cut), rows_per_round=300)
-    pipeline.write_checkpoint(state, str(tmp_path))
-    saved = pipeline.read_checkpoint(spark, str(tmp_path))
-    second, _ = pipeline.prequential_eval(pairs.where(F.col("b.ts") >= cut), state=saved)
+    first, state = evaluation.prequential_eval(pairs.where(F.col("b.ts") < cut), rows_per_round=300)
+    evaluation.write_checkpoint(state, str(tmp_path))
+    saved = evaluation.read_checkpoint(spark, str(tmp_path))
+    second, _ = evaluation.prequential_eval(pairs.where(F.col("b.ts") >= cut), state=saved)
     same(pd.concat([first.toPandas(), second.toPandas()]), by_row(pairs))
 
 
 def test_no_leakage_and_grade_isolation(spark, pairs):
-    rows = pipeline.matched_rows(pairs).where("steel_grade = 'high_alloy'").toPandas().sort_values(ORDER).head(400)
-    x, b, a = rows[list(pipeline.X)].to_numpy(), rows["baseline"].tolist(), rows["actual"].tolist()
+    rows = evaluation.matched_rows(pairs).where("steel_grade = 'high_alloy'").toPandas().sort_values(ORDER).head(400)
+    x, b, a = rows[list(evaluation.X)].to_numpy(), rows["baseline"].tolist(), rows["actual"].tolist()
 
     def answers(actual):
         model = KeyModels()
@@ -77,8 +77,8 @@ def test_no_leakage_and_grade_isolation(spark, pairs):
     changed[200] *= 3
     before, after = answers(a), answers(changed)
     assert before[:201] == after[:201] and before[201:] != after[201:]
-    alone, _ = pipeline.prequential_eval(pairs.where("a.steel_grade = 'high_alloy'"))
-    everything, _ = pipeline.prequential_eval(pairs)
+    alone, _ = evaluation.prequential_eval(pairs.where("a.steel_grade = 'high_alloy'"))
+    everything, _ = evaluation.prequential_eval(pairs)
     same(alone.toPandas(), everything.where("steel_grade = 'high_alloy'").toPandas())
 
 
@@ -148,7 +148,7 @@ def test_rules_state_round_trip():
 
 def test_scenarios_on_the_fixture(spark, pairs):
     """No drift: nothing to correct, no fallback. Drift: the guarded model beats the physics."""
-    guarded = pipeline.guarded_target_mean(pairs).groupBy("steel_grade").agg(
+    guarded = evaluation.guarded_target_mean(pairs).groupBy("steel_grade").agg(
         F.avg("baseline_ape").alias("b"), F.avg("safe_ape").alias("s"), F.avg("shadow_ape").alias("r"),
         F.sum("fallback").alias("n"),
     )

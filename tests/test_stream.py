@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from slowtruth.operators import match
-from slowtruth.plans import catalog, pipeline
+from slowtruth.plans import catalog, evaluation
 from slowtruth.sources import events, fixtures, sinks
 from slowtruth.streaming import serving
 
@@ -19,12 +19,12 @@ def test_served_rows_equal_batch_after_restart(spark):
     served = catalog.serve_stream(spark, SMALL).toPandas()
     raw = fixtures.raw_messages(spark, SMALL)
     sides = [events.decode_events(raw.where(F.col("side") == s), k) for s, k in (("A", "request"), ("B", "truth"))]
-    batch, _ = pipeline.prequential_eval(match.match_pairs(match.pair_events(*sides, ["slab_id", "pass_number"])))
+    batch, _ = evaluation.prequential_eval(match.match_pairs(match.pair_events(*sides, ["slab_id", "pass_number"])))
     batch = batch.toPandas()
-    assert tuple(served.columns) == pipeline.RESULT_COLUMNS and len(served) == len(batch)
+    assert tuple(served.columns) == evaluation.RESULT_COLUMNS and len(served) == len(batch)
     order = ["slab_id", "pass_number"]
     served, batch = (f.sort_values(order).reset_index(drop=True) for f in (served, batch))
-    for c in pipeline.RESULT_COLUMNS[4:]:
+    for c in evaluation.RESULT_COLUMNS[4:]:
         np.testing.assert_allclose(served[c], batch[c], rtol=1e-9, atol=1e-6, err_msg=c)
     assert (served["evaluation_timestamp"] == batch["evaluation_timestamp"]).all()
 
