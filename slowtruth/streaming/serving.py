@@ -81,7 +81,7 @@ class PairProcessor(StatefulProcessor):
             if waiting is None:
                 waiting = event
             elif expired or waiting["side"] == event["side"]:
-                yield _lost(key, waiting, "orphan" if expired else "superseded")
+                yield _lost(key, waiting, "orphan" if expired else "superseded", event["at"])
                 waiting = event
             else:
                 a, b = (waiting, event) if waiting["side"] == "A" else (event, waiting)
@@ -93,7 +93,7 @@ class PairProcessor(StatefulProcessor):
         waiting = self._load()
         if waiting is not None and self._deadline(waiting) <= expiredTimerInfo.getExpiryTimeInMs():
             self.slot.clear()
-            yield _lost(key, waiting, "orphan")
+            yield _lost(key, waiting, "orphan", waiting["at"] + self.ttl)
 
     def close(self) -> None:
         pass
@@ -123,11 +123,12 @@ def _time(at: int) -> datetime:
     return datetime.fromtimestamp(at // 1_000_000, timezone.utc).replace(microsecond=at % 1_000_000)
 
 
-def _lost(key, event, status: str) -> Row:
+def _lost(key, event, status: str, decided_at: int) -> Row:
+    """``event_ts`` is when the fate was decided: the event's own time may lie behind the watermark by then."""
     at = event["at"]
     a_at, b_at = (at, None) if event["side"] == "A" else (None, at)
     return Row(
-        slab_id=key[0], pass_number=key[1], status=status, event_ts=_time(at), a_at=a_at, b_at=b_at,
+        slab_id=key[0], pass_number=key[1], status=status, event_ts=_time(decided_at), a_at=a_at, b_at=b_at,
         steel_grade=event["steel_grade"], x=event["x"], baseline=event["baseline"], actual=event["actual"],
         wear_level=event["wear_level"],
     )

@@ -29,37 +29,53 @@ def test_served_rows_equal_batch_after_restart(spark):
     assert (served["evaluation_timestamp"] == batch["evaluation_timestamp"]).all()
 
 
-def test_pairing_cases(spark, tmp_path):
-    """Early truth, replaced request, own deadline, exact limit; a late sentinel moves the watermark on."""
-    t0 = datetime(2024, 1, 1)
-    plan = [
-        ("early", "B", 0), ("early", "A", 1),
-        ("twice", "A", 0), ("twice", "A", 5), ("twice", "B", 9),
-        ("own", "A", 0), ("own", "A", 290), ("own", "B", 310),
-        ("limit", "A", 0), ("limit", "B", 300),
-        ("alone", "A", 20),
-        ("sentinel", "A", 86_400),
-    ]
+SCHEMA = (
+    "slab_id string, pass_number int, ts timestamp, side string, steel_grade string, x array<double>, "
+    "baseline double, actual double, wear_level double, at long"
+)
+T0 = datetime(2024, 1, 1)
+BASE = int((T0 - datetime(1970, 1, 1)).total_seconds())
+
+
+def feed(spark, tmp_path, plan):
+    """Add one file of (slab, side, second) events and work it off; returns all results so far."""
     rows = [
-        (s, 1, t0 + timedelta(seconds=at), side, "g", [float(at)], 1.0, 2.0, 0.0,
-         int((t0 + timedelta(seconds=at) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000)
+        (s, 1, T0 + timedelta(seconds=at), side, "g", [float(at)], 1.0, 2.0, 0.0, (BASE + at) * 1_000_000)
         for s, side, at in plan
     ]
-    schema = ("slab_id string, pass_number int, ts timestamp, side string, steel_grade string, x array<double>, "
-              "baseline double, actual double, wear_level double, at long")
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
     serving.use_stream_settings(spark)
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     query = (
-        serving.pair_stream(stream).writeStream.option("checkpointLocation", str(tmp_path / "cp"))
+        serving.pair_stream(spark.readStream.schema(SCHEMA).parquet(source))
+        .writeStream.option("checkpointLocation", str(tmp_path / "cp"))
         .trigger(availableNow=True).foreachBatch(sinks.batch_writer(str(tmp_path / "out"))).start()
     )
     assert query.awaitTermination(WAIT) and query.exception() is None
-    base = int((t0 - datetime(1970, 1, 1)).total_seconds())
-    found = {
-        (r["slab_id"], r["status"], *[None if v is None else v // 1_000_000 - base for v in (r["a_at"], r["b_at"])])
+    return {
+        (r["slab_id"], r["status"], *[None if v is None else v // 1_000_000 - BASE for v in (r["a_at"], r["b_at"])])
         for r in spark.read.parquet(str(tmp_path / "out")).collect()
     }
+
+
+def test_orphan_behind_the_watermark_after_a_restart(spark, tmp_path):
+    """The first run ends between an event's time and its deadline; the second one purges it."""
+    feed(spark, tmp_path, [("x", "A", 0), ("y", "A", 400)])
+    found = feed(spark, tmp_path, [("y", "B", 410), ("end", "A", 100_000)])
+    assert found == {("x", "orphan", 0, None), ("y", "matched", 400, 410)}
+
+
+def test_pairing_cases(spark, tmp_path):
+    """Early truth, replaced request, own deadline, exact limit; a late sentinel moves the watermark on."""
+    plan = [
+        ("early", "B", 0), ("early", "A", 1),
+        ("twice", "A", 0), ("twice", "A", 5), ("twice", "B", 9),
+        ("own", "A", 0), ("own", "A", 290), ("own", "B", 310),
+        ("limit", "A", 0), ("limit", "B", 300),
+        ("alone", "A", 20),
+        ("sentinel", "A", 86_400),
+    ]
+    found = feed(spark, tmp_path, plan)
     assert found == {
         ("alone", "orphan", 20, None),
         ("early", "matched", 1, 0),
