@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from slowtruth.llm import decontam, lines, quality
+from slowtruth.llm import chat, decontam, lines, mix, quality, shard
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_sharding": shard.op3_sharding,
+    "op4_mixing": mix.op4_mixing,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontamination": decontam.op10_decontamination,
 }
 #: The others cannot be said in SQL; tests hold them against brute force.
 SQL = {
     "op1_line_dedup": lines.OP1_SQL,
+    "op2_chat_formatting": chat.OP2_SQL,
+    "op4_mixing": mix.OP4_SQL,
     "op10_decontamination": decontam.OP10_SQL,
 }
