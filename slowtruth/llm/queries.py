@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from slowtruth.llm import chat, decontam, lines, mix, quality, shard
+from slowtruth.llm import chat, decontam, lines, mix, quality, shard, tokens
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_sharding": shard.op3_sharding,
     "op4_mixing": mix.op4_mixing,
+    "op5_token_counts": tokens.op5_token_counts,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontamination": decontam.op10_decontamination,
 }
@@ -17,5 +18,6 @@ SQL = {
     "op1_line_dedup": lines.OP1_SQL,
     "op2_chat_formatting": chat.OP2_SQL,
     "op4_mixing": mix.OP4_SQL,
+    "op5_token_counts": tokens.OP5_SQL,
     "op10_decontamination": decontam.OP10_SQL,
 }
