@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slowtruth.llm import decontam, quality
+from slowtruth.llm import decontam, mix, neardup, quality, shard
 from slowtruth.session import materialize
 
 
@@ -27,9 +27,28 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return only_documents(decontam.benchmark_hits(docs, benchmark).where("not contaminated"), docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return only_documents(neardup.near_duplicates(docs, percent=80).where("kept"), docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that the tokens of sources, languages and topics meet their targets."""
+    mixed = mix.mix_to_targets(docs.withColumn("topic", mix.form(docs["text"])), mix.TARGETS)
+    return only_documents(mixed.where("kept"), docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal row counts, each in a uniform random order."""
+    return shard.shard_rows(docs, 8)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
     ("benchmark decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
 ]
 #: Compression ratios, sampling and a random permutation are not SQL; the stages are tested one by one.
 ORACLE_SQL = None
