@@ -26,7 +26,8 @@ from slowtruth.session import materialize
 
 #: Byte-level vocabulary: id = byte + 3; 0 pad, 1 end of document, 2 unknown.
 BYTE_SHIFT, END_ID, WIDTH = 3, 1, 2
-BLOCK_TOKENS = 1 << 18
+#: Small enough that a reader or Arrow batch of several thousand blocks stays at some tens of MB.
+BLOCK_TOKENS = 1 << 13
 GROUP_BLOCKS = 1024
 BLOCKS = "file string, block long, tokens binary"
 
