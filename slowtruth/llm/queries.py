@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slowtruth.llm import chat, decontam, langid, lines, mix, neardup, quality, shard, tokens
+from slowtruth.llm import chat, decontam, langid, lines, mix, neardup, quality, shard, suffix, tokens
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mix.op4_mixing,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_language_id": langid.op6_language_id,
+    "op7_suffix_dedup": suffix.op7_suffix_dedup,
     "op8_minhash_dedup": neardup.op8_minhash_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontamination": decontam.op10_decontamination,
