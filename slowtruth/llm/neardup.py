@@ -31,6 +31,8 @@ SHINGLE, PERCENT, K = 5, 85, 64
 MIN_ESTIMATE = 0.5
 #: A task of a large cluster compares at most so many classes, or shingles, of two chunks.
 CHUNK_SETS, CHUNK_SHINGLES = 2000, 2_000_000
+#: Up to so many numbers of eight bytes are sent to all tasks instead of shuffling every text.
+BROADCAST_ROWS = 1_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 PAD = np.iinfo(np.int64).max
 
@@ -223,7 +225,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     firsts = materialize(drawn.where("n > 0").groupBy("digest", "n").agg(F.min("row").alias("class")), "classes")
     member = materialize(
         drawn.where("n > 0").select("row", "digest", "n").join(firsts, ["digest", "n"]).select("row", "class"), "members")
-    classes = drawn.join(firsts.select(F.col("class").alias("row")), "row", "left_semi").select("row", "n", "sketch")
+    classes = materialize(
+        drawn.join(firsts.select(F.col("class").alias("row")), "row", "left_semi").select("row", "n", "sketch"), "class-sketches")
     lists = materialize(listed(classes, least), "lists")
     heads = materialize(
         lists.groupBy("value").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("value", "head"),
@@ -235,7 +238,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cut = inside.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("n") / chunk_shingles)).cast("int").alias("chunks"))
     cut = materialize(cut, "chunks")
-    sets = full_sets(texts.join(inside.select("row"), "row", "left_semi"), size)
+    wanted = inside.select("row")
+    if inside.count() <= BROADCAST_ROWS:  # else all texts are shuffled to find a few of them; the result is the same
+        wanted = F.broadcast(wanted)
+    sets = full_sets(texts.join(wanted, "row", "left_semi"), size)
     work = materialize(
         inside.join(cut, "cluster").join(sets, "row")
         .withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")), "sets")
