@@ -122,17 +122,18 @@ def match_key(slab_id: Column, pass_number: Column) -> Column:
     return F.concat_ws("-", slab_id, pass_number.cast("string"))
 
 
-ZONED = r"([Zz]|[+-]\d{2}(:?\d{2})?)\s*$"
+LOCAL_DATE_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?$"
 
 
 def event_time(text: Column) -> Column:
-    """ISO local date-time to a zone-less timestamp in milliseconds; null if zoned or unreadable.
+    """ISO local date-time to a zone-less timestamp in milliseconds; null for any other form.
 
-    A suffix such as ``Z`` or ``+02:00`` is looked for first, since the cast would drop it silently.
+    The whole text must be a date, ``T`` and a time of day: a cast alone would take dates, years and the zones of
+    ``...+2:00`` or ``... Europe/Paris`` and drop what it does not use. Digits after the millisecond are cut off in the
+    text, because truncating a timestamp goes through the session's time zone.
     """
-    time_part = F.regexp_extract(text, r"[T ](.*)$", 1)
-    parsed = F.when(~time_part.rlike(ZONED), text.try_cast("timestamp_ntz"))
-    return F.date_trunc("millisecond", parsed).cast("timestamp_ntz")
+    millis = F.regexp_replace(text, r"(\.\d{3})\d+$", "$1")
+    return F.when(text.rlike(LOCAL_DATE_TIME), millis.try_cast("timestamp_ntz"))
 
 
 def fallback_flag(fallback: Column) -> Column:

@@ -18,10 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slowtruth.operators.scan import BLOCK, ROW, block_window, carry_in, stage_order, with_block
+from slowtruth.operators.scan import BLOCK, KEY, ROW, block_window, blocks_in_order, carry_in, stage_order, with_block
+from slowtruth.session import materialize
 
 DEFAULT_TTL = 300.0
-HOT_SHARE = 500
+#: A key of more rows than this is cut into blocks; a smaller one is sorted by a single task.
+HOT_ROWS = 1_000_000
 
 
 def tag_union(requests: DataFrame, truths: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = ()) -> DataFrame:
@@ -54,6 +56,7 @@ def pair_events(
     tie: Sequence[str] = (),
     ttl: float | None = DEFAULT_TTL,
     hot_keys: str = "auto",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every pair and every unpaired event: keys, status, ts, a, b.
 
@@ -61,43 +64,42 @@ def pair_events(
     later event of its side) or ``waiting`` (not expired at the last event time of the input).
     Input rows = 2*matched + orphan + superseded + waiting.
 
-    One hash shuffle on the keys in the usual case. ``hot_keys='auto'`` first looks for keys
-    that hold a large share of all rows, with a mergeable heavy-hitter sketch; their rows take
-    the blocked form, which splits one key over many tasks. ``'never'`` and ``'all'`` force a form.
+    One hash shuffle on the keys in the usual case. ``hot_keys='auto'`` first counts the rows of each key; keys of
+    more than ``hot_rows`` take the blocked form, which splits one key over many tasks. ``'never'`` and ``'all'``
+    force a form. The forms agree, null keys included: a null is a key like any other. Events without a time come
+    first in their key and never expire.
     """
     tagged = tag_union(requests, truths, keys, ts, tie)
     order = ["ts", "side", *tie]
-    heavy, horizon = survey_keys(tagged, keys)
-    if hot_keys == "all":
-        light, hot = None, tagged
-    else:
-        if heavy and hot_keys == "auto":
-            is_hot = F.xxhash64(*keys).isin(heavy)
-            light, hot = tagged.where(~is_hot), tagged.where(is_hot)
-        else:
-            light, hot = tagged, None
+    light, hot = (None, tagged) if hot_keys == "all" else (tagged, None)
+    if hot_keys == "auto":
+        crowded = hot_key_table(tagged, keys, hot_rows)
+        if not crowded.isEmpty():
+            marked = tagged.withColumn("_h", F.xxhash64(*keys))
+            light = marked.join(crowded, "_h", "left_anti").drop("_h")
+            hot = marked.join(crowded, "_h", "left_semi").drop("_h")
     parts = []
     if light is not None:
         parts.append(_by_key(light, keys, order, ttl))
     if hot is not None:
         parts.append(_by_block(hot, keys, order, ttl))
     scanned = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return _resolve(scanned, keys, ttl, horizon)
+    return _resolve(scanned, keys, ttl, last_time(tagged))
 
 
-def survey_keys(tagged: DataFrame, keys: Sequence[str], share: int = HOT_SHARE, least: int = 10_000):
-    """Hashes of the keys holding more than 1/share of all rows (so fewer than ``share``), and the last event time.
+def hot_key_table(tagged: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """(_h): hashes of the keys with more than ``hot_rows`` rows. A key that shares a hash with one is only treated alike."""
+    counts = tagged.select(F.xxhash64(*keys).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(counts.where(F.col("n") > hot_rows).select("_h"), "hot-keys")
 
-    One scan of the key and time columns with a mergeable sketch. The sketch tracks 20 times
-    as many items as it may return; a key it missed would only be slower, not wrong.
-    """
-    row = tagged.select(F.xxhash64(*keys).alias("h"), "ts").agg(
-        F.expr(f"approx_top_k(h, {share}, {20 * share})").alias("top"),
-        F.count(F.lit(1)).alias("n"),
-        F.max("ts").alias("horizon"),
-    ).first()
-    heavy = [t["item"] for t in row["top"] or [] if t["count"] > max(least, row["n"] // share)]
-    return heavy, row["horizon"]
+
+def last_time(tagged: DataFrame) -> Column | None:
+    """The last event time of the input as a literal that no time zone can move."""
+    if tagged.schema["ts"].dataType.typeName() == "timestamp":
+        micros = tagged.agg(F.max(F.unix_micros("ts"))).first()[0]
+        return None if micros is None else F.timestamp_micros(F.lit(micros))
+    text = tagged.agg(F.max("ts").cast("string")).first()[0]
+    return None if text is None else F.lit(text).cast(tagged.schema["ts"].dataType)
 
 
 def _event() -> Column:
@@ -130,12 +132,12 @@ def _linked(ttl) -> Column:
 
 
 def _by_block(tagged, keys, order, ttl) -> DataFrame:
-    rows = with_block(stage_order(tagged, keys, order, "pairing"))
-    win = block_window(keys)
-    ends = rows.groupBy(*keys, BLOCK).agg(F.max_by(_event(), ROW).alias("_tail"))
-    across = Window.partitionBy(*keys).orderBy(BLOCK)
+    rows = with_block(stage_order(tagged, keys, order, "pairing"), keys)
+    win = block_window()
+    ends = rows.groupBy(KEY, BLOCK).agg(F.max_by(_event(), ROW).alias("_tail"))
+    across = blocks_in_order()
     ends = ends.select(
-        *keys, BLOCK,
+        KEY, BLOCK,
         F.lag("_tail").over(across).alias("_before"),
         F.lead(F.lit(True), 1, False).over(across).alias("_more"),
     )
@@ -143,11 +145,11 @@ def _by_block(tagged, keys, order, ttl) -> DataFrame:
         "_next", F.lead(F.lit(True), 1, False).over(win)
     )
     rows = (
-        rows.join(ends, [*keys, BLOCK])
+        rows.join(ends, [KEY, BLOCK])
         .withColumn("_prev", F.coalesce("_local", "_before"))
         .withColumn("_linked", _linked(ttl))
     )
-    runs = rows.groupBy(*keys, BLOCK).agg(
+    runs = rows.groupBy(KEY, BLOCK).agg(
         F.count(F.lit(1)).alias("_n"),
         (F.max(ROW) - F.max(F.when(~F.col("_linked"), F.col(ROW)))).alias("_run"),
     ).withColumn("_run", F.coalesce("_run", F.lit(-1)))
@@ -158,7 +160,7 @@ def _by_block(tagged, keys, order, ttl) -> DataFrame:
     rows = rows.withColumn("_reset", F.max(F.when(~F.col("_linked"), F.col(ROW))).over(upto)).withColumn(
         "_i", F.row_number().over(win)
     )
-    rows = rows.join(carry, [*keys, BLOCK]).withColumn(
+    rows = rows.join(carry, [KEY, BLOCK]).withColumn(
         "_k", F.when(F.col("_reset").isNotNull(), F.col(ROW) - F.col("_reset")).otherwise(F.col("_k0") + F.col("_i"))
     )
     rows = rows.withColumn("_lag_k", F.lag("_k").over(win))
@@ -194,7 +196,7 @@ def _resolve(rows: DataFrame, keys: Sequence[str], ttl, horizon) -> DataFrame:
     )
     out = rows.select(*keys, F.explode(F.array_compact(F.array(pair, lost, left))).alias("e")).select(*keys, "e.*")
     if ttl is not None and horizon is not None:
-        late = _expired(F.col("ts"), F.lit(horizon).cast(rows.schema["ts"].dataType), ttl)
+        late = F.coalesce(_expired(F.col("ts"), horizon, ttl), F.lit(False))
         out = out.withColumn(
             "status", F.when((F.col("status") == "waiting") & late, "orphan").otherwise(F.col("status"))
         )

@@ -27,6 +27,9 @@ from slowtruth.session import materialize
 
 ROW = "_rid"
 BLOCK = "_block"
+#: The key columns as one text that is never null. Blocks are grouped and joined by it, so a null key is a key like
+#: any other and keeps its rows.
+KEY = "_key"
 BLOCK_BITS = 14
 
 
@@ -41,13 +44,27 @@ def stage_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], label:
     return materialize(ranged.withColumn(ROW, F.monotonically_increasing_id()), label)
 
 
-def with_block(staged: DataFrame, bits: int | None = None) -> DataFrame:
-    """Adds the block number: ``2**bits`` consecutive row ids (``2**BLOCK_BITS`` unless given)."""
-    return staged.withColumn(BLOCK, F.shiftright(F.col(ROW), BLOCK_BITS if bits is None else bits))
+def with_block(staged: DataFrame, keys: Sequence[str], bits: int | None = None) -> DataFrame:
+    """Adds the block number, ``2**bits`` consecutive row ids (``2**BLOCK_BITS`` unless given), and the key as text.
+
+    JSON leaves out nulls, so a null and the text "null" stay different keys.
+    """
+    blocked = staged.withColumn(BLOCK, F.shiftright(F.col(ROW), BLOCK_BITS if bits is None else bits))
+    return blocked if KEY in staged.columns else blocked.withColumn(KEY, F.to_json(F.struct(*keys)))
+
+
+def key_columns(keys: Sequence[str], schema: T.StructType) -> list[Column]:
+    """The key columns back from their text."""
+    struct = T.StructType([schema[k] for k in keys])
+    return [F.from_json(KEY, struct)[k].alias(k) for k in keys]
 
 
-def block_window(keys: Sequence[str]):
-    return Window.partitionBy(*keys, BLOCK).orderBy(ROW)
+def block_window():
+    return Window.partitionBy(KEY, BLOCK).orderBy(ROW)
+
+
+def blocks_in_order():
+    return Window.partitionBy(KEY).orderBy(BLOCK)
 
 
 def carry_in(
@@ -62,51 +79,47 @@ def carry_in(
 ) -> DataFrame:
     """State before each block: an exclusive ordered scan over the block summaries of each key.
 
-    ``state`` is a DDL list of the state columns, ``merge(state, values)`` folds one block in.
-    ``initial`` (keys + state columns) starts a key from an earlier run. With ``with_final``
+    ``summary`` and the result are keyed by the key's text. ``state`` is a DDL list of the state columns,
+    ``merge(state, values)`` folds one block in. ``initial`` (``keys`` + state columns) starts a key from an earlier run. With ``with_final``
     one more row per key, block null, holds the state after its last block.
     The scan streams, so memory does not grow with the number of blocks.
     """
     state_fields = T.StructType.fromDDL(state).fields
     names = [f.name for f in state_fields]
-    keys, values = list(keys), list(values)
+    values = list(values)
     rows = summary.select(
-        *keys, BLOCK, *values, *[F.lit(None).cast(f.dataType).alias(f"_s_{f.name}") for f in state_fields]
+        KEY, BLOCK, *values, *[F.lit(None).cast(f.dataType).alias(f"_s_{f.name}") for f in state_fields]
     )
     if initial is not None:
         start = initial.select(
-            *keys,
+            F.to_json(F.struct(*keys)).alias(KEY),
             F.lit(-1).cast("long").alias(BLOCK),
             *[F.lit(None).cast(summary.schema[v].dataType).alias(v) for v in values],
             *[F.col(n).alias(f"_s_{n}") for n in names],
         )
         rows = rows.unionByName(start)
-    key_fields = [summary.schema[k] for k in keys]
-    out = T.StructType([*key_fields, T.StructField(BLOCK, T.LongType()), *state_fields])
+    out = T.StructType([T.StructField(KEY, T.StringType()), T.StructField(BLOCK, T.LongType()), *state_fields])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = None, zero
         for pdf in batches:
             found: list[tuple] = []
-            columns = [pdf[c].tolist() for c in [*keys, BLOCK, *values, *[f"_s_{n}" for n in names]]]
-            for row in zip(*columns):
-                key, block = row[: len(keys)], row[len(keys)]
+            columns = [pdf[c].tolist() for c in [KEY, BLOCK, *values, *[f"_s_{n}" for n in names]]]
+            for key, block, *row in zip(*columns):
                 if key != current:
                     if with_final and current is not None:
-                        found.append((*current, None, *held))
+                        found.append((current, None, *held))
                     current, held = key, zero
                 if block < 0:
-                    held = row[len(keys) + 1 + len(values):]
+                    held = tuple(row[len(values):])
                     continue
-                found.append((*key, block, *held))
-                held = merge(held, row[len(keys) + 1: len(keys) + 1 + len(values)])
+                found.append((key, block, *held))
+                held = merge(held, tuple(row[: len(values)]))
             yield _frame(found, out)
         if with_final and current is not None:
-            yield _frame([(*current, None, *held)], out)
+            yield _frame([(current, None, *held)], out)
 
-    return (
-        rows.repartition(*keys).sortWithinPartitions(*keys, BLOCK).mapInPandas(scan, schema=out)
-    )
+    return rows.repartition(KEY).sortWithinPartitions(KEY, BLOCK).mapInPandas(scan, schema=out)
 
 
 def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
@@ -116,11 +129,6 @@ def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
     return frame
 
 
-def ewma_bits(rate: float) -> int:
-    """Largest block for which the growing weight (1-rate)**-n stays far from overflow."""
-    return max(0, min(BLOCK_BITS, int(math.log2(575.0 / -math.log1p(-rate)))))
-
-
 def ewma(
     staged: DataFrame,
     keys: Sequence[str],
@@ -140,10 +148,10 @@ def ewma(
     size = ewma_bits(rate) if bits is None else bits
     if size > ewma_bits(rate):
         raise ValueError("blocks too large for this rate")
-    rows = staged if bits is not None and BLOCK in staged.columns else with_block(staged, size)
+    rows = staged if bits is not None and BLOCK in staged.columns else with_block(staged, keys, size)
     carry = ewma_carry(rows, keys, columns, rate, initial, bits=size)
-    found = apply_ewma(rows, carry, keys, columns, rate, size)
-    return found if bits is not None else found.drop(BLOCK)
+    found = apply_ewma(rows, carry, columns, rate, size)
+    return found if bits is not None else found.drop(BLOCK, KEY)
 
 
 def ewma_bits(rate: float) -> int:
@@ -166,14 +174,14 @@ def ewma_carry(rows, keys, columns, rate, initial=None, with_final=False, bits=N
     bits = ewma_bits(rate) if bits is None else bits
     outs = list(columns.values())
     summary = (
-        rows.groupBy(*keys, BLOCK)
+        rows.groupBy(KEY, BLOCK)
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.max(_position(bits)).alias("_last"),
             *[F.sum(_grown(c, rate, bits)).alias(f"_sum_{o}") for c, o in columns.items()],
         )
         .select(
-            *keys, BLOCK, "_n",
+            KEY, BLOCK, "_n",
             *[(F.col(f"_sum_{o}") * F.pow(F.lit(1.0 - rate), F.col("_last"))).alias(f"_v_{o}") for o in outs],
         )
     )
@@ -189,19 +197,19 @@ def ewma_carry(rows, keys, columns, rate, initial=None, with_final=False, bits=N
     )
 
 
-def apply_ewma(rows, carry, keys, columns, rate, bits=None) -> DataFrame:
+def apply_ewma(rows, carry, columns, rate, bits=None) -> DataFrame:
     bits = ewma_bits(rate) if bits is None else bits
-    before = block_window(keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = block_window().rowsBetween(Window.unboundedPreceding, -1)
     keep = F.lit(1.0 - rate)
     local = rows.select(
         "*",
-        (F.row_number().over(block_window(keys)) - 1).cast("double").alias("_k"),
+        (F.row_number().over(block_window()) - 1).cast("double").alias("_k"),
         *[
             F.coalesce(F.sum(_grown(c, rate, bits)).over(before), F.lit(0.0)).alias(f"_l_{o}")
             for c, o in columns.items()
         ],
     )
-    joined = local.join(carry, [*keys, BLOCK])
+    joined = local.join(carry, [KEY, BLOCK])
     kept = [F.col(c) for c in rows.columns]
     priors = {
         o: F.col(f"_l_{o}") * F.pow(keep, _position(bits) - 1) + F.col(f"_c_{o}") * F.pow(keep, F.col("_k"))
@@ -235,13 +243,13 @@ def running_moments(
 
     Adds ``n`` and, per column c, ``c_mean`` and ``c_m2``.
     """
-    rows = with_block(staged)
+    rows = with_block(staged, keys)
     carry = moments_carry(rows, keys, columns, initial)
-    return apply_moments(rows, carry, keys, columns)
+    return apply_moments(rows, carry, columns)
 
 
 def moments_carry(rows, keys, columns, initial=None, with_final=False) -> DataFrame:
-    summary = rows.groupBy(*keys, BLOCK).agg(
+    summary = rows.groupBy(KEY, BLOCK).agg(
         F.count(F.lit(1)).alias("_n"),
         F.array(*[F.avg(c) for c in columns]).alias("_mean"),
         F.array(*[F.var_pop(c) * F.count(F.lit(1)) for c in columns]).alias("_m2"),
@@ -253,15 +261,15 @@ def moments_carry(rows, keys, columns, initial=None, with_final=False) -> DataFr
     )
 
 
-def apply_moments(rows, carry, keys, columns) -> DataFrame:
-    win = block_window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def apply_moments(rows, carry, columns) -> DataFrame:
+    win = block_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.select(
         "*",
         F.count(F.lit(1)).over(win).alias("_k"),
         *[F.avg(c).over(win).alias(f"_a_{c}") for c in columns],
         *[F.var_pop(c).over(win).alias(f"_q_{c}") for c in columns],
     )
-    joined = local.join(carry, [*keys, BLOCK]).withColumn("n", F.col("_n0") + F.col("_k"))
+    joined = local.join(carry, [KEY, BLOCK]).withColumn("n", F.col("_n0") + F.col("_k"))
     share = (F.col("_k") / F.col("n")).alias("_share")
     joined = joined.withColumn("_share", share)
     merged = []
@@ -279,7 +287,7 @@ def apply_moments(rows, carry, keys, columns) -> DataFrame:
             )
             .alias(f"{c}_m2")
         )
-    kept = [c for c in rows.columns if c != BLOCK]
+    kept = [c for c in rows.columns if c not in (BLOCK, KEY)]
     return joined.select(*kept, "n", *merged)
 
 
@@ -295,22 +303,22 @@ def running_zscores(staged, keys, columns, initial=None) -> DataFrame:
     The moments before each block come from a partial aggregation; the rows of one block then
     go through one vectorised call.
     """
-    rows = with_block(staged)
-    return apply_zscores(rows, moments_carry(rows, keys, columns, initial), keys, columns)
+    rows = with_block(staged, keys)
+    return apply_zscores(rows, moments_carry(rows, keys, columns, initial), columns)
 
 
-def apply_zscores(rows, carry, keys, columns) -> DataFrame:
-    keys, columns = list(keys), list(columns)
-    out = T.StructType([f for f in rows.schema.fields if f.name != BLOCK])
+def apply_zscores(rows, carry, columns) -> DataFrame:
+    columns = list(columns)
+    out = T.StructType([f for f in rows.schema.fields if f.name not in (BLOCK, KEY)])
     for c in columns:
         out.add(f"{c}_z", T.DoubleType())
 
     def score(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ROW, kind="stable").drop(columns=[BLOCK])
+        pdf = pdf.sort_values(ROW, kind="stable").drop(columns=[BLOCK, KEY])
         z = block_scores(pdf, start, columns)
         return pd.concat([pdf, pd.DataFrame(z, columns=[f"{c}_z" for c in columns], index=pdf.index)], axis=1)
 
-    return rows.groupBy(*keys, BLOCK).cogroup(carry.groupBy(*keys, BLOCK)).applyInPandas(score, out)
+    return rows.groupBy(KEY, BLOCK).cogroup(carry.groupBy(KEY, BLOCK)).applyInPandas(score, out)
 
 
 def block_scores(pdf: pd.DataFrame, start: pd.DataFrame, columns: Sequence[str]):
@@ -321,16 +329,16 @@ def block_scores(pdf: pd.DataFrame, start: pd.DataFrame, columns: Sequence[str])
 
 def running_last(staged: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
     """Last non-null value of ``column`` up to the row: an as-of lookup over a union of two tables."""
-    rows = with_block(staged)
-    summary = rows.groupBy(*keys, BLOCK).agg(
+    rows = with_block(staged, keys)
+    summary = rows.groupBy(KEY, BLOCK).agg(
         F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(ROW))).alias("_v")
     )
-    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(*keys, BLOCK, F.last("_v", ignorenulls=True).over(before).alias("_before"))
-    win = block_window(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = blocks_in_order().rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(KEY, BLOCK, F.last("_v", ignorenulls=True).over(before).alias("_before"))
+    win = block_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.withColumn("_here", F.last(column, ignorenulls=True).over(win))
     return (
-        local.join(carry, [*keys, BLOCK])
+        local.join(carry, [KEY, BLOCK])
         .withColumn(out, F.coalesce("_here", "_before"))
-        .drop("_here", "_before", BLOCK)
+        .drop("_here", "_before", BLOCK, KEY)
     )

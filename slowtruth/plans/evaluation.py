@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slowtruth.functions import expr
 from slowtruth.operators import learn, scan
 from slowtruth.operators.models import Settings
-from slowtruth.operators.scan import BLOCK, ROW, stage_order, with_block
+from slowtruth.operators.scan import BLOCK, KEY, ROW, stage_order, with_block
 
 # The model key. More columns (plant, line) give more independent model sets and more parallel tasks.
 MODEL_KEYS = ("steel_grade",)
@@ -110,7 +110,7 @@ def guarded_target_mean(pairs: DataFrame, keys: Sequence[str] = MODEL_KEYS, sett
     # Both averages use the same blocks, so the rows are shuffled once for the two of them.
     bits = min(scan.ewma_bits(settings.mean_rate), scan.ewma_bits(settings.trust_rate))
     rows = target_mean_model(stage_matched(pairs, keys, features=False), keys, settings.mean_rate, bits)
-    return shadow_route(rows, "target_mean_residual", keys, settings, bits).drop(BLOCK)
+    return shadow_route(rows, "target_mean_residual", keys, settings, bits).drop(BLOCK, KEY)
 
 
 def prequential_eval(
@@ -122,38 +122,43 @@ def prequential_eval(
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The 16-column result row of every matched event, and the models to resume from.
 
-    ``state`` is what an earlier call returned; the new rows must come later than those.
+    ``state`` is what an earlier call returned or ``read_checkpoint`` read. Rows that are not after the last row a key's
+    models have seen are left out, so that a repeated run trains nothing twice.
     Everything but the rule learner runs in blocks over the whole cluster. The learner is
     sequential by nature, so its pass gets only what it needs and is parallel by key.
     """
     state = state or {}
-    staged = stage_matched(pairs, keys)
     keys = list(keys)
-    blocked = with_block(staged)
+    rows_in = matched_rows(pairs, keys)
+    if "last" in state:
+        rows_in = after_last(rows_in, state["last"], keys)
+    staged = stage_order(rows_in, keys, ORDER, "matched")
+    blocked = with_block(staged, keys)
     bits = scan.ewma_bits(settings.mean_rate)
-    steps = blocked if bits == scan.BLOCK_BITS else with_block(staged, bits)
-    offset = scan.ewma_carry(
+    steps = blocked if bits == scan.BLOCK_BITS else with_block(staged, keys, bits)
+    # Carries hold a row for each block: written once, they serve every step below and the states at the end.
+    offset = learn.materialize(scan.ewma_carry(
         steps, keys, {"residual": "_tm"}, settings.mean_rate, state.get("offset"), with_final=True
-    )
-    moments = scan.moments_carry(blocked, keys, X, state.get("moments"), with_final=True)
+    ), "offset")
+    moments = learn.materialize(scan.moments_carry(blocked, keys, X, state.get("moments"), with_final=True), "moments")
     rows = scan.apply_ewma(
-        steps, _started(offset), keys, {"residual": "_tm"}, settings.mean_rate
+        steps, _started(offset), {"residual": "_tm"}, settings.mean_rate
     ).withColumnRenamed("_tm_prior", "target_mean_residual").drop("_tm")
     z = [f"{x}_z" for x in X]
     # With equal block sizes the rows are already together: the next step adds no shuffle.
-    blocks = rows if bits == scan.BLOCK_BITS else with_block(rows)
-    weights = learn.sgd_carry(
+    blocks = rows if bits == scan.BLOCK_BITS else with_block(rows, keys)
+    weights = learn.materialize(learn.sgd_carry(
         blocked, _started(moments), keys, X, "residual", settings.sgd_rate, settings.sgd_decay,
         state.get("weights"), with_final=True,
-    )
+    ), "weights")
     scored = learn.apply_sgd(
-        blocks, _started(moments), _started(weights), keys, X, "residual", settings.sgd_rate, settings.sgd_decay
+        blocks, _started(moments), _started(weights), X, "residual", settings.sgd_rate, settings.sgd_decay
     )
     scored = learn.materialize(scored, "scored")
     routed, rules = learn.amrules_prequential(
         scored, keys, z, settings=settings, initial=state.get("rules"), rows_per_round=rows_per_round
     )
-    joined = scored.drop(*z, "baseline_ape").join(routed.drop("baseline", "actual"), [*keys, ROW])
+    joined = scored.drop(*z, "baseline_ape").join(routed.drop("baseline", "actual", *keys), ROW)
     b, a = F.col("baseline"), F.col("actual")
     mean_force = expr.final_force(b, F.col("target_mean_residual"))
     sgd_force = expr.final_force(b, F.col("sgd_residual"))
@@ -174,24 +179,73 @@ def prequential_eval(
         F.col("fallback").alias("is_am_rules_fallback"),
     )
     after = {
-        "offset": _final(offset), "moments": _final(moments), "weights": _final(weights), "rules": rules,
+        **{name: _final(carry, keys, staged) for name, carry in (("offset", offset), ("moments", moments), ("weights", weights))},
+        "rules": rules,
+        "last": last_rows(staged, keys, state.get("last")),
     }
-    return result, {name: after[name] for name in after}
+    return result, after
 
 
 def _started(carry: DataFrame) -> DataFrame:
     return carry.where(F.col(BLOCK).isNotNull())
 
 
-def _final(carry: DataFrame) -> DataFrame:
-    return carry.where(F.col(BLOCK).isNull()).drop(BLOCK)
+def _final(carry: DataFrame, keys: Sequence[str], staged: DataFrame) -> DataFrame:
+    """The state of each key after its last row."""
+    state = [c for c in carry.columns if c not in (BLOCK, KEY)]
+    return carry.where(F.col(BLOCK).isNull()).select(*scan.key_columns(keys, staged.schema), *state)
+
+
+def last_rows(staged: DataFrame, keys: Sequence[str], before: DataFrame | None) -> DataFrame:
+    """(keys, last): the order key of the last row each model has seen."""
+    seen = staged.select(*keys, F.struct(*ORDER).alias("last"))
+    if before is not None:
+        seen = seen.unionByName(before)
+    return seen.groupBy(*keys).agg(F.max("last").alias("last"))
+
 
+def after_last(rows: DataFrame, last: DataFrame, keys: Sequence[str]) -> DataFrame:
+    known = last.select(F.to_json(F.struct(*keys)).alias(KEY), "last")
+    joined = rows.withColumn(KEY, F.to_json(F.struct(*keys))).join(known, KEY, "left")
+    return joined.where(F.col("last").isNull() | (F.struct(*ORDER) > F.col("last"))).drop(KEY, "last")
 
-def write_checkpoint(state: dict[str, DataFrame], path: str) -> None:
-    """Save the models of every key as tables; ``read_checkpoint`` resumes from them."""
-    for name, table in state.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
 
+#: The tables of a checkpoint.
+STATE = ("offset", "moments", "weights", "rules", "last")
+_MARK = "published"
 
-def read_checkpoint(spark, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("offset", "moments", "weights", "rules")}
+
+def _versions(spark, path: str) -> list[int]:
+    """Published versions, ascending. A version is published once its marker folder is there."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n.removeprefix(f"{_MARK}=")) for n in names if n.startswith(f"{_MARK}="))
+
+
+def write_checkpoint(state: dict[str, DataFrame], path: str) -> int:
+    """Save the models of every key as a new version under ``path`` and publish it; returns its number.
+
+    Tables of earlier versions are never touched, so the new state may still be read from them. The marker comes last
+    and is one rename-free folder creation: a run that dies before it leaves the earlier version in force, and the next
+    run overwrites the unpublished tables.
+    """
+    spark = state["offset"].sparkSession
+    version = max(_versions(spark, path), default=0) + 1
+    for name in STATE:
+        state[name].write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{_MARK}={version}")
+    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(mark)
+    return version
+
+
+def read_checkpoint(spark, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The state of the last published version, or of the one asked for."""
+    known = _versions(spark, path)
+    if version is None and known:
+        version = known[-1]
+    if version not in known:
+        raise FileNotFoundError(f"no published models under {path}" + (f" of version {version}" if version else ""))
+    return {name: spark.read.parquet(f"{path}/version={version}/{name}") for name in STATE}

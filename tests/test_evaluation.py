@@ -58,11 +58,24 @@ def test_small_blocks_rounds_and_resume(spark, pairs, monkeypatch, tmp_path):
 
     monkeypatch.setattr(scan, "BLOCK_BITS", 7)
     cut = F.lit("1998-06-01").cast("timestamp_ntz")
-    first, state = evaluation.prequential_eval(pairs.where(F.col("b.ts") < cut), rows_per_round=300)
-    evaluation.write_checkpoint(state, str(tmp_path))
-    saved = evaluation.read_checkpoint(spark, str(tmp_path))
-    second, _ = evaluation.prequential_eval(pairs.where(F.col("b.ts") >= cut), state=saved)
-    same(pd.concat([first.toPandas(), second.toPandas()]), by_row(pairs))
+    late = F.lit("1998-09-01").cast("timestamp_ntz")
+    path, done = str(tmp_path), []
+    # three runs that read and write the same place; each sees all rows so far and takes only the new ones
+    for upto, version in ((cut, 1), (late, 2), (F.lit("9999-01-01").cast("timestamp_ntz"), 3)):
+        state = evaluation.read_checkpoint(spark, path) if version > 1 else None
+        result, state = evaluation.prequential_eval(pairs.where(F.col("b.ts") < upto), state=state, rows_per_round=300)
+        assert evaluation.write_checkpoint(state, path) == version
+        done.append(result.toPandas())
+    assert all(map(len, done))
+    same(pd.concat(done), by_row(pairs))
+    # a run that died before it published leaves the version before it in force; the next run replaces its tables
+    first = evaluation.read_checkpoint(spark, path, 1)
+    first["moments"].limit(1).write.parquet(f"{path}/version=4/moments")
+    assert evaluation.read_checkpoint(spark, path)["moments"].count() == first["moments"].count()
+    again, state = evaluation.prequential_eval(pairs, state=evaluation.read_checkpoint(spark, path))
+    assert again.count() == 0 and evaluation.write_checkpoint(state, path) == 4
+    with pytest.raises(FileNotFoundError):
+        evaluation.read_checkpoint(spark, f"{path}/nowhere")
 
 
 def test_no_leakage_and_grade_isolation(spark, pairs):

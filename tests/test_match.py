@@ -71,11 +71,8 @@ def test_hand_made_cases(spark, hot_keys):
 
 
 @pytest.mark.parametrize("hot_keys", ["never", "all", "auto"])
-def test_random_sequences_and_conservation(spark, tiny_blocks, monkeypatch, hot_keys):
-    if hot_keys == "auto":
-        # One key holds a third of all rows: with a low bar it takes the blocked form, the others do not.
-        survey = match.survey_keys
-        monkeypatch.setattr(match, "survey_keys", lambda t, k: survey(t, k, share=10, least=50))
+def test_random_sequences_and_conservation(spark, tiny_blocks, hot_keys):
+    # One key holds a third of all rows: with a low bar it takes the blocked form, the others do not.
     rng = random.Random(7)
     per_key, i = {}, 0
     for n in range(40):
@@ -86,7 +83,7 @@ def test_random_sequences_and_conservation(spark, tiny_blocks, monkeypatch, hot_
             events.append((second, rng.choice("AB"), i))
         per_key[f"k{n}"] = events
     for ttl in (10, None):
-        found, expected = run(spark, per_key, ttl, hot_keys=hot_keys)
+        found, expected = run(spark, per_key, ttl, hot_keys=hot_keys, hot_rows=50)
         assert found == expected
         status = Counter()
         for (_, s, _, _), n in found.items():
@@ -99,6 +96,40 @@ def test_heavy_keys_are_found(spark):
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"),
         F.lit(T0).cast("timestamp_ntz").alias("ts"),
     )
-    heavy, _ = match.survey_keys(ids, ["k"])
     hot = spark.range(1).select(F.xxhash64(F.lit("hot")).alias("h")).first()["h"]
-    assert heavy == [hot]
+    assert [r[0] for r in match.hot_key_table(ids, ["k"], 10_000).collect()] == [hot]
+    assert match.hot_key_table(ids, ["k"], 20_000).isEmpty()
+
+
+def test_forms_agree_with_null_keys(spark):
+    """A null key is a key: 'never', 'auto' and 'all' give the same rows, and none is lost."""
+    import random
+    from collections import Counter
+
+    r = random.Random(8)
+    for schema, make in (("k string", lambda: (r.choice([None, "null", "a", "b"]),)), ("k int, j int", lambda: (r.choice([None, 1, 2]), r.choice([None, 1])))):
+        rows = [(*make(), i, r.randrange(3)) for i in range(300)]
+        df = spark.createDataFrame(rows, f"{schema}, id int, side int").withColumn("ts", F.expr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,id * 2)"))
+        keys = [c for c in df.columns if c in "kj"]
+        a, b = df.where("side = 0").drop("side"), df.where("side > 0").drop("side")
+        out = {}
+        for form, hot_rows in (("never", 1), ("all", 1), ("auto", 60)):
+            found = match.pair_events(a, b, keys, tie=["id"], ttl=30.0, hot_keys=form, hot_rows=hot_rows).collect()
+            out[form] = Counter((x.status, *[x[k] for k in keys], x.a and x.a.id, x.b and x.b.id) for x in found)
+            n = Counter(x.status for x in found)
+            assert 2 * n["matched"] + n["orphan"] + n["superseded"] + n["waiting"] == len(rows)
+        assert out["never"] == out["all"] == out["auto"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/Los_Angeles", "Europe/Paris"])
+def test_horizon_has_no_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for kind in ("timestamp_ntz", "timestamp"):
+            a = spark.sql(f"SELECT 1 AS k, {kind}'2024-03-31 01:00:00' AS ts UNION ALL SELECT 2, {kind}'2024-03-31 01:09:00'")
+            b = spark.sql(f"SELECT 3 AS k, {kind}'2024-03-31 01:10:00' AS ts")
+            found = {r.k: r.status for r in match.pair_events(a, b, ["k"], ttl=300.0).collect()}
+            assert found == {1: "orphan", 2: "waiting", 3: "waiting"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
