@@ -194,12 +194,9 @@ def wear_factor(wear: Column, temperature: Column, thickness: Column, reduction:
     return 1.0 + F.pow(share, F.lit(1.5)) * WEAR_PENALTY_RATE * (thermal * thin * (1.0 + reduction))
 
 
-def worn_force(baseline: Column, wear: Column, temperature: Column, thickness: Column, reduction: Column,
-               noise: Column | None = None) -> Column:
+def worn_force(baseline: Column, wear: Column, temperature: Column, thickness: Column, reduction: Column) -> Column:
     """Expected measured force under a given wear, never below 0, rounded to 2 decimals."""
     force = baseline * wear_factor(wear, temperature, thickness, reduction)
-    if noise is not None:
-        force = force + noise
     return F.round(F.greatest(force, F.lit(0.0)), 2)
 
 

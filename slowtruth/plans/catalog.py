@@ -18,7 +18,6 @@ from slowtruth.streaming import serving
 
 PASS_KEYS = ["slab_id", "pass_number"]
 USER_TTL = 6 * 3600.0
-STREAM_SLICE_ROWS = 2_000_000
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -290,6 +289,15 @@ def match_hot_keys(spark, sf):
     ])
 
 
+def match_null_keys(spark, sf):
+    """Every tenth user is unknown: all their events share the null key, which is large enough to be cut into blocks."""
+    a, b = fixtures.user_events(spark, sf)
+    known = lambda df: df.withColumn("key", F.when(F.col("user_id") % 10 != 0, F.col("user_id")))
+    pairs = match.pair_events(known(a), known(b), ["key"], tie=["event_id"], ttl=USER_TTL, hot_rows=500)
+    return pairs.select(F.coalesce("key", F.lit(-1)).alias("key"), "status", *[
+        F.coalesce(F.col(f"{s}.event_id"), F.lit(-1)).alias(f"{s}_id") for s in "ab"])
+
+
 def match_unique(spark, sf):
     pairs = match.join_unique(*_at_rest(spark, sf), PASS_KEYS)
     return pairs.select(*PASS_KEYS, F.col("a.baseline_roll_force_kn").alias("baseline"),
@@ -327,6 +335,13 @@ def ewma(spark, sf):
     return e.select("event_id", _r("smooth", 6), _r("smooth_prior", 6))
 
 
+def ewma_null_keys(spark, sf):
+    rows = fixtures.table(spark, sf, "events").select(
+        F.expr("CASE WHEN event_type <> 'view' THEN event_type END AS key"), "event_id", "ts", "value")
+    e = scan.ewma(stage_order(rows, ["key"], ["ts", "event_id"], "events"), ["key"], {"value": "smooth"}, 0.2)
+    return e.select("event_id", F.coalesce("key", F.lit("(null)")).alias("key"), _r("smooth", 6))
+
+
 def prior_state(spark, sf):
     """State before each row for short keys: the same operator, keyed by user."""
     e = scan.ewma(_staged_events(spark, sf, "user_id"), ["user_id"], {"value": "smooth"}, 0.02)
@@ -409,22 +424,15 @@ def model_checkpoint(spark, sf):
     return first.unionByName(second)
 
 
-def serve_stream(spark, sf):
-    """The live job over the raw messages: every slice of time is one run that resumes from the checkpoint."""
+def _served(spark, sf) -> tuple[DataFrame, str]:
+    """The live job over the raw messages in two runs, the second of which resumes from the checkpoint."""
     raw = materialize(fixtures.raw_messages(spark, sf).select("side", "body", "sent_at"), "raw")
-    slices = max(2, -(-raw.count() // STREAM_SLICE_ROWS))
-    marks = [i / slices for i in range(1, slices)]
     second = history.wall_second(F.col("sent_at"))
-    cuts = raw.agg(F.percentile_approx(second, marks, 10_000).alias("c")).first()["c"]
+    middle = raw.agg(F.percentile_approx(second, 0.5).alias("m")).first()["m"]
     serving.use_stream_settings(spark)
     sources = {side: new_path(spark, f"topic-{side}") for side in "AB"}
     out, checkpoint = new_path(spark, "served"), new_path(spark, "checkpoint")
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = raw
-        if low is not None:
-            part = part.where(second >= low)
-        if high is not None:
-            part = part.where(second < high)
+    for part in (raw.where(second < middle), raw.where(second >= middle)):
         for side, path in sources.items():
             part.where(F.col("side") == side).select("body").write.mode("append").text(path)
         streams = [events.read_event_stream(spark, sources[side]) for side in "AB"]
@@ -432,7 +440,22 @@ def serve_stream(spark, sf):
         query.awaitTermination()
         if query.exception():
             raise query.exception()
-    return spark.read.schema(sinks.METRICS_SCHEMA).parquet(out).select(*evaluation.RESULT_COLUMNS)
+    return serving.read_served(spark, out), checkpoint
+
+
+def serve_stream(spark, sf):
+    """The result rows of the live job."""
+    return _served(spark, sf)[0].where("kind = 'matched'").select(*evaluation.RESULT_COLUMNS)
+
+
+def serve_accounts(spark, sf):
+    """What became of every message of the live job: two for each result, one for each event lost, waiting or unusable."""
+    rows, checkpoint = _served(spark, sf)
+    waiting = serving.waiting_events(spark, checkpoint)
+    fate = F.when(F.col("kind") == "quarantine", "unusable").when(F.col("kind") == "matched", "matched").otherwise("unpaired")
+    both = rows.select(fate.alias("fate"), F.when(F.col("kind") == "matched", 2).otherwise(1).alias("n")).unionByName(
+        waiting.select(F.lit("unpaired").alias("fate"), F.lit(1).alias("n")))
+    return both.groupBy("fate").agg(F.sum("n").alias("n_messages"))
 
 
 # --- reports ---
@@ -555,12 +578,14 @@ QUERIES: dict[str, Query] = {
     "latest_orphans_overwritten": Query(latest_orphans_overwritten, oracle.MATCH_SUPERSEDED),
     "match_passes": Query(match_passes, oracle.MATCH_PASSES),
     "match_hot_keys": Query(match_hot_keys, oracle.MATCH_HOT_KEYS),
+    "match_null_keys": Query(match_null_keys, oracle.MATCH_NULL_KEYS),
     "match_unique": Query(match_unique, oracle.MATCH_UNIQUE),
     "tag_union": Query(tag_union, oracle.TAG_UNION),
     "keyed_shuffle": Query(keyed_shuffle, oracle.KEYED_SHUFFLE),
     "running_moments": Query(running_moments, oracle.RUNNING_MOMENTS),
     "welford_zscore": Query(welford_zscore, oracle.WELFORD_ZSCORE),
     "ewma": Query(ewma, oracle.EWMA),
+    "ewma_null_keys": Query(ewma_null_keys, oracle.EWMA_NULL_KEYS),
     "prior_state": Query(prior_state, oracle.PRIOR_STATE),
     "target_mean_model": Query(target_mean_model, oracle.TARGET_MEAN_MODEL),
     "trust_scores": Query(trust_scores, oracle.TRUST_SCORES),
@@ -573,6 +598,7 @@ QUERIES: dict[str, Query] = {
     "prequential_eval": Query(prequential_eval),
     "model_checkpoint": Query(model_checkpoint),
     "serve_stream": Query(serve_stream),
+    "serve_accounts": Query(serve_accounts, oracle.SERVE_ACCOUNTS),
     "grade_filter": Query(grade_filter, oracle.GRADE_FILTER),
     "latest_60_per_grade": Query(latest_60_per_grade, oracle.LATEST_60),
     "current_wear": Query(current_wear, oracle.CURRENT_WEAR),

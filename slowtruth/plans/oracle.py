@@ -11,11 +11,11 @@ from slowtruth.functions.expr import FEATURE_DEFAULTS, FEATURE_NAMES, FEATURE_RA
 PASSES_SQL = """
 lines AS (
   SELECT l_orderkey AS o, CAST(l_linenumber AS INTEGER) AS p, l_partkey, l_suppkey, l_quantity, l_extendedprice,
-         l_discount, l_tax, l_shipdate
+         l_discount, l_tax, l_shipdate, k
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey,
-          l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS rn FROM lineitem) WHERE rn = 1),
+          l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS k FROM lineitem)),
 base AS (
-  SELECT o, p, CAST(o AS VARCHAR) AS slab_id, p AS pass_number,
+  SELECT o, p, CASE WHEN k = 1 THEN CAST(o AS VARCHAR) ELSE o || '-' || k END AS slab_id, p AS pass_number,
     CASE o % 3 WHEN 0 THEN 'structural' WHEN 1 THEN 'microalloyed' ELSE 'high_alloy' END AS steel_grade,
     CAST(l_shipdate AS TIMESTAMP) + to_minutes(CAST(o % 1440 AS INTEGER)) + to_seconds(10 * p) AS requested_at,
     CAST(2 + floor(l_quantity / 10) AS INTEGER) AS delay, l_shipdate, l_tax,
@@ -207,6 +207,10 @@ WELFORD_ZSCORE = f"""SELECT event_id, round(CASE WHEN count(*) OVER w < 2 OR std
   ELSE (value - avg(value) OVER w) / stddev_samp(value) OVER w END, 6) AS value_z FROM events WINDOW w AS {_W}"""
 EWMA = f"""WITH {_EV}, {folded("ev", "event_type", "rn", "value", "2e-1", "s")}
 SELECT event_id, round(post, 6) AS smooth, round(prior, 6) AS smooth_prior FROM ev JOIN s USING (event_type, rn)"""
+EWMA_NULL_KEYS = f"""WITH nk AS (SELECT event_id, value, coalesce(key, '(null)') AS key, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn
+    FROM (SELECT *, CASE WHEN event_type <> 'view' THEN event_type END AS key FROM events)),
+  {folded("nk", "key", "rn", "value", "2e-1", "s")}
+SELECT event_id, key, round(post, 6) AS smooth FROM nk JOIN s USING (key, rn)"""
 PRIOR_STATE = f"""WITH {_EU}, {folded("eu", "user_id", "rn", "value", "2e-2", "s")}
 SELECT event_id, round(prior, 6) AS smooth_prior FROM eu JOIN s USING (user_id, rn)"""
 
@@ -241,6 +245,8 @@ MATCH_ORPHANS = f"""WITH {_USER} SELECT k AS user_id, CASE WHEN a_id IS NULL THE
 MATCH_SUPERSEDED = f"""WITH {_USER} SELECT k AS user_id, CASE WHEN a_id IS NULL THEN 'B' ELSE 'A' END AS side,
   coalesce(a_id, b_id) AS event_id FROM fate WHERE status = 'superseded'"""
 MATCH_HOT_KEYS = f"WITH {slot_machine(chr(39) + 'all' + chr(39), 600)} SELECT status, coalesce(a_id, -1) AS a_id, coalesce(b_id, -1) AS b_id FROM fate"
+MATCH_NULL_KEYS = f"""WITH {slot_machine("CASE WHEN user_id % 10 <> 0 THEN user_id END", 6 * 3600)}
+SELECT coalesce(k, -1) AS key, status, coalesce(a_id, -1) AS a_id, coalesce(b_id, -1) AS b_id FROM fate"""
 MATCH_PASSES = with_passes(f"""SELECT {KEYS},
   CASE WHEN {HAS_REQUEST} AND {HAS_TRUTH} THEN 'matched'
     WHEN CASE WHEN {HAS_REQUEST} THEN requested_at ELSE measured_at END + to_seconds(300) <= horizon THEN 'orphan'
@@ -382,3 +388,7 @@ PASS_PHASE = with_passes(f"""SELECT {KEYS}, CASE WHEN p <= 2 THEN 'roughing' WHE
 REDUCTION_CLASS = with_passes(f"""SELECT {KEYS}, total AS total_passes, CASE WHEN CAST(p AS DOUBLE) / total < 0.4 THEN 'heavy'
   WHEN CAST(p AS DOUBLE) / total < 0.8 THEN 'medium' ELSE 'light' END AS reduction_class
 FROM (SELECT *, max(p) OVER (PARTITION BY slab_id) AS total FROM passes)""")
+
+SERVE_ACCOUNTS = with_passes(f"""SELECT fate, CAST(sum(n) AS BIGINT) AS n_messages FROM (
+  SELECT CASE WHEN NOT ({READABLE}) THEN 'unusable' WHEN {HAS_REQUEST} AND {HAS_TRUTH} THEN 'matched' ELSE 'unpaired' END AS fate,
+    CAST({HAS_REQUEST} AS INTEGER) + CAST({HAS_TRUTH} AS INTEGER) AS n FROM passes) GROUP BY fate""")

@@ -5,7 +5,7 @@ Only plain arithmetic on table columns, no random numbers, so a SQL oracle can r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slowtruth.functions import expr
@@ -16,24 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line per (order, line number): the smallest by the remaining columns.
-
-    ``min`` of a struct is a partial aggregate, so a much-repeated key costs nothing extra.
-    """
+    """Every line, with ``k``: its number among the lines of the same order and line number, ordered by the other columns."""
     rest = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("int").alias("p"))
-        .agg(F.min(F.struct(*rest)).alias("r"))
-        .select("o", "p", "r.*")
-    )
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("int").alias("p"), *rest)
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("o", "p").orderBy(*rest)))
 
 
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling passes with features, baseline, wear and measured force: three drift regimes by grade."""
     base = lines(spark, sf_dir).select(
         "o", "p",
-        F.col("o").cast("string").alias("slab_id"),
+        F.when(F.col("k") == 1, F.col("o").cast("string")).otherwise(F.concat_ws("-", "o", "k")).alias("slab_id"),
         F.col("p").alias("pass_number"),
         F.expr("CASE o % 3 WHEN 0 THEN 'structural' WHEN 1 THEN 'microalloyed' ELSE 'high_alloy' END").alias(
             "steel_grade"

@@ -12,15 +12,16 @@ from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from slowtruth.functions import expr
 from slowtruth.operators.match import DEFAULT_TTL
 from slowtruth.operators.models import KeyModels, Settings
 from slowtruth.plans.evaluation import RESULT_COLUMNS
-from slowtruth.sources.events import decode_events
+from slowtruth.sources.events import decode_events, quarantine_events
 
 STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -36,14 +37,18 @@ PAIR_SCHEMA = (
     "slab_id string, pass_number int, status string, event_ts timestamp, a_at long, b_at long, "
     "steel_grade string, x array<double>, baseline double, actual double, wear_level double"
 )
+#: Result rows, and after them what is known of an event that got none. Times are microseconds of the wall clock.
 RESULT_SCHEMA = (
-    "evaluation_timestamp timestamp, steel_grade string, slab_id string, pass_number int, "
+    "kind string, b_at long, a_at long, steel_grade string, slab_id string, pass_number int, "
     "baseline_roll_force_kn double, target_mean_roll_force_kn double, sgd_roll_force_kn double, "
     "am_rules_roll_force_kn double, actual_roll_force_kn double, baseline_ape double, target_mean_ape double, "
     "sgd_ape double, am_rules_ape double, am_rules_shadow_ape double, wear_level double, is_am_rules_fallback int"
 )
 
 
+_RESULT_FIELDS = [part.strip().split(" ")[0] for part in RESULT_SCHEMA.split(",")]
+
+
 def use_stream_settings(spark: SparkSession) -> None:
     for name, value in STREAM_SETTINGS.items():
         spark.conf.set(name, value)
@@ -51,12 +56,14 @@ def use_stream_settings(spark: SparkSession) -> None:
 
 def tag_streams(requests: DataFrame, truths: DataFrame) -> DataFrame:
     """Both decoded streams as one, with a side tag."""
+    # the wall clock is taken for UTC, whatever the session's zone: no hour is skipped or repeated
+    clock = F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp").alias("ts")
     a = requests.select(
-        "slab_id", "pass_number", F.col("ts").cast("timestamp").alias("ts"), F.lit("A").alias("side"), "steel_grade",
+        "slab_id", "pass_number", clock, F.lit("A").alias("side"), "steel_grade",
         expr.feature_vector(F.col("features")).alias("x"), F.col("baseline_roll_force_kn").alias("baseline"),
     )
     b = truths.select(
-        "slab_id", "pass_number", F.col("ts").cast("timestamp").alias("ts"), F.lit("B").alias("side"),
+        "slab_id", "pass_number", clock, F.lit("B").alias("side"),
         F.col("actual_roll_force_kn").alias("actual"), "wear_level",
     )
     return a.unionByName(b, allowMissingColumns=True).withColumn("at", F.unix_micros("ts"))
@@ -163,7 +170,14 @@ class GradeProcessor(StatefulProcessor):
         self.models = handle.getValueState("models", "blob binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["b_at", "slab_id", "pass_number"], kind="stable")
+        pdf = pd.concat(list(rows))
+        lost = pdf[pdf["status"] != "matched"]
+        if len(lost):  # passed on as they are
+            yield lost.rename(columns={
+                "status": "kind", "baseline": "baseline_roll_force_kn", "actual": "actual_roll_force_kn"}).reindex(columns=_RESULT_FIELDS)
+        pdf = pdf[pdf["status"] == "matched"].sort_values(["b_at", "slab_id", "pass_number"], kind="stable")
+        if not len(pdf):
+            return
         if self.models.exists():
             model = KeyModels.load(bytes(self.models.get()[0]))
         else:
@@ -173,38 +187,81 @@ class GradeProcessor(StatefulProcessor):
             for x, b, a in zip(pdf["x"], pdf["baseline"].tolist(), pdf["actual"].tolist())
         ]
         self.models.update((model.dump(),))
-        tm, sgd, routed, base, tm_ape, sgd_ape, safe, shadow, flag = map(list, zip(*scored))
-        out = pd.DataFrame({
-            "evaluation_timestamp": pd.to_datetime(pdf["b_at"].to_numpy(), unit="us", utc=True), "steel_grade": pdf["steel_grade"].to_numpy(),
-            "slab_id": pdf["slab_id"].to_numpy(), "pass_number": pdf["pass_number"].to_numpy(),
-            "baseline_roll_force_kn": pdf["baseline"].to_numpy(), "target_mean_roll_force_kn": tm,
-            "sgd_roll_force_kn": sgd, "am_rules_roll_force_kn": routed,
-            "actual_roll_force_kn": pdf["actual"].to_numpy(), "baseline_ape": base, "target_mean_ape": tm_ape,
-            "sgd_ape": sgd_ape, "am_rules_ape": safe, "am_rules_shadow_ape": shadow,
-            "wear_level": pdf["wear_level"].to_numpy(), "is_am_rules_fallback": flag,
-        })
-        yield out[list(RESULT_COLUMNS)]
+        names = ("target_mean_roll_force_kn", "sgd_roll_force_kn", "am_rules_roll_force_kn", "baseline_ape", "target_mean_ape",
+                 "sgd_ape", "am_rules_ape", "am_rules_shadow_ape", "is_am_rules_fallback")
+        out = pdf.assign(kind="matched", **dict(zip(names, map(list, zip(*scored))))).rename(
+            columns={"baseline": "baseline_roll_force_kn", "actual": "actual_roll_force_kn"})
+        yield out[_RESULT_FIELDS]
 
     def close(self) -> None:
         pass
 
 
+def wall_clock(micros: str) -> Column:
+    """Microseconds back to a zone-less timestamp, without the session's zone."""
+    return F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST({micros} AS DECIMAL(20, 0)) / 1000000)")
+
+
 def evaluate_stream(pairs: DataFrame, keys: Sequence[str] = ("steel_grade",), settings: Settings = Settings()):
-    """Result rows of the matched pairs of a stream, one model set per key."""
-    matched = pairs.where(F.col("status") == "matched")
-    scored = matched.groupBy(*keys).transformWithStateInPandas(
+    """Result rows of the matched pairs of a stream, one model set per key; events without a partner pass through.
+
+    ``kind`` is ``matched``, ``orphan`` or ``superseded``; ``evaluation_timestamp`` the time of the truth, else of the request.
+    """
+    scored = pairs.groupBy(*keys).transformWithStateInPandas(
         GradeProcessor(settings), outputStructType=RESULT_SCHEMA, outputMode="Append", timeMode="None"
     )
-    return scored.withColumn("evaluation_timestamp", F.col("evaluation_timestamp").cast("timestamp_ntz"))
+    return scored.select("kind", wall_clock("coalesce(b_at, a_at)").alias("evaluation_timestamp"), *RESULT_COLUMNS[1:])
 
 
 def serve(raw_requests: DataFrame, raw_truths: DataFrame, ttl: float = DEFAULT_TTL, delay: str = "5 minutes",
           settings: Settings = Settings()) -> DataFrame:
-    """The whole job: raw JSON of both topics in, result rows out."""
+    """The whole job: raw JSON of both topics in; result rows, events without a partner and unusable records out.
+
+    ``kind`` tells them apart (``quarantine`` for the last, with ``body`` and ``reject_reason``), so that one sink writes
+    all of a micro-batch or nothing of it.
+    """
     tagged = tag_streams(decode_events(raw_requests, "request"), decode_events(raw_truths, "truth"))
-    return evaluate_stream(pair_stream(tagged, ttl, delay), settings=settings)
+    served = evaluate_stream(pair_stream(tagged, ttl, delay), settings=settings)
+    for raw, side in ((raw_requests, "request"), (raw_truths, "truth")):
+        bad = quarantine_events(raw, side).select(F.lit("quarantine").alias("kind"), F.lit(side).alias("topic"), "body", "reject_reason")
+        served = served.unionByName(bad, allowMissingColumns=True)
+    return served
+
+
+SERVED_SCHEMA = (
+    "kind string, evaluation_timestamp timestamp_ntz, " + RESULT_SCHEMA.split("a_at long, ", 1)[1]
+    + ", topic string, body string, reject_reason string"
+)
+
+
+def read_served(spark: SparkSession, path: str) -> DataFrame:
+    """What ``serve`` has written so far."""
+    return spark.read.schema(SERVED_SCHEMA).parquet(path)
 
 
-def late_rows(query) -> int:
-    """Rows a running query has dropped because they were behind the watermark, for the orphan report."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+def waiting_events(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
+    """The events that wait in the state of a stopped job."""
+    options = {"stateVarName": "slot", "operatorId": operator}
+    return spark.read.format("statestore").options(**options).load(checkpoint)
+
+
+class LateRows(StreamingQueryListener):
+    """Total of the rows dropped behind the watermark, batch after batch: ``spark.streams.addListener`` before the start.
+
+    The progress that a query keeps ends at its last hundred batches; events reach a listener for all of them.
+    """
+
+    def __init__(self):
+        self.total = 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.total += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
