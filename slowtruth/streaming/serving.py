@@ -239,9 +239,10 @@ def read_served(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SERVED_SCHEMA).parquet(path)
 
 
-def waiting_events(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
+def waiting_events(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The events that wait in the state of a stopped job."""
-    options = {"stateVarName": "slot", "operatorId": operator}
+    known = spark.read.format("state-metadata").load(checkpoint).where(F.col("operatorProperties").contains('"slot"'))
+    options = {"stateVarName": "slot", "operatorId": known.select("operatorId").first()[0]}
     return spark.read.format("statestore").options(**options).load(checkpoint)
 
 
