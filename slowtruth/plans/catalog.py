@@ -412,18 +412,40 @@ def prequential_eval(spark, sf):
     return result
 
 
-def model_checkpoint(spark, sf):
+def _result(rows: DataFrame) -> DataFrame:
+    digits = {n: 2 for n in evaluation.RESULT_COLUMNS if n.endswith("_kn") and not n.startswith(("baseline", "actual"))}
+    digits |= {n: 4 for n in evaluation.RESULT_COLUMNS if n.endswith("_ape")} | {"wear_level": 6}
+    shown = [_r(n, digits[n]) if n in digits else F.col(n) for n in evaluation.RESULT_COLUMNS[1:]]
+    return rows.select(_text_time("evaluation_timestamp"), *shown, *[F.col(n).cast("int").alias(n) for n in ("unsafe", "untrusted")])
+
+
+def prequential_linear(spark, sf):
+    """The whole evaluation with the linear model as the one that is guarded."""
+    return _result(evaluation.prequential_eval(_matched(spark, sf), challenger="linear")[0])
+
+
+def _resumed(spark, sf, challenger: str) -> DataFrame:
     """Two half runs joined by saved models: the second half resumes where the first stopped."""
     rows = materialize(_matched(spark, sf), "pairs")
     span = rows.agg(F.expr("percentile_approx(datediff(b.ts, DATE'1970-01-01'), 0.5)").alias("mid")).first()
     early = F.expr("datediff(b.ts, DATE'1970-01-01')") < span["mid"]
-    first, state = evaluation.prequential_eval(rows.where(early))
+    first, state = evaluation.prequential_eval(rows.where(early), challenger=challenger)
     path = new_path(spark, "models")
     evaluation.write_checkpoint(state, path)
-    second, _ = evaluation.prequential_eval(rows.where(~early), state=evaluation.read_checkpoint(spark, path))
+    # all rows are given again: those that the saved models know are left out
+    second, after = evaluation.prequential_eval(rows, state=evaluation.read_checkpoint(spark, path), challenger=challenger)
+    evaluation.write_checkpoint(after, path)
     return first.unionByName(second)
 
 
+def model_checkpoint(spark, sf):
+    return _result(_resumed(spark, sf, "linear"))
+
+
+def model_checkpoint_rules(spark, sf):
+    return _resumed(spark, sf, "rules")
+
+
 def _served(spark, sf) -> tuple[DataFrame, str]:
     """The live job over the raw messages in two runs, the second of which resumes from the checkpoint."""
     raw = materialize(fixtures.raw_messages(spark, sf).select("side", "body", "sent_at"), "raw")
@@ -596,7 +618,9 @@ QUERIES: dict[str, Query] = {
     "shadow_route": Query(shadow_route, oracle.SHADOW_ROUTE),
     "shadow_vs_safe": Query(shadow_vs_safe, oracle.SHADOW_VS_SAFE),
     "prequential_eval": Query(prequential_eval),
-    "model_checkpoint": Query(model_checkpoint),
+    "prequential_linear": Query(prequential_linear, oracle.PREQUENTIAL_LINEAR),
+    "model_checkpoint": Query(model_checkpoint, oracle.PREQUENTIAL_LINEAR),
+    "model_checkpoint_rules": Query(model_checkpoint_rules),
     "serve_stream": Query(serve_stream),
     "serve_accounts": Query(serve_accounts, oracle.SERVE_ACCOUNTS),
     "grade_filter": Query(grade_filter, oracle.GRADE_FILTER),

@@ -22,6 +22,7 @@ RESULT_COLUMNS = (
     "baseline_ape", "target_mean_ape", "sgd_ape", "am_rules_ape", "am_rules_shadow_ape", "wear_level",
     "is_am_rules_fallback",
 )
+CHALLENGERS = {"linear": "sgd_residual", "offset": "target_mean_residual"}
 X = tuple(f"x{i}" for i in range(len(expr.FEATURE_NAMES)))
 
 
@@ -119,9 +120,14 @@ def prequential_eval(
     settings: Settings = Settings(),
     state: dict[str, DataFrame] | None = None,
     rows_per_round: int = learn.ROWS_PER_ROUND,
+    challenger: str = "rules",
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The 16-column result row of every matched event, and the models to resume from.
 
+    ``challenger`` names the model that the router guards, whose columns are the ``am_rules_`` ones: the rule learner, or
+    the ``linear`` or ``offset`` model. With the latter two nothing is sequential: all steps run in blocks over the whole
+    cluster, and the result also says why a row fell back (``unsafe``, ``untrusted``).
+
     ``state`` is what an earlier call returned or ``read_checkpoint`` read. Rows that are not after the last row a key's
     models have seen are left out, so that a repeated run trains nothing twice.
     Everything but the rule learner runs in blocks over the whole cluster. The learner is
@@ -155,10 +161,15 @@ def prequential_eval(
         blocks, _started(moments), _started(weights), X, "residual", settings.sgd_rate, settings.sgd_decay
     )
     scored = learn.materialize(scored, "scored")
-    routed, rules = learn.amrules_prequential(
-        scored, keys, z, settings=settings, initial=state.get("rules"), rows_per_round=rows_per_round
-    )
-    joined = scored.drop(*z, "baseline_ape").join(routed.drop("baseline", "actual", *keys), ROW)
+    if challenger == "rules":
+        routed, rules = learn.amrules_prequential(
+            scored, keys, z, settings=settings, initial=state.get("rules"), rows_per_round=rows_per_round
+        )
+        joined = scored.drop(*z, "baseline_ape").join(routed.drop("baseline", "actual", *keys), ROW)
+        router, guards = {"rules": rules}, []
+    else:
+        joined, trust = routed_in_blocks(scored.drop(*z), CHALLENGERS[challenger], keys, settings, state.get("trust"))
+        router, guards = {"trust": _final(trust, keys, staged)}, ["unsafe", "untrusted"]
     b, a = F.col("baseline"), F.col("actual")
     mean_force = expr.final_force(b, F.col("target_mean_residual"))
     sgd_force = expr.final_force(b, F.col("sgd_residual"))
@@ -177,15 +188,29 @@ def prequential_eval(
         F.col("shadow_ape").alias("am_rules_shadow_ape"),
         "wear_level",
         F.col("fallback").alias("is_am_rules_fallback"),
+        *guards,
     )
     after = {
         **{name: _final(carry, keys, staged) for name, carry in (("offset", offset), ("moments", moments), ("weights", weights))},
-        "rules": rules,
+        **router,
         "last": last_rows(staged, keys, state.get("last")),
     }
     return result, after
 
 
+def routed_in_blocks(scored: DataFrame, residual: str, keys: Sequence[str], settings: Settings, before: DataFrame | None):
+    """The router over any residual column, and the trust of each block to resume from."""
+    b, a = F.col("baseline"), F.col("actual")
+    forces = scored.withColumn("raw_force", b + F.col(residual)).withColumns(
+        {"baseline_ape": expr.ape(b, a), "shadow_ape": expr.ape(F.col("raw_force"), a)})
+    steps = with_block(forces, keys, scan.ewma_bits(settings.trust_rate))
+    columns = {"shadow_ape": "_mt", "baseline_ape": "_bt"}
+    trust = learn.materialize(scan.ewma_carry(steps, keys, columns, settings.trust_rate, before, with_final=True), "trust")
+    seen = scan.apply_ewma(steps, _started(trust), columns, settings.trust_rate)
+    seen = seen.withColumnsRenamed({"_mt_prior": "model_trust", "_bt_prior": "baseline_trust"}).drop("_mt", "_bt", BLOCK, KEY)
+    return route(seen, F.col(residual), settings), trust
+
+
 def _started(carry: DataFrame) -> DataFrame:
     return carry.where(F.col(BLOCK).isNotNull())
 
@@ -210,19 +235,18 @@ def after_last(rows: DataFrame, last: DataFrame, keys: Sequence[str]) -> DataFra
     return joined.where(F.col("last").isNull() | (F.struct(*ORDER) > F.col("last"))).drop(KEY, "last")
 
 
-#: The tables of a checkpoint.
-STATE = ("offset", "moments", "weights", "rules", "last")
 _MARK = "published"
 
 
-def _versions(spark, path: str) -> list[int]:
-    """Published versions, ascending. A version is published once its marker folder is there."""
+def _folders(spark, path: str) -> list[str]:
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return sorted(int(n.removeprefix(f"{_MARK}=")) for n in names if n.startswith(f"{_MARK}="))
+    return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+
+def _versions(spark, path: str) -> list[int]:
+    """Published versions, ascending. A version is published once its marker folder is there."""
+    return sorted(int(n.removeprefix(f"{_MARK}=")) for n in _folders(spark, path) if n.startswith(f"{_MARK}="))
 
 
 def write_checkpoint(state: dict[str, DataFrame], path: str) -> int:
@@ -234,7 +258,7 @@ def write_checkpoint(state: dict[str, DataFrame], path: str) -> int:
     """
     spark = state["offset"].sparkSession
     version = max(_versions(spark, path), default=0) + 1
-    for name in STATE:
+    for name in state:
         state[name].write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
     mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{_MARK}={version}")
     mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(mark)
@@ -248,4 +272,5 @@ def read_checkpoint(spark, path: str, version: int | None = None) -> dict[str, D
         version = known[-1]
     if version not in known:
         raise FileNotFoundError(f"no published models under {path}" + (f" of version {version}" if version else ""))
-    return {name: spark.read.parquet(f"{path}/version={version}/{name}") for name in STATE}
+    tables = [n for n in _folders(spark, f"{path}/version={version}") if not n.startswith((".", "_"))]
+    return {name: spark.read.parquet(f"{path}/version={version}/{name}") for name in tables}

@@ -178,6 +178,16 @@ SGD_PREQUENTIAL = f"WITH {SGD} SELECT {KEYS}, round(raw_force, 2) AS force FROM
 SHADOW_ROUTE = f"""WITH {SGD}, {routed("sgd_rows", "gsgd")}
 SELECT {KEYS}, round(routed_force, 2) AS routed_force, fallback, round(safe_ape, 4) AS safe_ape FROM gsgd"""
 
+_TM_ROWS = folded("matched", "steel_grade", "rn", "residual", "2e-2", "tm")
+PREQUENTIAL_LINEAR = f"""WITH {SGD}, {_TM_ROWS}, {routed("sgd_rows", "gsgd")}
+SELECT {stamp("measured_at")} AS evaluation_timestamp, steel_grade, {KEYS}, baseline AS baseline_roll_force_kn,
+  round(baseline + tm.prior, 2) AS target_mean_roll_force_kn, round(raw_force, 2) AS sgd_roll_force_kn,
+  round(routed_force, 2) AS am_rules_roll_force_kn, actual AS actual_roll_force_kn, round(baseline_ape, 4) AS baseline_ape,
+  round({ape("baseline + tm.prior", "actual")}, 4) AS target_mean_ape, round(shadow_ape, 4) AS sgd_ape,
+  round(safe_ape, 4) AS am_rules_ape, round(shadow_ape, 4) AS am_rules_shadow_ape, round(wear_level, 6) AS wear_level,
+  fallback AS is_am_rules_fallback, CAST(unsafe AS INTEGER) AS unsafe, CAST(untrusted AS INTEGER) AS untrusted
+FROM gsgd JOIN tm USING (steel_grade, rn)"""
+
 # --- drift test ---
 
 _PH = f"""{MATCHED_SQL}, errors AS (SELECT *, {ape("baseline", "actual")} AS error FROM matched),
