@@ -255,11 +255,11 @@ def shared_anchors(packs: DataFrame) -> DataFrame:
 def stretches(rows: DataFrame, buckets: int) -> DataFrame:
     """Packs of stretches of shared anchors, from (id, a, b, text, shared).
 
-    (bucket, anchor, id, a, b, start, windows, stretch): each list has an entry for a stretch, except ``stretch``, their
-    bytes one after another: ``windows`` + 49 of each. Without a bucket: the stretch is lost, as a smaller id of the
+    (bucket, anchor, id, a, b, start, windows, offset, stretch): each list has an entry for a stretch, except ``stretch``,
+    their bytes one after another: ``windows`` + 49 of each. ``offset`` is where the anchor stands in it. Without a bucket: the stretch is lost, as a smaller id of the
     same batch holds an equal one; it comes without bytes.
     """
-    lists = ["anchor", "id", "a", "b", "start", "windows"]
+    lists = ["anchor", "id", "a", "b", "start", "windows", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,12 +279,12 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
                 keep = wanted[own[first]] if len(first) else np.zeros(0, bool)
                 anchor, at, n = own[first][keep], starts[first][keep], count[keep]
                 which = found.text[anchor] + lo
-                for values, new in zip(got, (found.hash[anchor].view(np.int64), which, which, which, at - found.starts[found.text[anchor]], n)):
+                for values, new in zip(got, (found.hash[anchor].view(np.int64), which, which, which, at - found.starts[found.text[anchor]], n, found.at[anchor] - at)):
                     values.append(new)
                 cut += [found.joined[x : x + w + WINDOW - 1] for x, w in zip(at.tolist(), n.tolist())]
             if not cut:
                 continue
-            anchor, which, _, _, start, n = [np.concatenate(v) for v in got]
+            anchor, which, _, _, start, n, offset = [np.concatenate(v) for v in got]
             ids = batch.column("id").to_numpy()
             key = {c: batch.column(c).to_numpy() for c in ("a", "b")}
             # equal stretches of this batch: only the smallest id's goes on
@@ -299,7 +299,7 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
             order = np.lexsort((anchor, bucket))
             bucket = bucket[order]
             cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-            columns = [anchor[order], ids[which[order]], key["a"][which[order]], key["b"][which[order]], start[order].astype(np.int64), n[order]]
+            columns = [anchor[order], ids[which[order]], key["a"][which[order]], key["b"][which[order]], start[order], n[order], offset[order]]
             bodies = [b"".join(cut[x] for x in order[p:q]) if bucket[p] >= 0 else b"" for p, q in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[cuts[:-1]], pa.int64(), mask=bucket[cuts[:-1]] < 0)]
@@ -336,10 +336,30 @@ def lost_windows(bodies: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     return [out[b : b + n - WINDOW + 1] for b, n in zip(begin, lengths)]
 
 
+def may_share(stretches: list[tuple[int, bytes, int]]) -> list[int]:
+    """Those of the (anchor, stretch, offset) that may have a window in common with another one of their anchor.
+
+    A window is the anchor, r bytes after it and 26 - r before. For r from t to t + 3, two stretches that share the window
+    are equal from 23 - t bytes before the anchor to t bytes after it. What is alone for every t is not sorted.
+    """
+    seen: dict[tuple, int] = {}
+    asked = []
+    for anchor, s, at in stretches:
+        keys = []
+        for t in range(0, SPAN, 4):
+            before = max(0, SPAN - 4 - t)
+            if at >= before and len(s) >= at + GRAM + t:
+                keys.append((anchor, t, s[at - before : at + GRAM + t]))
+        for key in keys:
+            seen[key] = seen.get(key, 0) + 1
+        asked.append(keys)
+    return [k for k, keys in enumerate(asked) if any(seen[key] > 1 for key in keys)]
+
+
 def later_windows(packs: DataFrame, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """(a, b, id, start, length): runs of bytes whose windows a smaller id holds, in the stretches of each bucket."""
     def run(table: pa.Table) -> pa.Table:
-        flat = {c: table[c].combine_chunks().flatten().to_numpy() for c in ("anchor", "id", "a", "b", "start", "windows")}
+        flat = {c: table[c].combine_chunks().flatten().to_numpy() for c in ("anchor", "id", "a", "b", "start", "windows", "offset")}
         sizes = flat["windows"] + WINDOW - 1
         cuts = np.concatenate(([0], np.cumsum(sizes)))
         joined = b"".join(table["stretch"].to_pylist())
@@ -353,10 +373,7 @@ def later_windows(packs: DataFrame, sort_bytes: int = SORT_BYTES) -> DataFrame:
         def settle():
             distinct = list(block)
             holders = np.array([flat["id"][block[s][0]] for s in distinct])
-            kinds: dict[int, int] = {}
-            for anchor, _ in distinct:
-                kinds[anchor] = kinds.get(anchor, 0) + 1
-            several = [k for k, (anchor, _) in enumerate(distinct) if kinds[anchor] > 1]
+            several = may_share([(anchor, s, int(flat["offset"][block[anchor, s][0]])) for anchor, s in distinct])
             heard = dict(zip(several, lost_windows([distinct[k][1] for k in several], holders[several]))) if several else {}
             for k, s in enumerate(distinct):
                 runs = None
