@@ -226,8 +226,11 @@ def anchor_packs(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, anchors binary, owner binary, texts binary")
 
 
-def shared_anchors(packs: DataFrame) -> DataFrame:
-    """(a, shared): of each text, the hashes of its anchors that another text holds too, bucket by bucket."""
+def shared_anchors(packs: DataFrame, buckets: int) -> DataFrame:
+    """(a, shared): of each text, the hashes of its anchors that another text holds too.
+
+    Buckets of anchors answer in packs for buckets of texts, not with a row for each text that they know.
+    """
     def run(table: pa.Table) -> pa.Table:
         h, text = [], []
         for anchors, owner, texts in zip(*[table[c].to_pylist() for c in ("anchors", "owner", "texts")]):
@@ -242,14 +245,24 @@ def shared_anchors(packs: DataFrame) -> DataFrame:
         twin = np.concatenate(([False], h[1:] == h[:-1]))
         twin[:-1] |= twin[1:].copy()
         h, text = h[twin], text[twin]
+        to = text % buckets
+        order = np.lexsort((text, to))
+        h, text, to = h[order], text[order], to[order]
+        cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
+        return pa.table({"to": pa.array(to[cuts[:-1]], pa.int64()), "texts": pa.array(binaries(text, cuts), pa.binary()),
+                         "anchors": pa.array(binaries(h, cuts), pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        text = np.frombuffer(b"".join(table["texts"].to_pylist()), np.int64)
+        h = np.frombuffer(b"".join(table["anchors"].to_pylist()), np.int64)
         order = np.argsort(text, kind="stable")
         h, text = h[order], text[order]
-        cuts = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(h) else np.zeros(0, np.int64)
-        ends = np.concatenate((cuts, [len(h)])).astype(np.int32)
-        return pa.table({"a": pa.array(text[cuts], pa.int64()),
-                         "shared": pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))})
+        ends = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1], [True])))
+        return pa.table({"a": pa.array(text[ends[:-1]], pa.int64()),
+                         "shared": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h))})
 
-    return packs.groupBy("bucket").applyInArrow(run, "a long, shared array<long>")
+    answers = packs.groupBy("bucket").applyInArrow(run, "to long, texts binary, anchors binary")
+    return answers.groupBy("to").applyInArrow(gather, "a long, shared array<long>")
 
 
 def stretches(rows: DataFrame, buckets: int) -> DataFrame:
@@ -426,7 +439,7 @@ def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     total = texts.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, int(total * 2 / (SPAN + 1) // BUCKET_ANCHORS) + 1)
     packs = anchor_packs(rows.where(F.octet_length("raw") >= WINDOW).select("a", F.col("raw").alias("text")), buckets)
-    shared = shared_anchors(packs).groupBy("a").agg(F.flatten(F.collect_list("shared")).alias("shared"))
+    shared = shared_anchors(packs, buckets)
     info = materialize(texts.join(shared, "a", "left").where("n > 1 OR shared IS NOT NULL")
                        .select("a", "b", "first", "shared"), "shared-anchors")
     # texts meet what is known of them once; from here on only the ones with shared anchors move
@@ -434,7 +447,7 @@ def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     told = materialize(told.withColumns({
         "copy": F.coalesce(F.col("first") < F.col("key"), F.lit(False)),
         "open": F.coalesce((F.col("first") == F.col("key")) & (F.size("shared") > 0), F.lit(False)),
-    }).withColumn("shared", F.when(F.col("open"), F.col("shared"))).drop("first"), "told", ["open"])
+    }).withColumn("shared", F.when(F.col("open"), F.col("shared"))).drop("first"), "told", ["open"], compression="zstd")
     asked = told.where("open")
     work = asked.agg(F.sum(F.size("shared"))).first()[0] or 0
     # near copies share their lowest anchor, so that most equal stretches meet before they are shuffled
