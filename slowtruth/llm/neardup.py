@@ -31,7 +31,7 @@ SHINGLE, PERCENT, K = 5, 85, 64
 MIN_ESTIMATE = 0.5
 #: A task of a large cluster compares at most so many classes, or shingles, of two chunks.
 CHUNK_SETS, CHUNK_SHINGLES = 2000, 2_000_000
-#: Up to so many numbers of eight bytes are sent to all tasks instead of shuffling every text.
+#: Tables of up to so many rows of one or two numbers are sent to all tasks; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 PAD = np.iinfo(np.int64).max
@@ -203,6 +203,11 @@ def verified(tasks: DataFrame, k: int, percent: int, least: float) -> DataFrame:
     return tasks.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Broadcast if small enough, so that texts and sketches are not shuffled to find a few of them. Same result."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT,
                     k: int = K, least: float = MIN_ESTIMATE, chunk_sets: int = CHUNK_SETS,
                     chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
@@ -233,15 +238,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "heads")
     clusters = components(lists.join(heads, "value").select("row", "head"), "row", "head")
     inside = materialize(
-        clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster")).join(classes, "row"), "clusters")
+        classes.join(few(clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster"))), "row"), "clusters")
     # a cluster beyond the bound is cut into chunks, compared within themselves first, then with each other
     cut = inside.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("n") / chunk_shingles)).cast("int").alias("chunks"))
     cut = materialize(cut, "chunks")
-    wanted = inside.select("row")
-    if inside.count() <= BROADCAST_ROWS:  # else all texts are shuffled to find a few of them; the result is the same
-        wanted = F.broadcast(wanted)
-    sets = full_sets(texts.join(wanted, "row", "left_semi"), size)
+    sets = full_sets(texts.join(few(inside.select("row")), "row", "left_semi"), size)
     work = materialize(
         inside.join(cut, "cluster").join(sets, "row")
         .withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")), "sets")
