@@ -158,12 +158,15 @@ def write_metrics(spark, sf):
 
 
 def export_tsv(spark, sf):
+    """Written as text and read back, line by line."""
     rows = fixtures.passes(spark, sf).select(
         F.col("measured_at").alias("evaluation_timestamp"), "steel_grade", *PASS_KEYS,
         F.when(F.col("l_tax") > 0.07, F.lit("a\tb\\c\nd\re")).alias("note"),
         (F.col("temperature_c") / 8).alias("eighth"),
     )
-    return sinks.export_tsv(rows, rows.columns)
+    path = new_path(spark, "tsv")
+    sinks.write_tsv(rows, rows.columns, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 # --- expressions ---
