@@ -249,11 +249,16 @@ def shared_anchors(packs: DataFrame, buckets: int) -> DataFrame:
         order = np.lexsort((text, to))
         h, text, to = h[order], text[order], to[order]
         cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
-        return pa.table({"to": pa.array(to[cuts[:-1]], pa.int64()), "texts": pa.array(binaries(text, cuts), pa.binary()),
-                         "anchors": pa.array(binaries(h, cuts), pa.binary())})
+        edges = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
+        inner = np.searchsorted(edges, cuts)
+        return pa.table({
+            "to": pa.array(to[cuts[:-1]], pa.int64()), "texts": pa.array(binaries(text[edges[:-1]], inner), pa.binary()),
+            "counts": pa.array(binaries(np.diff(edges).astype(np.int32), inner), pa.binary()),
+            "anchors": pa.array(binaries(h, cuts), pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
-        text = np.frombuffer(b"".join(table["texts"].to_pylist()), np.int64)
+        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
+        text = np.repeat(np.frombuffer(b"".join(table["texts"].to_pylist()), np.int64), counts)
         h = np.frombuffer(b"".join(table["anchors"].to_pylist()), np.int64)
         order = np.argsort(text, kind="stable")
         h, text = h[order], text[order]
@@ -261,23 +266,32 @@ def shared_anchors(packs: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"a": pa.array(text[ends[:-1]], pa.int64()),
                          "shared": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h))})
 
-    answers = packs.groupBy("bucket").applyInArrow(run, "to long, texts binary, anchors binary")
+    answers = packs.groupBy("bucket").applyInArrow(run, "to long, texts binary, counts binary, anchors binary")
     return answers.groupBy("to").applyInArrow(gather, "a long, shared array<long>")
 
 
 def stretches(rows: DataFrame, buckets: int) -> DataFrame:
-    """Packs of stretches of shared anchors, from (id, a, b, text, shared).
+    """Packs of stretches of shared anchors, from (id, a, text, shared).
 
-    (bucket, anchor, id, a, b, start, windows, offset, stretch): each list has an entry for a stretch, except ``stretch``,
-    their bytes one after another: ``windows`` + 49 of each. ``offset`` is where the anchor stands in it. Without a bucket: the stretch is lost, as a smaller id of the
-    same batch holds an equal one; it comes without bytes.
+    (bucket, anchor, id, a, start, windows, offset, stretch): each list has an entry for a stretch, except ``stretch``,
+    their bytes one after another: ``windows`` + 49 of each. ``offset`` is where the anchor stands in it.
+
+    A stretch that a smaller id of the same batch holds too is lost at once. Neighbouring ones come as one run of windows
+    without bytes, in a pack of a negative bucket.
     """
-    lists = ["anchor", "id", "a", "b", "start", "windows", "offset"]
+    lists = {"anchor": np.int64, "id": np.int64, "a": np.int64, "start": np.int32, "windows": np.int32, "offset": np.int32}
+
+    def pack(buckets: list, cuts: np.ndarray, columns: list, bodies: list[bytes]) -> pa.RecordBatch:
+        arrays = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(c.astype(t))) for c, t in zip(columns, lists.values())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(buckets, pa.int64()), *arrays, pa.array(bodies, pa.binary())], names=["bucket", *lists, "stretch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            got: list[list] = [[] for _ in lists]
+            got: list[list] = [[] for _ in range(5)]
             cut: list[bytes] = []
             for lo, hi in pieces(texts, HASH_BYTES):
                 found = Anchors(texts[lo:hi])
@@ -291,35 +305,36 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
                 count = np.diff(np.concatenate((first, [len(own)])))
                 keep = wanted[own[first]] if len(first) else np.zeros(0, bool)
                 anchor, at, n = own[first][keep], starts[first][keep], count[keep]
-                which = found.text[anchor] + lo
-                for values, new in zip(got, (found.hash[anchor].view(np.int64), which, which, which, at - found.starts[found.text[anchor]], n, found.at[anchor] - at)):
+                which = found.text[anchor]
+                for values, new in zip(got, (found.hash[anchor].view(np.int64), which + lo, at - found.starts[which], n, found.at[anchor] - at)):
                     values.append(new)
                 cut += [found.joined[x : x + w + WINDOW - 1] for x, w in zip(at.tolist(), n.tolist())]
             if not cut:
                 continue
-            anchor, which, _, _, start, n, offset = [np.concatenate(v) for v in got]
-            ids = batch.column("id").to_numpy()
-            key = {c: batch.column(c).to_numpy() for c in ("a", "b")}
-            # equal stretches of this batch: only the smallest id's goes on
+            anchor, which, start, n, offset = [np.concatenate(v) for v in got]
+            ids, a = batch.column("id").to_numpy()[which], batch.column("a").to_numpy()[which]
             best: dict[bytes, int] = {}
             for x, s in enumerate(cut):
                 y = best.setdefault(s, x)
-                if ids[which[x]] < ids[which[y]]:
+                if ids[x] < ids[y]:
                     best[s] = x
-            lead = np.array([best[s] for s in cut])
-            lost = ids[which] > ids[which[lead]]
-            bucket = np.where(lost, -1, (anchor.view(np.uint64) % np.uint64(buckets)).astype(np.int64))
-            order = np.lexsort((anchor, bucket))
+            lost = ids > ids[np.array([best[s] for s in cut])]
+            if lost.any():  # stretches stand in the order of their texts
+                x = np.flatnonzero(lost)
+                joins = (which[x][1:] == which[x][:-1]) & (start[x][1:] == (start + n)[x][:-1])
+                head = np.flatnonzero(np.concatenate(([True], ~joins)))
+                total = np.add.reduceat(n[x], head)
+                x = x[head]
+                yield pack([-1 - TaskContext.get().partitionId()], np.array([0, len(x)]), [anchor[x], ids[x], a[x], start[x], total, offset[x]], [b""])
+            order = np.flatnonzero(~lost)
+            bucket = (anchor.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = order[np.lexsort((anchor[order], bucket[order]))]
             bucket = bucket[order]
-            cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-            columns = [anchor[order], ids[which[order]], key["a"][which[order]], key["b"][which[order]], start[order], n[order], offset[order]]
-            bodies = [b"".join(cut[x] for x in order[p:q]) if bucket[p] >= 0 else b"" for p, q in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cuts[:-1]], pa.int64(), mask=bucket[cuts[:-1]] < 0)]
-                + [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(c.astype(np.int64))) for c in columns]
-                + [pa.array(bodies, pa.binary())], names=["bucket", *lists, "stretch"])
-
-    schema = "bucket long, " + ", ".join(f"{c} array<long>" for c in lists) + ", stretch binary"
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+            bodies = [b"".join(cut[x] for x in order[p:q]) for p, q in zip(cuts[:-1], cuts[1:])]
+            yield pack(bucket[cuts[:-1]].tolist(), cuts, [c[order] for c in (anchor, ids, a, start, n, offset)], bodies)
+
+    schema = "bucket long, anchor array<long>, id array<long>, a array<long>, start array<int>, windows array<int>, offset array<int>, stretch binary"
     return rows.mapInArrow(run, schema)
 
 
@@ -370,9 +385,11 @@ def may_share(stretches: list[tuple[int, bytes, int]]) -> list[int]:
 
 
 def later_windows(packs: DataFrame, sort_bytes: int = SORT_BYTES) -> DataFrame:
-    """(a, b, id, start, length): runs of bytes whose windows a smaller id holds, in the stretches of each bucket."""
+    """(a, id, start, length): runs of bytes whose windows a smaller id holds, in the stretches of each bucket."""
     def run(table: pa.Table) -> pa.Table:
-        flat = {c: table[c].combine_chunks().flatten().to_numpy() for c in ("anchor", "id", "a", "b", "start", "windows", "offset")}
+        flat = {c: table[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("anchor", "id", "a", "start", "windows", "offset")}
+        if table["bucket"][0].as_py() < 0:
+            return pa.table({"a": flat["a"], "id": flat["id"], "start": flat["start"], "length": flat["windows"] + WINDOW - 1})
         sizes = flat["windows"] + WINDOW - 1
         cuts = np.concatenate(([0], np.cumsum(sizes)))
         joined = b"".join(table["stretch"].to_pylist())
@@ -412,9 +429,9 @@ def later_windows(packs: DataFrame, sort_bytes: int = SORT_BYTES) -> DataFrame:
             held.append(x)
         settle()
         x, p, n = (np.array(c, np.int64) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-        return pa.table({"a": flat["a"][x], "b": flat["b"][x], "id": flat["id"][x], "start": flat["start"][x] + p, "length": n})
+        return pa.table({"a": flat["a"][x], "id": flat["id"][x], "start": flat["start"][x] + p, "length": n})
 
-    return packs.groupBy("bucket").applyInArrow(run, "a long, b long, id long, start long, length long")
+    return packs.groupBy("bucket").applyInArrow(run, "a long, id long, start long, length long")
 
 
 def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sort_bytes: int = SORT_BYTES) -> DataFrame:
@@ -451,14 +468,11 @@ def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     asked = told.where("open")
     work = asked.agg(F.sum(F.size("shared"))).first()[0] or 0
     # near copies share their lowest anchor, so that most equal stretches meet before they are shuffled
-    near = asked.select(F.col("key").alias("id"), "a", "b", F.encode(F.col(text_at), "UTF-8").alias("text"), "shared").withColumn(
+    near = asked.select(F.col("key").alias("id"), "a", F.encode(F.col(text_at), "UTF-8").alias("text"), "shared").withColumn(
         "low", F.array_min("shared")).repartitionByRange("low", "id").drop("low")
-    cut = materialize(stretches(near, max(1, int(work * (WINDOW + SPAN // 2) // BUCKET_BYTES) + 1)), "stretches")
-    at_once = cut.where("bucket IS NULL").select(F.explode(F.arrays_zip("a", "b", "id", "start", "windows")).alias("x")).select(
-        "x.a", "x.b", "x.id", "x.start", (F.col("x.windows") + WINDOW - 1).alias("length"))
-    lost = at_once.unionByName(later_windows(cut.where("bucket IS NOT NULL"), sort_bytes))
-    by_text = lost.groupBy("a", "b", F.col("id").alias("key")).agg(F.collect_list(F.struct("start", "length")).alias("lost"))
-    found = asked.drop("shared").join(by_text, ["a", "b", "key"], "left")
+    lost = later_windows(stretches(near, max(1, int(work * (WINDOW + SPAN // 2) // BUCKET_BYTES) + 1)), sort_bytes)
+    by_text = lost.groupBy("a", F.col("id").alias("key")).agg(F.collect_list(F.struct("start", "length")).alias("lost"))
+    found = asked.drop("shared").join(by_text, ["a", "key"], "left")
     # the others: unique, or copies of a text with a smaller id
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length(text_at).cast("long").alias("length")))
     rest = told.where("NOT open").drop("shared").withColumn(
