@@ -73,7 +73,8 @@ def fit_sample(docs: DataFrame, lang: str, text: str, fit_texts: int) -> DataFra
     first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     cut = rows.select("lang", "h").distinct().withColumn("k", first).where(F.col("k") <= fit_texts).groupBy("lang").agg(
         F.max("h").alias("cut"))
-    return rows.join(cut, "lang").where("h <= cut").groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+    # a row for each language, of which the model holds a whole table: small beside it, and no text is shuffled for it
+    return rows.join(F.broadcast(cut), "lang").where("h <= cut").groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def code_lengths(counts: list[np.ndarray], left: int) -> tuple[np.ndarray, np.ndarray]:
