@@ -2,8 +2,9 @@
 
 Documents are counted into cells of (source, language, topic). One factor for each value of each dimension
 is fitted in turn until the weighted tokens of every source, language and topic have their target shares.
-The factors, scaled so that the largest product is one, are the probabilities with which documents are kept:
-the expected tokens of every margin then stand in the target proportions, and nothing is repeated.
+The product of a cell's factors is its weight. A token budget sets the rate: a document is kept with probability
+min(1, rate times weight), and the rate is solved on the table of cells so that the expected tokens are the budget.
+A cell that is too small for its weight is kept whole and nothing is repeated; it cannot lower the rate of the others.
 
 The corpus is read twice: once to count cells (partial aggregation, one row for each cell and task), once to
 sample. Fitting touches only the table of cells and the tables of factors.
@@ -22,6 +23,10 @@ from slowtruth.session import materialize
 
 TOLERANCE, MAX_ROUNDS = 1e-11, 100
 SEED = "mix"
+#: Tokens to keep, as a share of all tokens.
+BUDGET = 0.68
+#: No value is given more than so many times its observed tokens.
+CARRY = 4.0
 
 
 class Margin(NamedTuple):
@@ -46,26 +51,52 @@ def words(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t\\n\\x0B\\f\\r]+")) + 1).cast("long")
 
 
-def targets(cells: DataFrame, k: int, margin: Margin, total: int) -> DataFrame:
-    """(d{k}, target{k}): the tokens that each value of one dimension should have."""
+def fill(table: DataFrame, wanted: str, limit: str, amount: float) -> float:
+    """The factor f for which the sum of min(f * wanted, limit) is ``amount``; infinite where the limits are below it.
+
+    Each round sets the rows beyond their limit to it and spreads what is left over the others; no row comes back.
+    """
+    factor, w, most = 0.0, F.col(wanted), F.col(limit)
+    while True:
+        over = w * factor > most
+        held, rest = table.where(w > 0).agg(
+            F.coalesce(F.sum(F.when(over, most)), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, w)), F.lit(0.0))).first()
+        new = (amount - held) / rest if rest else float("inf")
+        if new <= factor * (1 + 1e-12):
+            return factor
+        if new == float("inf"):
+            return new
+        factor = new
+
+
+def targets(cells: DataFrame, k: int, margin: Margin, total: int, carry: float | None = None) -> DataFrame:
+    """(d{k}, target{k}): the tokens that each value of one dimension should have, at most ``carry`` times its own."""
     named = F.lit(None).cast("double")
     for value, share in margin.shares.items():
         key = "null" if value is None else f"={value}"
         named = F.when(F.col(f"d{k}") == key, F.lit(float(share))).otherwise(named)
     sums = cells.groupBy(f"d{k}").agg(F.sum("tokens").alias("tokens")).select(
-        f"d{k}", named.alias("named"), F.pow(F.col("tokens").cast("double"), F.lit(float(margin.temper))).alias("free"))
+        f"d{k}", (F.col("tokens") * float(carry or 0.0)).alias("most"), named.alias("named"),
+        F.pow(F.col("tokens").cast("double"), F.lit(float(margin.temper))).alias("free"))
     both = sums.agg(F.coalesce(F.sum("named"), F.lit(0.0)), F.sum(F.when(F.col("named").isNull(), F.col("free")))).first()
     given, free = both[0], both[1]
     # with no value left to take the rest, or more than everything given away, the named shares are scaled
     rest = max(0.0, 1.0 - given) if free else 0.0
     scale = 1.0 / (given + rest) if given + rest else 0.0
     share = F.coalesce(F.col("named") * scale, F.col("free") * (rest * scale / (free or 1.0)))
-    return sums.select(f"d{k}", (share * float(total)).alias(f"target{k}"))
+    wanted = sums.select(f"d{k}", (share * float(total)).alias(f"target{k}"), "most")
+    if carry is not None:
+        wanted = materialize(wanted, f"wanted{k}")
+        factor = fill(wanted, f"target{k}", "most", float(total))
+        most = F.when(F.col(f"target{k}") > 0, F.col("most")).otherwise(F.lit(0.0))
+        wanted = wanted.withColumn(f"target{k}", F.least(F.col(f"target{k}") * factor, most) if factor < float("inf") else most)
+    return wanted.drop("most")
 
 
-def rake(cells: DataFrame, margins: list[Margin], total: int, tolerance: float, max_rounds: int) -> list[DataFrame]:
+def rake(cells: DataFrame, margins: list[Margin], total: int, tolerance: float, max_rounds: int,
+         carry: float | None = None) -> list[DataFrame]:
     """Factor tables (d{k}, f{k}), one for each dimension, fitted in turn until no factor changes."""
-    wanted = [materialize(targets(cells, k, m, total), f"targets{k}") for k, m in enumerate(margins)]
+    wanted = [materialize(targets(cells, k, m, total, carry), f"targets{k}") for k, m in enumerate(margins)]
     factors = [t.select(f"d{k}", F.lit(1.0).alias(f"f{k}")) for k, t in enumerate(wanted)]
     for _ in range(max_rounds):
         worst = 0.0
@@ -88,11 +119,19 @@ def rake(cells: DataFrame, margins: list[Margin], total: int, tolerance: float,
 
 def mix_to_targets(docs: DataFrame, margins: list[Margin], doc_id: str = "doc_id", text: str = "text",
                    tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS, seed: str = SEED,
-                   rate: float = 1.0) -> DataFrame:
+                   rate: float = 1.0, budget: float | None = BUDGET, carry: float = CARRY) -> DataFrame:
     """All rows of ``docs`` with ``tokens``, ``weight`` (target over observed), ``probability`` and ``kept``.
 
-    ``probability`` is ``rate`` times the weight over the largest weight. ``kept`` compares it with a number that
-    depends on the id and the seed alone: rows of the same id share their fate, and a larger rate keeps a superset.
+    ``probability`` is ``rate`` times min(1, f * weight), with f such that the expected tokens at rate 1 are ``budget``:
+    a share of all tokens up to 1, else a number of tokens. Cells that f * weight would repeat are kept whole, and
+    what they cannot give comes from the others; with all cells whole, less than the budget is kept. No value is given
+    more than ``carry`` times its observed tokens; the rest of a share beyond that goes to the other values.
+
+    ``budget=None`` divides by the largest weight instead and limits no share: all margins then stand in the target
+    proportions, but the smallest cell sets the rate of the whole corpus.
+
+    ``kept`` compares the probability with a number that depends on the id and the seed alone: rows of the same id share
+    their fate, and a larger rate keeps a superset.
 
     A null or empty text has one token. Nulls in a dimension are a value of their own; null ids are one id. Targets that
     cannot be met together (a value without cells, zero cells in the wrong places) are met as far as ``max_rounds``
@@ -105,18 +144,24 @@ def mix_to_targets(docs: DataFrame, margins: list[Margin], doc_id: str = "doc_id
         {d: label(at(m.column)) for d, m in zip(dims, margins)})
     cells = materialize(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    factors = rake(cells, margins, total, tolerance, max_rounds)
+    factors = rake(cells, margins, total, tolerance, max_rounds, None if budget is None else carry)
     weighted = cells
     for f in factors:
         weighted = weighted.join(f, f.columns[0])
     weight = F.lit(1.0)
     for k in range(len(dims)):
         weight = weight * F.col(f"f{k}")
-    weighted = materialize(weighted.select(*dims, weight.alias("weight")), "weights")
-    top = weighted.agg(F.max("weight")).first()[0] or 1.0
+    weighted = materialize(weighted.select(*dims, weight.alias("weight"), "tokens"), "weights")
+    if budget is None:
+        probability = F.col("weight") * (rate / (weighted.agg(F.max("weight")).first()[0] or 1.0))
+    else:
+        each = weighted.select((F.col("weight") * F.col("tokens")).alias("wanted"), F.col("tokens").cast("double").alias("most"))
+        f = fill(each, "wanted", "most", budget * total if budget <= 1 else float(budget))
+        probability = F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.col("weight") * f)).otherwise(F.lit(0.0)) * rate
+    weighted = weighted.drop("tokens")
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), label(at(doc_id)))), 1, 13), 16, 10).cast("double") * 2.0**-52
     out = (
-        rows.join(weighted, dims).withColumn("probability", F.col("weight") * (rate / top))
+        rows.join(weighted, dims).withColumn("probability", probability)
         .withColumn("kept", u < F.col("probability"))
     )
     return restored(out, names, ["tokens", "weight", "probability", "kept"])
@@ -137,9 +182,9 @@ TARGETS = [
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    """Weights and sample of all documents for the production targets."""
+    """Weights and sample of all documents for the production targets, at the rate that the SQL states."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    mixed = mix_to_targets(docs.withColumn("topic", form(F.col("text"))), TARGETS)
+    mixed = mix_to_targets(docs.withColumn("topic", form(F.col("text"))), TARGETS, budget=None)
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 8).alias("weight"),
                         F.round("probability", 8).alias("probability"), "kept")
 

@@ -123,6 +123,25 @@ def test_mixing_edges(spark, messy, messy_rows, nothing, clashing):
     assert {r.key for r in mix.mix_to_targets(clashing, margins).collect()} == {"mine key"}
 
 
+@pytest.mark.parametrize("tiny", [("new", "en", "prose"), ("a", "xx", "prose"), ("a", "en", "table")])
+def test_mixing_budget_beside_a_tiny_cell(spark, tiny):
+    """One short document of a new value neither lowers the rate of a large corpus nor takes its source's share."""
+    r = random.Random(4)
+    rows = [(i, "w " * 99, r.choice(["en", "en", "fr"]), r.choice("aab"), "prose") for i in range(4000)]
+    source, lang, topic = tiny
+    docs = spark.createDataFrame(rows + [(9999, "w " * 59, lang, source, topic)], "doc_id long, text string, lang string, source string, topic string")
+    out = mix.mix_to_targets(docs, mix.TARGETS).toPandas()
+    total, expected = out.tokens.sum(), (out.tokens * out.probability).sum()
+    assert np.isclose(expected, mix.BUDGET * total) and abs(out.tokens[out.kept].sum() / total - mix.BUDGET) < 0.03
+    assert out.probability[out.doc_id == 9999].item() == 1
+    big = out[out.doc_id != 9999].groupby(["source", "lang"]).probability.first()
+    assert big.min() > 0.3
+    if source == "new":
+        given = mix.mix_to_targets(docs, mix.TARGETS[:1], budget=20_000).toPandas()
+        assert np.isclose((given.tokens * given.probability).sum(), 20_000)
+        assert mix.mix_to_targets(docs, mix.TARGETS[:1], budget=1.0).where("NOT kept").count() == 0
+
+
 def test_suffix_array():
     r = random.Random(4)
     cases = [[1] * 30, [1, 2] * 20, [2, 1] * 20, [3, 2, 1], [1, 1, 2, 1, 1, 2, 1], []]
