@@ -29,15 +29,17 @@ class Band(NamedTuple):
     high: float
 
 
-#: Whole texts. Below the first band, a text is too short for its ratio to say anything.
+#: Whole texts. Below the first band, a text is too short for its ratio to say anything. The limits follow the smallest
+#: and largest ratios of texts that the base rules accept in sf0.1 and check_s (some mix languages), with a margin.
 DOCUMENT_BANDS = (
-    Band(256, 1.05, 4.0), Band(1024, 1.25, 5.0), Band(4096, 1.35, 6.5), Band(16384, 1.4, 9.0), Band(65536, 1.4, 14.0),
+    Band(256, 1.25, 2.05), Band(512, 1.38, 2.35), Band(1024, 1.58, 2.6), Band(2048, 1.75, 2.75), Band(4096, 1.93, 2.9),
+    Band(8192, 2.03, 3.05), Band(16384, 2.15, 3.2), Band(65536, 2.15, 3.5),
 )
 #: Chunks of ``CHUNK_BYTES``; the rest of a text counts as a chunk of its own length.
-CHUNK_BANDS = (Band(1024, 1.2, 6.0), Band(4096, 1.3, 8.0))
+CHUNK_BANDS = (Band(1024, 1.58, 2.6), Band(2048, 1.75, 2.75), Band(4096, 1.93, 2.9), Band(8192, 2.0, 3.05))
 CHUNK_BYTES = 8192
 #: A text fails if more than this share of its chunks (by bytes) lies outside.
-BAD_CHUNK_SHARE = 0.5
+BAD_CHUNK_SHARE = 0.2
 LEVEL = 3
 
 SYMBOLS = b"#*$%&|<>"

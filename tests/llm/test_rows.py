@@ -87,6 +87,35 @@ def test_quality_bands(spark, nothing, clashing):
     assert {r.key for r in quality.compression_bands(clashing).collect()} == {"mine key"}
 
 
+def test_quality_bands_by_length(spark):
+    """Texts that pass the base rules: noise and half-pasted texts fall out at the lengths named, clean ones stay."""
+    import base64
+    import random
+
+    import pyarrow.parquet as pq
+
+    r = random.Random(3)
+    cut = lambda s, n: " ".join(s[i:i + 6] for i in range(0, n, 6))
+    noise = {
+        "hex": (4096, lambda n: r.randbytes(n).hex()), "base64": (350, lambda n: base64.b64encode(r.randbytes(n)).decode()),
+        "letters": (2048, lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))),
+    }
+    bad = [(f"{name} {n}", cut(make(n), n)) for name, (least, make) in noise.items() for n in (350, 700, 2048, 4096, 9000, 30000, 90000) if n >= least]
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    clean = sorted({t for t in texts if t and not expected_quality(t)[-1]})
+    words = " ".join(clean).split()
+    phrase = " ".join(words[:12])
+    for n in (300, 1000, 4000, 12000):  # 44 % of the words are one pasted sentence
+        whole = [words[100 + i:100 + i + 15] for i in range(0, n * 56 // 100, 15)]
+        bad.append((f"pasted {n}", " ".join(" ".join([*w, phrase]) for w in whole)))
+    rows = bad + [(f"clean {k}", t) for k, t in enumerate(clean)]
+    got = {x.name: x for x in quality.compression_bands(spark.createDataFrame(rows, "name string, text string")).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert [name for name, _ in bad if got[name].kept] == []
+    assert all(got[name].band_verdict == ("repetitive" if "pasted" in name else "incompressible") for name, _ in bad)
+    assert sum(not got[f"clean {k}"].kept for k in range(len(clean))) == 0 and len(clean) > 700
+
+
 def test_quality_long_product():
     """More different words than a product of three numbers can hold."""
     words = [b"%d" % i for i in range(2_000_001)] + [b"0", b"1", b"2"]
