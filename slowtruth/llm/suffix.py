@@ -8,7 +8,8 @@ together without moving or sorting what is unique:
 2. Of an anchor that is left, the stretch of windows it stands for is cut out. Equal stretches are one, held by the
    smallest id; later holders lose the stretch, the first one goes on.
 3. Stretches of one anchor meet in one task. Their suffix array is built by linear grouping, and runs of suffixes
-   equal over 50 bytes give each window's smallest id.
+   equal over 50 bytes give each window's smallest id. The stretches of an anchor that very many texts hold are cut
+   into their windows (at most 27), and only equal windows meet, so that these texts spread over all tasks.
 4. Lost windows return to their documents and are merged into runs.
 
 The suffix array is that of U. Baier, "Linear-time Suffix Sorting" (CPM 2016). Suffixes start in groups by their
@@ -20,6 +21,7 @@ recursion, no new names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ SPAN = WINDOW - GRAM + 1
 HASH_BYTES, SORT_BYTES = 2 << 20, 1 << 18
 #: Anchors of a task of step 1 and bytes of a task of step 3, for the number of buckets.
 BUCKET_ANCHORS, BUCKET_BYTES = 2_000_000, 4 << 20
+#: An anchor of more texts is dealt by window: sorting takes some 20 KB for each different stretch.
+HOT_HOLDERS = 8192
 PRIME = 0x9E3779B97F4A7C15
 NULL_ID = np.iinfo(np.int64).min
 
@@ -226,8 +230,8 @@ def anchor_packs(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, anchors binary, owner binary, texts binary")
 
 
-def shared_anchors(packs: DataFrame, buckets: int) -> DataFrame:
-    """(a, shared): of each text, the hashes of its anchors that another text holds too.
+def shared_anchors(packs: DataFrame, buckets: int, hot_holders: int = HOT_HOLDERS) -> DataFrame:
+    """(a, shared, hot): of each text, the hashes of its anchors that another text holds too, and that very many hold.
 
     Buckets of anchors answer in packs for buckets of texts, not with a row for each text that they know.
     """
@@ -245,39 +249,46 @@ def shared_anchors(packs: DataFrame, buckets: int) -> DataFrame:
         twin = np.concatenate(([False], h[1:] == h[:-1]))
         twin[:-1] |= twin[1:].copy()
         h, text = h[twin], text[twin]
+        holders = np.diff(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))) if len(h) else np.zeros(0, np.int64)
+        hot = np.repeat(holders > hot_holders, holders)
         to = text % buckets
         order = np.lexsort((text, to))
-        h, text, to = h[order], text[order], to[order]
+        h, text, to, hot = h[order], text[order], to[order], hot[order]
         cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
         edges = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
         inner = np.searchsorted(edges, cuts)
         return pa.table({
             "to": pa.array(to[cuts[:-1]], pa.int64()), "texts": pa.array(binaries(text[edges[:-1]], inner), pa.binary()),
             "counts": pa.array(binaries(np.diff(edges).astype(np.int32), inner), pa.binary()),
-            "anchors": pa.array(binaries(h, cuts), pa.binary())})
+            "anchors": pa.array(binaries(h, cuts), pa.binary()), "hot": pa.array(binaries(hot, cuts), pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
         counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
         text = np.repeat(np.frombuffer(b"".join(table["texts"].to_pylist()), np.int64), counts)
         h = np.frombuffer(b"".join(table["anchors"].to_pylist()), np.int64)
+        hot = np.frombuffer(b"".join(table["hot"].to_pylist()), bool)
         order = np.argsort(text, kind="stable")
-        h, text = h[order], text[order]
+        h, text, hot = h[order], text[order], hot[order]
         ends = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1], [True])))
         return pa.table({"a": pa.array(text[ends[:-1]], pa.int64()),
-                         "shared": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h))})
+                         "shared": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h)),
+                         "hot": pa.ListArray.from_arrays(
+                             pa.array(np.concatenate(([0], np.cumsum(hot)))[ends].astype(np.int32)), pa.array(h[hot]))})
 
-    answers = packs.groupBy("bucket").applyInArrow(run, "to long, texts binary, counts binary, anchors binary")
-    return answers.groupBy("to").applyInArrow(gather, "a long, shared array<long>")
+    answers = packs.groupBy("bucket").applyInArrow(run, "to long, texts binary, counts binary, anchors binary, hot binary")
+    return answers.groupBy("to").applyInArrow(gather, "a long, shared array<long>, hot array<long>")
 
 
 def stretches(rows: DataFrame, buckets: int) -> DataFrame:
-    """Packs of stretches of shared anchors, from (id, a, text, shared).
+    """Packs of stretches of shared anchors, from (id, a, text, shared, hot).
 
     (bucket, anchor, id, a, start, windows, offset, stretch): each list has an entry for a stretch, except ``stretch``,
     their bytes one after another: ``windows`` + 49 of each. ``offset`` is where the anchor stands in it.
 
     A stretch that a smaller id of the same batch holds too is lost at once. Neighbouring ones come as one run of windows
     without bytes, in a pack of a negative bucket.
+
+    A stretch of a hot anchor comes as its windows, each with a hash of its 50 bytes for its anchor.
     """
     lists = {"anchor": np.int64, "id": np.int64, "a": np.int64, "start": np.int32, "windows": np.int32, "offset": np.int32}
 
@@ -286,9 +297,26 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(buckets, pa.int64()), *arrays, pa.array(bodies, pa.binary())], names=["bucket", *lists, "stretch"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held_before(bodies: list[bytes], ids: np.ndarray) -> np.ndarray:
+        """Which of the strings a smaller id holds too."""
+        best: dict[bytes, int] = {}
+        for x, s in enumerate(bodies):
+            y = best.setdefault(s, x)
+            if ids[x] < ids[y]:
+                best[s] = x
+        return ids > ids[np.array([best[s] for s in bodies])]
+
+    def runs(lost: np.ndarray, which, anchor, ids, a, start, n, offset) -> pa.RecordBatch:
         from pyspark import TaskContext
 
+        x = np.flatnonzero(lost)  # stretches stand in the order of their texts
+        joins = (which[x][1:] == which[x][:-1]) & (start[x][1:] == (start + n)[x][:-1])
+        head = np.flatnonzero(np.concatenate(([True], ~joins)))
+        total = np.add.reduceat(n[x], head)
+        x = x[head]
+        return pack([-1 - TaskContext.get().partitionId()], np.array([0, len(x)]), [anchor[x], ids[x], a[x], start[x], total, offset[x]], [b""])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             got: list[list] = [[] for _ in range(5)]
@@ -313,19 +341,25 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
                 continue
             anchor, which, start, n, offset = [np.concatenate(v) for v in got]
             ids, a = batch.column("id").to_numpy()[which], batch.column("a").to_numpy()[which]
-            best: dict[bytes, int] = {}
-            for x, s in enumerate(cut):
-                y = best.setdefault(s, x)
-                if ids[x] < ids[y]:
-                    best[s] = x
-            lost = ids > ids[np.array([best[s] for s in cut])]
-            if lost.any():  # stretches stand in the order of their texts
-                x = np.flatnonzero(lost)
-                joins = (which[x][1:] == which[x][:-1]) & (start[x][1:] == (start + n)[x][:-1])
-                head = np.flatnonzero(np.concatenate(([True], ~joins)))
-                total = np.add.reduceat(n[x], head)
-                x = x[head]
-                yield pack([-1 - TaskContext.get().partitionId()], np.array([0, len(x)]), [anchor[x], ids[x], a[x], start[x], total, offset[x]], [b""])
+            lost = held_before(cut, ids)
+            if lost.any():
+                yield runs(lost, which, anchor, ids, a, start, n, offset)
+            hot = np.isin(anchor, batch.column("hot").flatten().to_numpy(zero_copy_only=False)) & ~lost
+            if hot.any():
+                x = np.flatnonzero(hot)
+                whole, shift = np.repeat(x, n[x]), np.concatenate([np.arange(k) for k in n[x]])
+                single = [cut[k][r : r + WINDOW] for k, r in zip(whole.tolist(), shift.tolist())]
+                names = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in single], np.int64)
+                windows = (which[whole], names, ids[whole], a[whole], start[whole] + shift, np.ones(len(whole), np.int64), offset[whole] - shift)
+                gone = held_before(single, ids[whole])
+                if gone.any():
+                    yield runs(gone, *windows)
+                stay = np.flatnonzero(~(lost | hot))
+                left = np.flatnonzero(~gone)
+                anchor, ids, a, start, n, offset = [
+                    np.concatenate((c[stay], w[left])) for c, w in zip((anchor, ids, a, start, n, offset), windows[1:])]
+                cut = [cut[k] for k in stay] + [single[k] for k in left]
+                lost = np.zeros(len(cut), bool)
             order = np.flatnonzero(~lost)
             bucket = (anchor.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             order = order[np.lexsort((anchor[order], bucket[order]))]
@@ -434,7 +468,8 @@ def later_windows(packs: DataFrame, sort_bytes: int = SORT_BYTES) -> DataFrame:
     return packs.groupBy("bucket").applyInArrow(run, "a long, id long, start long, length long")
 
 
-def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sort_bytes: int = SORT_BYTES) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sort_bytes: int = SORT_BYTES,
+                        hot_holders: int = HOT_HOLDERS) -> DataFrame:
     """All rows of ``docs`` with ``kept_bytes`` (binary), ``n_bytes``, ``n_removed`` and ``spans``.
 
     A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller id. ``spans`` are the
@@ -456,26 +491,26 @@ def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     total = texts.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, int(total * 2 / (SPAN + 1) // BUCKET_ANCHORS) + 1)
     packs = anchor_packs(rows.where(F.octet_length("raw") >= WINDOW).select("a", F.col("raw").alias("text")), buckets)
-    shared = shared_anchors(packs, buckets)
+    shared = shared_anchors(packs, buckets, hot_holders)
     info = materialize(texts.join(shared, "a", "left").where("n > 1 OR shared IS NOT NULL")
-                       .select("a", "b", "first", "shared"), "shared-anchors")
+                       .select("a", "b", "first", "shared", "hot"), "shared-anchors")
     # texts meet what is known of them once; from here on only the ones with shared anchors move
     told = rows.drop("raw").join(info, ["a", "b"], "left")
     told = materialize(told.withColumns({
         "copy": F.coalesce(F.col("first") < F.col("key"), F.lit(False)),
         "open": F.coalesce((F.col("first") == F.col("key")) & (F.size("shared") > 0), F.lit(False)),
-    }).withColumn("shared", F.when(F.col("open"), F.col("shared"))).drop("first"), "told", ["open"], compression="zstd")
+    }).withColumns({c: F.when(F.col("open"), F.col(c)) for c in ("shared", "hot")}).drop("first"), "told", ["open"], compression="zstd")
     asked = told.where("open")
-    work = asked.agg(F.sum(F.size("shared"))).first()[0] or 0
+    work = asked.agg(F.sum(F.size("shared") * (WINDOW + SPAN // 2) + F.size("hot") * SPAN * WINDOW)).first()[0] or 0
     # near copies share their lowest anchor, so that most equal stretches meet before they are shuffled
-    near = asked.select(F.col("key").alias("id"), "a", F.encode(F.col(text_at), "UTF-8").alias("text"), "shared").withColumn(
+    near = asked.select(F.col("key").alias("id"), "a", F.encode(F.col(text_at), "UTF-8").alias("text"), "shared", "hot").withColumn(
         "low", F.array_min("shared")).repartitionByRange("low", "id").drop("low")
-    lost = later_windows(stretches(near, max(1, int(work * (WINDOW + SPAN // 2) // BUCKET_BYTES) + 1)), sort_bytes)
+    lost = later_windows(stretches(near, max(1, int(work // BUCKET_BYTES) + 1)), sort_bytes)
     by_text = lost.groupBy("a", F.col("id").alias("key")).agg(F.collect_list(F.struct("start", "length")).alias("lost"))
-    found = asked.drop("shared").join(by_text, ["a", "key"], "left")
+    found = asked.drop("shared", "hot").join(by_text, ["a", "key"], "left")
     # the others: unique, or copies of a text with a smaller id
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length(text_at).cast("long").alias("length")))
-    rest = told.where("NOT open").drop("shared").withColumn(
+    rest = told.where("NOT open").drop("shared", "hot").withColumn(
         "lost", F.when(F.col("copy") & (F.octet_length(text_at) >= WINDOW), whole))
 
     def cut_out(texts: list, lost: list) -> list[list]:

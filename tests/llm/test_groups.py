@@ -181,6 +181,23 @@ def test_suffix_dedup(spark, messy_rows, sort_bytes):
         assert sum(s.length for s in x.spans) == x.n_removed
 
 
+def test_suffix_hot_anchor(spark):
+    """A passage that many texts hold, each with other text around it: equal to brute force, and in no task as one block."""
+    r = random.Random(12)
+    passage = prose(70, 14)
+    rows = [(k, prose(1000 + k, 4, 9000) + " " + passage[r.randrange(12):] + " " + prose(3000 + k, 4, 9000), "en", "s") for k in range(300)]
+    rows += [(400 + k, passage[:r.randrange(50, 70)], "en", "s") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(8)
+    got = suffix.drop_repeated_bytes(docs, hot_holders=40).collect()
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept_bytes)) for x in got) == expected_suffix(rows)
+    texts = docs.selectExpr("doc_id AS id", "xxhash64(encode(text, 'UTF-8')) AS a", "encode(text, 'UTF-8') AS text")
+    shared = suffix.shared_anchors(suffix.anchor_packs(texts.select("a", "text"), 3), 3, 40)
+    held = Counter()
+    for pack in suffix.stretches(texts.join(shared, "a").select("id", "a", "text", "shared", "hot"), 3).where("bucket >= 0").collect():
+        held.update(pack.anchor)
+    assert max(held.values()) <= 40 < 300
+
+
 def test_suffix_edges(nothing, clashing, spark):
     assert suffix.drop_repeated_bytes(nothing).collect() == []
     assert {r.key for r in suffix.drop_repeated_bytes(clashing).collect()} == {"mine key"}
