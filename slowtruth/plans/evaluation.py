@@ -128,8 +128,10 @@ def prequential_eval(
     the ``linear`` or ``offset`` model. With the latter two nothing is sequential: all steps run in blocks over the whole
     cluster, and the result also says why a row fell back (``unsafe``, ``untrusted``).
 
-    ``state`` is what an earlier call returned or ``read_checkpoint`` read. Rows that are not after the last row a key's
-    models have seen are left out, so that a repeated run trains nothing twice.
+    ``state`` is what an earlier call returned or ``read_checkpoint`` read. Rows that the models have seen, by keys, time,
+    slab and pass, are left out, so that a repeated run trains nothing twice. A row that comes late, measured before
+    others that the models have seen, is scored by the saved models before it trains them, in order with the run's
+    other rows: models learn in the order in which rows come, as in the live job.
     Everything but the rule learner runs in blocks over the whole cluster. The learner is
     sequential by nature, so its pass gets only what it needs and is parallel by key.
     """
@@ -138,6 +140,8 @@ def prequential_eval(
     rows_in = matched_rows(pairs, keys)
     if "last" in state:
         rows_in = after_last(rows_in, state["last"], keys)
+    if "seen" in state:
+        rows_in = unseen(rows_in, state["seen"], keys)
     staged = stage_order(rows_in, keys, ORDER, "matched")
     blocked = with_block(staged, keys)
     bits = scan.ewma_bits(settings.mean_rate)
@@ -193,8 +197,10 @@ def prequential_eval(
     after = {
         **{name: _final(carry, keys, staged) for name, carry in (("offset", offset), ("moments", moments), ("weights", weights))},
         **router,
-        "last": last_rows(staged, keys, state.get("last")),
+        "seen": seen_rows(staged, keys, state.get("seen")),
     }
+    if "last" in state:
+        after["last"] = state["last"]
     return result, after
 
 
@@ -221,15 +227,28 @@ def _final(carry: DataFrame, keys: Sequence[str], staged: DataFrame) -> DataFram
     return carry.where(F.col(BLOCK).isNull()).select(*scan.key_columns(keys, staged.schema), *state)
 
 
-def last_rows(staged: DataFrame, keys: Sequence[str], before: DataFrame | None) -> DataFrame:
-    """(keys, last): the order key of the last row each model has seen."""
-    seen = staged.select(*keys, F.struct(*ORDER).alias("last"))
-    if before is not None:
-        seen = seen.unionByName(before)
-    return seen.groupBy(*keys).agg(F.max("last").alias("last"))
+def seen_rows(staged: DataFrame, keys: Sequence[str], before: DataFrame | None) -> DataFrame:
+    """(keys, time, slab, pass) of all rows that the models have seen."""
+    seen = staged.select(*_identity(keys))
+    return seen if before is None else before.select(seen.columns).unionByName(seen)
+
+
+def unseen(rows: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows without an equal identity among ``seen``; nulls are equal to nulls."""
+    names = _identity(keys)
+    known = seen.select(*[F.col(c).alias(f"_seen{k}") for k, c in enumerate(names)]).distinct()
+    same = F.lit(True)
+    for k, c in enumerate(names):
+        same = same & F.col(c).eqNullSafe(F.col(f"_seen{k}"))
+    return rows.join(known, same, "left_anti")
+
+
+def _identity(keys: Sequence[str]) -> list[str]:
+    return [*keys, *[c for c in ORDER if c not in keys]]
 
 
 def after_last(rows: DataFrame, last: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For models saved without identities, which know only the last row of each key."""
     known = last.select(F.to_json(F.struct(*keys)).alias(KEY), "last")
     joined = rows.withColumn(KEY, F.to_json(F.struct(*keys))).join(known, KEY, "left")
     return joined.where(F.col("last").isNull() | (F.struct(*ORDER) > F.col("last"))).drop(KEY, "last")

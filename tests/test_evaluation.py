@@ -78,6 +78,37 @@ def test_small_blocks_rounds_and_resume(spark, pairs, monkeypatch, tmp_path):
         evaluation.read_checkpoint(spark, f"{path}/nowhere")
 
 
+def test_late_rows_are_scored_once(spark, pairs, tmp_path):
+    """Slabs that first come in the second run, some measured before all that the models have seen, one without a time."""
+    late = F.col("b.ts") >= F.lit("1998-06-01").cast("timestamp_ntz")
+    late = late | (F.pmod(F.xxhash64("a.slab_id"), F.lit(5)) == 0)
+    first = pairs.where(~late)
+    result, state = evaluation.prequential_eval(first)
+    one = result.toPandas()
+    path = str(tmp_path)
+    evaluation.write_checkpoint(state, path)
+    result, state = evaluation.prequential_eval(pairs, state=evaluation.read_checkpoint(spark, path))
+    two = result.toPandas()
+    rows = evaluation.matched_rows(pairs).toPandas()
+    seen = set(map(tuple, one[["slab_id", "pass_number"]].to_numpy()))
+    rows["run"] = [(s, p) not in seen for s, p in rows[["slab_id", "pass_number"]].to_numpy()]
+    assert len(one) + len(two) == len(rows)
+    assert (two.evaluation_timestamp < one.evaluation_timestamp.max()).sum() > 20
+    parts = []
+    for _, g in rows.sort_values(["run", *ORDER]).groupby("steel_grade", sort=False):
+        model = KeyModels()
+        done = [model.step(x, b, a) for x, b, a in zip(g[list(evaluation.X)].to_numpy(), g["baseline"].tolist(), g["actual"].tolist())]
+        parts.append(pd.concat([g[ORDER].reset_index(drop=True), pd.DataFrame(done, columns=COMPUTED)], axis=1))
+    same(pd.concat([one, two]), pd.concat(parts))
+    timeless = pairs.limit(1).withColumn("b", F.col("b").withField("ts", F.lit(None).cast("timestamp_ntz")))
+    evaluation.write_checkpoint(state, path)
+    result, state = evaluation.prequential_eval(pairs.unionByName(timeless), state=evaluation.read_checkpoint(spark, path))
+    assert [r.evaluation_timestamp for r in result.collect()] == [None]
+    evaluation.write_checkpoint(state, path)
+    again, _ = evaluation.prequential_eval(pairs.unionByName(timeless), state=evaluation.read_checkpoint(spark, path))
+    assert again.count() == 0
+
+
 def test_no_leakage_and_grade_isolation(spark, pairs):
     rows = evaluation.matched_rows(pairs).where("steel_grade = 'high_alloy'").toPandas().sort_values(ORDER).head(400)
     x, b, a = rows[list(evaluation.X)].to_numpy(), rows["baseline"].tolist(), rows["actual"].tolist()
