@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slowtruth.llm import chat, decontam, langid, lines, mix, neardup, quality, shard, suffix, tokens
+from slowtruth.llm import chat, decontam, langid, lines, mix, neardup, quality, shard, suffix, tokens, windows
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash_dedup": neardup.op8_minhash_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontamination": decontam.op10_decontamination,
+    "op12_substring_dedup": windows.op12_substring_dedup,
 }
 #: The others cannot be said in SQL; tests hold them against brute force.
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op5_token_counts": tokens.OP5_SQL,
     "op8_minhash_dedup": neardup.OP8_SQL,
     "op10_decontamination": decontam.OP10_SQL,
+    "op12_substring_dedup": windows.OP12_SQL,
 }
