@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slowtruth.llm import chat, decontam, langid, lines, mix, neardup, quality, shard, suffix, tokens, windows
+from slowtruth.llm import chat, decontam, langid, lines, mix, neardup, phrases, quality, repair, shard, suffix, tokens, windows
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_minhash_dedup": neardup.op8_minhash_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_structure_repair": repair.op11_structure_repair,
     "op12_substring_dedup": windows.op12_substring_dedup,
+    "op13_phrase_mining": phrases.op13_phrase_mining,
 }
 #: The others cannot be said in SQL; tests hold them against brute force.
 SQL = {
@@ -25,5 +27,7 @@ SQL = {
     "op5_token_counts": tokens.OP5_SQL,
     "op8_minhash_dedup": neardup.OP8_SQL,
     "op10_decontamination": decontam.OP10_SQL,
+    "op11_structure_repair": repair.OP11_SQL,
     "op12_substring_dedup": windows.OP12_SQL,
+    "op13_phrase_mining": phrases.OP13_SQL,
 }
