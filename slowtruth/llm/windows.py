@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slowtruth.llm.common import map_batches, numbered, position, restored
+from slowtruth.llm.rolling import Ranges, combined
 from slowtruth.llm.suffix import sliding
 from slowtruth.session import materialize
 
@@ -45,16 +46,6 @@ def lengths(window: int, shortest: int) -> list[int]:
     return out[::-1]
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
-def combined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hash of two neighbours from the hash of each."""
-    return mixed((x * np.uint64(0x9E3779B97F4A7C15)) ^ (y + np.uint64(0xC2B2AE3D27D4EB4F)))
-
-
 class Words:
     """The words of some texts, one after another; text ``k`` has those from ``first[k]`` to ``first[k + 1]``."""
 
@@ -69,19 +60,19 @@ class Words:
         self.ends = np.flatnonzero(self.data == 32)
         self.starts = np.concatenate(([0], self.ends[:-1] + 1)).astype(np.int64)[: len(self.ends)]
         self.n = len(self.ends)
+        self._hashes: dict[int, np.ndarray] = {}
 
     def hashes(self, seed: int) -> np.ndarray:
         """A 64-bit hash of each word."""
-        out = np.zeros(self.n, np.uint64)
-        table = mixed(mixed(np.arange(seed * 256 + 1, seed * 256 + 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        if seed in self._hashes:
+            return self._hashes[seed]
+        out = self._hashes[seed] = np.zeros(self.n, np.uint64)
         step = 1 << 17
         for lo in range(0, self.n, step):  # about a megabyte of text at a time
             starts, ends = self.starts[lo : lo + step], self.ends[lo : lo + step]
-            sizes = ends - starts + 1
-            at = np.arange(ends[-1] + 1 - starts[0]) - np.repeat(starts - starts[0], sizes)
-            powers = np.cumprod(np.full(int(sizes.max()), 0xD1342543DE82EF95, np.uint64))
-            out[lo : lo + step] = np.add.reduceat(table[self.data[starts[0] : ends[-1] + 1]] * powers[at], starts - starts[0])
-        return mixed(out)
+            near = Ranges(self.data[starts[0] : ends[-1]], seed)
+            out[lo : lo + step] = near.hashes(starts - starts[0], ends - starts[0])
+        return out
 
     def windows(self, length: int, seed: int = 0) -> np.ndarray:
         """A hash of ``length`` words from each word on, by doubling; the last ``length - 1`` have none."""
