@@ -21,7 +21,6 @@ recursion, no new names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slowtruth.llm.common import map_batches, numbered, position, restored
+from slowtruth.llm.rolling import Ranges, combined
 from slowtruth.session import materialize
 
 WINDOW, GRAM = 50, 24
@@ -194,6 +194,32 @@ def pieces(texts: list, size: int) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def fresh(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Where another value of the columns begins in that order."""
+    out = np.zeros(len(order), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[order[1:]] != c[order[:-1]]
+    return out
+
+
+def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ones."""
+    if not len(among):
+        return np.zeros(len(values), bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+def counting(times: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the numbers."""
+    return np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+
+
+def sliced(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges of ``data``, one after another."""
+    return data[np.repeat(begin, sizes) + counting(sizes)]
+
+
 def binaries(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
@@ -297,14 +323,14 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(buckets, pa.int64()), *arrays, pa.array(bodies, pa.binary())], names=["bucket", *lists, "stretch"])
 
-    def held_before(bodies: list[bytes], ids: np.ndarray) -> np.ndarray:
+    def held_before(anchor: np.ndarray, digests: tuple, ids: np.ndarray) -> np.ndarray:
         """Which of the strings a smaller id holds too."""
-        best: dict[bytes, int] = {}
-        for x, s in enumerate(bodies):
-            y = best.setdefault(s, x)
-            if ids[x] < ids[y]:
-                best[s] = x
-        return ids > ids[np.array([best[s] for s in bodies])]
+        order = np.lexsort((ids, *digests, anchor))
+        head = np.flatnonzero(fresh(order, anchor, *digests))
+        least = np.repeat(ids[order][head], np.diff(np.concatenate((head, [len(order)]))))
+        out = np.empty(len(ids), bool)
+        out[order] = ids[order] > least
+        return out
 
     def runs(lost: np.ndarray, which, anchor, ids, a, start, n, offset) -> pa.RecordBatch:
         from pyspark import TaskContext
@@ -319,70 +345,72 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            got: list[list] = [[] for _ in range(5)]
-            cut: list[bytes] = []
+            # all texts that hold a shared anchor have it among theirs, so one list for the batch does
+            wanted = np.unique(batch.column("shared").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            whole, base = np.frombuffer(b"".join(texts), np.uint8), 0
+            got: list[list] = [[] for _ in range(8)]
             for lo, hi in pieces(texts, HASH_BYTES):
                 found = Anchors(texts[lo:hi])
-                wanted = np.zeros(len(found.at), bool)
-                edges = np.searchsorted(found.text, np.arange(hi - lo + 1))
-                for i in range(lo, hi):
-                    mine = slice(edges[i - lo], edges[i - lo + 1])
-                    wanted[mine] = np.isin(found.hash[mine], np.array(batch.column("shared")[i].as_py(), np.int64).view(np.uint64))
                 starts, own = found.owners()
                 first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))[: len(own)]
                 count = np.diff(np.concatenate((first, [len(own)])))
-                keep = wanted[own[first]] if len(first) else np.zeros(0, bool)
-                anchor, at, n = own[first][keep], starts[first][keep], count[keep]
-                which = found.text[anchor]
-                for values, new in zip(got, (found.hash[anchor].view(np.int64), which + lo, at - found.starts[which], n, found.at[anchor] - at)):
+                keep = member(found.hash[own[first]], wanted) if len(first) else np.zeros(0, bool)
+                mine, at, n = own[first][keep], starts[first][keep], count[keep]
+                text_ = found.text[mine]
+                data = whole[base : base + len(found.joined)]
+                digests = [Ranges(data, k).hashes(at, at + n + WINDOW - 1) for k in (0, 1)]
+                for values, new in zip(got, (found.hash[mine].view(np.int64), text_ + lo, at - found.starts[text_], n, found.at[mine] - at, at + base, *digests)):
                     values.append(new)
-                cut += [found.joined[x : x + w + WINDOW - 1] for x, w in zip(at.tolist(), n.tolist())]
-            if not cut:
+                base += len(data)
+            if not sum(map(len, got[0])):
                 continue
-            anchor, which, start, n, offset = [np.concatenate(v) for v in got]
+            anchor, which, start, n, offset, place, *digests = [np.concatenate(v) for v in got]
             ids, a = batch.column("id").to_numpy()[which], batch.column("a").to_numpy()[which]
-            lost = held_before(cut, ids)
+            lost = held_before(anchor, digests, ids)
             if lost.any():
                 yield runs(lost, which, anchor, ids, a, start, n, offset)
-            hot = np.isin(anchor, batch.column("hot").flatten().to_numpy(zero_copy_only=False)) & ~lost
+            hot = member(anchor, np.unique(batch.column("hot").flatten().to_numpy(zero_copy_only=False))) & ~lost
+            stay = np.flatnonzero(~(lost | hot))
             if hot.any():
                 x = np.flatnonzero(hot)
-                whole, shift = np.repeat(x, n[x]), np.concatenate([np.arange(k) for k in n[x]])
-                single = [cut[k][r : r + WINDOW] for k, r in zip(whole.tolist(), shift.tolist())]
-                names = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in single], np.int64)
-                windows = (which[whole], names, ids[whole], a[whole], start[whole] + shift, np.ones(len(whole), np.int64), offset[whole] - shift)
-                gone = held_before(single, ids[whole])
+                of, shift = np.repeat(x, n[x]), counting(n[x])
+                single = sliced(whole, place[of] + shift, np.full(len(of), WINDOW))
+                cuts = np.arange(len(of) + 1) * WINDOW
+                names = [Ranges(single, k).hashes(cuts[:-1], cuts[1:]) for k in (0, 1)]
+                windows = (which[of], names[0].view(np.int64), ids[of], a[of], start[of] + shift, np.ones(len(of), np.int64), offset[of] - shift)
+                gone = held_before(windows[1], names, ids[of])
                 if gone.any():
                     yield runs(gone, *windows)
-                stay = np.flatnonzero(~(lost | hot))
                 left = np.flatnonzero(~gone)
-                anchor, ids, a, start, n, offset = [
-                    np.concatenate((c[stay], w[left])) for c, w in zip((anchor, ids, a, start, n, offset), windows[1:])]
-                cut = [cut[k] for k in stay] + [single[k] for k in left]
-                lost = np.zeros(len(cut), bool)
-            order = np.flatnonzero(~lost)
+                anchor, ids, a, start, n, offset, place = [
+                    np.concatenate((c[stay], w[left])) for c, w in zip((anchor, ids, a, start, n, offset, place), (*windows[1:], place[of] + shift))]
+                stay = np.arange(len(anchor))
             bucket = (anchor.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            order = order[np.lexsort((anchor[order], bucket[order]))]
+            order = stay[np.lexsort((anchor[stay], bucket[stay]))]
             bucket = bucket[order]
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            bodies = [b"".join(cut[x] for x in order[p:q]) for p, q in zip(cuts[:-1], cuts[1:])]
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(order) else np.zeros(1, np.int64)
+            sizes = n + WINDOW - 1
+            bodies = [sliced(whole, place[order[p:q]], sizes[order[p:q]]).tobytes() for p, q in zip(cuts[:-1], cuts[1:])]
             yield pack(bucket[cuts[:-1]].tolist(), cuts, [c[order] for c in (anchor, ids, a, start, n, offset)], bodies)
 
     schema = "bucket long, anchor array<long>, id array<long>, a array<long>, start array<int>, windows array<int>, offset array<int>, stretch binary"
     return rows.mapInArrow(run, schema)
 
 
-def lost_windows(bodies: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """Of each stretch, which of its windows a stretch of a smaller id holds; equal stretches come once."""
-    symbols = np.frombuffer(b"\0".join([*bodies, b""]), np.uint8).astype(np.int64) + 2
-    lengths = np.array([len(s) for s in bodies])
+def lost_windows(joined: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of different stretches, one after another: runs of windows that a stretch of a smaller id holds (stretch, first, last + 1)."""
+    n = len(joined) + len(lengths)
     begin = np.cumsum(lengths + 1) - lengths - 1
-    symbols[begin + lengths] = 1  # ends every stretch, below all bytes
-    order = np.array(suffix_array(np.concatenate((symbols, [0]))))
+    owner = np.repeat(np.arange(len(lengths)), lengths + 1)
+    symbols = np.ones(n + 1, np.int64)  # 1 ends every stretch, below all bytes, and 0 all of them
+    inside = np.ones(n, bool)
+    inside[begin + lengths] = False
+    symbols[:-1][inside] = joined.astype(np.int64) + 2
+    symbols[-1] = 0
+    order = np.array(suffix_array(symbols))
     # only suffixes that start a window
-    owner = np.repeat(np.arange(len(bodies)), lengths + 1)
-    offset = np.arange(len(symbols)) - np.repeat(begin, lengths + 1)
-    order = order[order < len(symbols)]
+    offset = np.arange(n) - begin[owner]
+    order = order[order < n]
     order = order[offset[order] <= lengths[owner[order]] - WINDOW]
     narrow = symbols.astype(np.int16)
     same = np.ones(len(order) - 1, bool)
@@ -393,77 +421,66 @@ def lost_windows(bodies: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     smallest = np.full(group[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(smallest, group, ids[owner[order]])
     lost = ids[owner[order]] > smallest[group]
-    out = np.zeros(len(symbols), bool)
-    out[order[lost]] = True
-    return [out[b : b + n - WINDOW + 1] for b, n in zip(begin, lengths)]
+    out = np.zeros(n + 2, np.int8)
+    out[order[lost] + 1] = 1
+    edge = np.diff(out)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    which = owner[first] if len(first) else first
+    return which, first - begin[which], last - begin[which]
 
 
-def may_share(stretches: list[tuple[int, bytes, int]]) -> list[int]:
-    """Those of the (anchor, stretch, offset) that may have a window in common with another one of their anchor.
+def may_share(data: np.ndarray, anchor: np.ndarray, begin: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which stretches of ``data`` may have a window in common with another one of their anchor (at ``at`` in each).
 
     A window is the anchor, r bytes after it and 26 - r before. For r from t to t + 3, two stretches that share the window
     are equal from 23 - t bytes before the anchor to t bytes after it. What is alone for every t is not sorted.
     """
-    seen: dict[tuple, int] = {}
-    asked = []
-    for anchor, s, at in stretches:
-        keys = []
-        for t in range(0, SPAN, 4):
-            before = max(0, SPAN - 4 - t)
-            if at >= before and len(s) >= at + GRAM + t:
-                keys.append((anchor, t, s[at - before : at + GRAM + t]))
-        for key in keys:
-            seen[key] = seen.get(key, 0) + 1
-        asked.append(keys)
-    return [k for k, keys in enumerate(asked) if any(seen[key] > 1 for key in keys)]
+    near, out = Ranges(data, 2), np.zeros(len(anchor), bool)
+    for t in range(0, SPAN, 4):
+        before = max(0, SPAN - 4 - t)
+        fit = np.flatnonzero((at >= before) & (sizes >= at + GRAM + t))
+        keys = combined(anchor[fit].view(np.uint64), near.hashes((begin + at)[fit] - before, (begin + at)[fit] + GRAM + t))
+        _, back, times = np.unique(keys, return_inverse=True, return_counts=True)
+        out[fit] |= times[back] > 1
+    return out
 
 
 def later_windows(packs: DataFrame, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """(a, id, start, length): runs of bytes whose windows a smaller id holds, in the stretches of each bucket."""
     def run(table: pa.Table) -> pa.Table:
         flat = {c: table[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("anchor", "id", "a", "start", "windows", "offset")}
-        if table["bucket"][0].as_py() < 0:
-            return pa.table({"a": flat["a"], "id": flat["id"], "start": flat["start"], "length": flat["windows"] + WINDOW - 1})
         sizes = flat["windows"] + WINDOW - 1
-        cuts = np.concatenate(([0], np.cumsum(sizes)))
-        joined = b"".join(table["stretch"].to_pylist())
-        order = np.lexsort((flat["id"], flat["anchor"]))
-        # equal stretches of an anchor are one, held by the smallest id; whole anchors are sorted in blocks
-        rows: list[tuple] = []
-        block: dict[tuple, list[int]] = {}
-        total = 0
-        last = None
-
-        def settle():
-            distinct = list(block)
-            holders = np.array([flat["id"][block[s][0]] for s in distinct])
-            several = may_share([(anchor, s, int(flat["offset"][block[anchor, s][0]])) for anchor, s in distinct])
-            heard = dict(zip(several, lost_windows([distinct[k][1] for k in several], holders[several]))) if several else {}
-            for k, s in enumerate(distinct):
-                runs = None
-                for x in block[s]:
-                    if flat["id"][x] > holders[k]:
-                        rows.append((x, 0, sizes[x]))
-                    elif k in heard:
-                        if runs is None:
-                            edge = np.diff(np.concatenate(([0], heard[k].view(np.int8), [0])))
-                            runs = list(zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))
-                        rows.extend((x, p, q - p + WINDOW - 1) for p, q in runs)
-            block.clear()
-
-        for x in order:
-            if total >= sort_bytes and flat["anchor"][x] != last:
-                settle()
-                total = 0
-            last = int(flat["anchor"][x])
-            s = (last, joined[cuts[x] : cuts[x + 1]])
-            held = block.setdefault(s, [])
-            if not held:
-                total += len(s[1])
-            held.append(x)
-        settle()
-        x, p, n = (np.array(c, np.int64) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-        return pa.table({"a": flat["a"][x], "id": flat["id"][x], "start": flat["start"][x] + p, "length": n})
+        if table["bucket"][0].as_py() < 0:
+            return pa.table({"a": flat["a"], "id": flat["id"], "start": flat["start"], "length": sizes})
+        data = np.frombuffer(b"".join(table["stretch"].to_pylist()), np.uint8)
+        begin = np.cumsum(sizes) - sizes
+        digests = [Ranges(data, k).hashes(begin, begin + sizes) for k in (0, 1)]
+        # equal stretches of an anchor are one, held by the smallest id
+        order = np.lexsort((flat["id"], *digests, flat["anchor"]))
+        head = np.flatnonzero(fresh(order, flat["anchor"], *digests))
+        group = np.repeat(np.arange(len(head)), np.diff(np.concatenate((head, [len(order)]))))
+        ids = flat["id"][order]
+        later = ids > ids[head][group]
+        firsts = np.bincount(group[~later], minlength=len(head))  # rows of the smallest id come first in a group
+        rows, starts, lengths = [order[later]], [np.zeros(int(later.sum()), np.int64)], [sizes[order[later]]]
+        one = order[head]
+        asked = np.flatnonzero(may_share(data, flat["anchor"][one], begin[one], sizes[one], flat["offset"][one]))
+        # whole anchors are sorted in blocks
+        anchor, spent = flat["anchor"][one[asked]], np.cumsum(sizes[one[asked]])
+        lo = 0
+        while lo < len(asked):
+            over = int(np.searchsorted(spent, (spent[lo - 1] if lo else 0) + sort_bytes))
+            hi = int(np.searchsorted(anchor, anchor[min(over, len(asked) - 1)], "right"))
+            block = asked[lo:hi]
+            x = one[block]
+            which, p, q = lost_windows(sliced(data, begin[x], sizes[x]), sizes[x], flat["id"][x])
+            times = firsts[block[which]]
+            rows.append(order[np.repeat(head[block[which]], times) + counting(times)])
+            starts.append(np.repeat(p, times))
+            lengths.append(np.repeat(q - p + WINDOW - 1, times))
+            lo = hi
+        x = np.concatenate(rows)
+        return pa.table({"a": flat["a"][x], "id": flat["id"][x], "start": flat["start"][x] + np.concatenate(starts), "length": np.concatenate(lengths)})
 
     return packs.groupBy("bucket").applyInArrow(run, "a long, id long, start long, length long")
 
