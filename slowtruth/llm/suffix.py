@@ -42,6 +42,8 @@ BUCKET_ANCHORS, BUCKET_BYTES = 2_000_000, 4 << 20
 HOT_HOLDERS = 8192
 PRIME = 0x9E3779B97F4A7C15
 NULL_ID = np.iinfo(np.int64).min
+#: The bits of an anchor's hash that are sent to find shared ones.
+KNOWN = np.uint64(2**64 - 2**16)
 
 
 def suffix_array(symbols: np.ndarray) -> list[int]:
@@ -220,6 +222,16 @@ def sliced(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return data[np.repeat(begin, sizes) + counting(sizes)]
 
 
+def narrow(h: np.ndarray) -> bytes:
+    """Hashes without their last 16 bits, which serve to find what may be shared: six bytes each instead of eight."""
+    return (h >> np.uint64(32)).astype(np.uint32).tobytes() + (h >> np.uint64(16)).astype(np.uint16).tobytes()
+
+
+def widened(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return (np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(32)) | (np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(16))
+
+
 def binaries(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
@@ -233,23 +245,24 @@ def anchor_packs(rows: DataFrame, buckets: int) -> DataFrame:
             hashes, owners = [], []
             for lo, hi in pieces(texts, HASH_BYTES):
                 found = Anchors(texts[lo:hi])
-                hashes.append(found.hash)
+                hashes.append(found.hash & KNOWN)
                 owners.append(found.text + lo)
             if not hashes:
                 continue
             h, own = np.concatenate(hashes), np.concatenate(owners)
-            order = np.lexsort((own, h, h % np.uint64(buckets)))
+            bucket = ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((own, h, bucket))
             h, own = h[order], own[order]
             keep = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))[: len(h)]
             h, own = h[keep], own[keep].astype(np.uint32 if len(keys) > 65535 else np.uint16)
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            bucket = bucket[order][keep]
             cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(h)])) if len(h) else np.zeros(1, int)
             names = []
             for a, b in zip(cuts[:-1], cuts[1:]):  # the pack's own numbering of the texts it mentions
                 used, own[a:b] = np.unique(own[a:b], return_inverse=True)
                 names.append(keys[used].tobytes())
             yield pa.RecordBatch.from_arrays([
-                pa.array(bucket[cuts[:-1]] if len(h) else [], pa.int64()), pa.array(binaries(h, cuts), pa.binary()),
+                pa.array(bucket[cuts[:-1]] if len(h) else [], pa.int64()), pa.array([narrow(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
                 pa.array(binaries(own, cuts), pa.binary()), pa.array(names, pa.binary())],
                 names=["bucket", "anchors", "owner", "texts"])
 
@@ -264,7 +277,7 @@ def shared_anchors(packs: DataFrame, buckets: int, hot_holders: int = HOT_HOLDER
     def run(table: pa.Table) -> pa.Table:
         h, text = [], []
         for anchors, owner, texts in zip(*[table[c].to_pylist() for c in ("anchors", "owner", "texts")]):
-            h.append(np.frombuffer(anchors, np.uint64))
+            h.append(widened(anchors))
             kind = np.uint16 if len(owner) == 2 * len(h[-1]) else np.uint32
             text.append(np.frombuffer(texts, np.int64)[np.frombuffer(owner, kind)])
         h, text = np.concatenate(h), np.concatenate(text)
@@ -286,12 +299,12 @@ def shared_anchors(packs: DataFrame, buckets: int, hot_holders: int = HOT_HOLDER
         return pa.table({
             "to": pa.array(to[cuts[:-1]], pa.int64()), "texts": pa.array(binaries(text[edges[:-1]], inner), pa.binary()),
             "counts": pa.array(binaries(np.diff(edges).astype(np.int32), inner), pa.binary()),
-            "anchors": pa.array(binaries(h, cuts), pa.binary()), "hot": pa.array(binaries(hot, cuts), pa.binary())})
+            "anchors": pa.array([narrow(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()), "hot": pa.array(binaries(hot, cuts), pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
         counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
         text = np.repeat(np.frombuffer(b"".join(table["texts"].to_pylist()), np.int64), counts)
-        h = np.frombuffer(b"".join(table["anchors"].to_pylist()), np.int64)
+        h = np.concatenate([widened(x) for x in table["anchors"].to_pylist()]).view(np.int64)
         hot = np.frombuffer(b"".join(table["hot"].to_pylist()), bool)
         order = np.argsort(text, kind="stable")
         h, text, hot = h[order], text[order], hot[order]
@@ -309,7 +322,7 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
     """Packs of stretches of shared anchors, from (id, a, text, shared, hot).
 
     (bucket, anchor, id, a, start, windows, offset, stretch): each list has an entry for a stretch, except ``stretch``,
-    their bytes one after another: ``windows`` + 49 of each. ``offset`` is where the anchor stands in it.
+    their bytes one after another, compressed: ``windows`` + 49 of each. ``offset`` is where the anchor stands in it.
 
     A stretch that a smaller id of the same batch holds too is lost at once. Neighbouring ones come as one run of windows
     without bytes, in a pack of a negative bucket.
@@ -323,13 +336,11 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(buckets, pa.int64()), *arrays, pa.array(bodies, pa.binary())], names=["bucket", *lists, "stretch"])
 
-    def held_before(anchor: np.ndarray, digests: tuple, ids: np.ndarray) -> np.ndarray:
+    def held_before(anchor: np.ndarray, digests: list, ids: np.ndarray) -> np.ndarray:
         """Which of the strings a smaller id holds too."""
-        order = np.lexsort((ids, *digests, anchor))
-        head = np.flatnonzero(fresh(order, anchor, *digests))
-        least = np.repeat(ids[order][head], np.diff(np.concatenate((head, [len(order)]))))
+        order, _, later, _ = first_holders(ids, anchor, digests)
         out = np.empty(len(ids), bool)
-        out[order] = ids[order] > least
+        out[order] = later
         return out
 
     def runs(lost: np.ndarray, which, anchor, ids, a, start, n, offset) -> pa.RecordBatch:
@@ -343,6 +354,9 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
         return pack([-1 - TaskContext.get().partitionId()], np.array([0, len(x)]), [anchor[x], ids[x], a[x], start[x], total, offset[x]], [b""])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             # all texts that hold a shared anchor have it among theirs, so one list for the batch does
@@ -354,7 +368,7 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
                 starts, own = found.owners()
                 first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))[: len(own)]
                 count = np.diff(np.concatenate((first, [len(own)])))
-                keep = member(found.hash[own[first]], wanted) if len(first) else np.zeros(0, bool)
+                keep = member(found.hash[own[first]] & KNOWN, wanted) if len(first) else np.zeros(0, bool)
                 mine, at, n = own[first][keep], starts[first][keep], count[keep]
                 text_ = found.text[mine]
                 data = whole[base : base + len(found.joined)]
@@ -369,7 +383,7 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
             lost = held_before(anchor, digests, ids)
             if lost.any():
                 yield runs(lost, which, anchor, ids, a, start, n, offset)
-            hot = member(anchor, np.unique(batch.column("hot").flatten().to_numpy(zero_copy_only=False))) & ~lost
+            hot = member(anchor & KNOWN.view(np.int64), np.unique(batch.column("hot").flatten().to_numpy(zero_copy_only=False))) & ~lost
             stay = np.flatnonzero(~(lost | hot))
             if hot.any():
                 x = np.flatnonzero(hot)
@@ -390,7 +404,7 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
             bucket = bucket[order]
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(order) else np.zeros(1, np.int64)
             sizes = n + WINDOW - 1
-            bodies = [sliced(whole, place[order[p:q]], sizes[order[p:q]]).tobytes() for p, q in zip(cuts[:-1], cuts[1:])]
+            bodies = [small.compress(sliced(whole, place[order[p:q]], sizes[order[p:q]]).tobytes()) for p, q in zip(cuts[:-1], cuts[1:])]
             yield pack(bucket[cuts[:-1]].tolist(), cuts, [c[order] for c in (anchor, ids, a, start, n, offset)], bodies)
 
     schema = "bucket long, anchor array<long>, id array<long>, a array<long>, start array<int>, windows array<int>, offset array<int>, stretch binary"
@@ -439,45 +453,90 @@ def may_share(data: np.ndarray, anchor: np.ndarray, begin: np.ndarray, sizes: np
     for t in range(0, SPAN, 4):
         before = max(0, SPAN - 4 - t)
         fit = np.flatnonzero((at >= before) & (sizes >= at + GRAM + t))
-        keys = combined(anchor[fit].view(np.uint64), near.hashes((begin + at)[fit] - before, (begin + at)[fit] + GRAM + t))
-        _, back, times = np.unique(keys, return_inverse=True, return_counts=True)
-        out[fit] |= times[back] > 1
+        keys = near.hashes((begin + at)[fit] - before, (begin + at)[fit] + GRAM + t)
+        out[fit] |= several(combined(anchor[fit].view(np.uint64), keys))
     return out
 
 
+def first_holders(ids: np.ndarray, anchor: np.ndarray, digests: list[np.ndarray]) -> tuple:
+    """Equal strings of an anchor: (order that brings them together, where each begins, later, firsts).
+
+    The smallest id comes first; ``later`` are those in order that a larger id holds, ``firsts`` how many of each have the smallest.
+    """
+    order = np.lexsort((ids, *digests, anchor))
+    head = np.flatnonzero(fresh(order, anchor, *digests))
+    group = np.repeat(np.arange(len(head)), np.diff(np.concatenate((head, [len(order)]))))
+    later = ids[order] > ids[order][head][group]
+    return order, head, later, np.bincount(group[~later], minlength=len(head))
+
+
+def several(keys: np.ndarray) -> np.ndarray:
+    """Which values stand more than once."""
+    _, back, times = np.unique(keys, return_inverse=True, return_counts=True)
+    return times[back] > 1
+
+
 def later_windows(packs: DataFrame, sort_bytes: int = SORT_BYTES) -> DataFrame:
-    """(a, id, start, length): runs of bytes whose windows a smaller id holds, in the stretches of each bucket."""
+    """(a, id, start, length): runs of bytes whose windows a smaller id holds, in the stretches of each bucket.
+
+    Equal stretches are one. Of what is left, windows that stand alone by their hash are cut off, and equal runs of the others
+    are one again. Suffix arrays tell the windows of those runs apart that still share one with a different run.
+    """
     def run(table: pa.Table) -> pa.Table:
+        import zstandard
+
         flat = {c: table[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("anchor", "id", "a", "start", "windows", "offset")}
         sizes = flat["windows"] + WINDOW - 1
         if table["bucket"][0].as_py() < 0:
             return pa.table({"a": flat["a"], "id": flat["id"], "start": flat["start"], "length": sizes})
-        data = np.frombuffer(b"".join(table["stretch"].to_pylist()), np.uint8)
+        opened = zstandard.ZstdDecompressor()
+        data = np.frombuffer(b"".join(opened.decompress(x) for x in table["stretch"].to_pylist()), np.uint8)
         begin = np.cumsum(sizes) - sizes
-        digests = [Ranges(data, k).hashes(begin, begin + sizes) for k in (0, 1)]
-        # equal stretches of an anchor are one, held by the smallest id
-        order = np.lexsort((flat["id"], *digests, flat["anchor"]))
-        head = np.flatnonzero(fresh(order, flat["anchor"], *digests))
-        group = np.repeat(np.arange(len(head)), np.diff(np.concatenate((head, [len(order)]))))
-        ids = flat["id"][order]
-        later = ids > ids[head][group]
-        firsts = np.bincount(group[~later], minlength=len(head))  # rows of the smallest id come first in a group
-        rows, starts, lengths = [order[later]], [np.zeros(int(later.sum()), np.int64)], [sizes[order[later]]]
+        bodies = [Ranges(data, k) for k in (0, 1)]
+        rows, starts, lengths = [], [], []
+
+        def lose(stretch: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+            """Bytes of distinct stretches that go, in all rows of the smallest id."""
+            times = firsts[stretch]
+            rows.append(order[np.repeat(head[stretch], times) + counting(times)])
+            starts.append(np.repeat(first, times))
+            lengths.append(np.repeat(size, times))
+
+        order, head, later, firsts = first_holders(flat["id"], flat["anchor"], [b.hashes(begin, begin + sizes) for b in bodies])
+        rows.append(order[later])
+        starts.append(np.zeros(len(rows[0]), np.int64))
+        lengths.append(sizes[rows[0]])
         one = order[head]
         asked = np.flatnonzero(may_share(data, flat["anchor"][one], begin[one], sizes[one], flat["offset"][one]))
+        x = one[asked]
+        own = np.repeat(np.arange(len(x)), flat["windows"][x])
+        place = begin[x][own] + counting(flat["windows"][x])
+        key = combined(flat["anchor"][x][own].view(np.uint64), Ranges(data, 3).hashes(place, place + WINDOW))
+        shared = several(key)
+        breaks = own[1:] != own[:-1]
+        from_ = np.flatnonzero(shared & np.concatenate(([True], ~shared[:-1] | breaks))[: len(own)])
+        to = np.flatnonzero(shared & np.concatenate((~shared[1:] | breaks, [True]))[: len(own)])
+        stretch, at, size = asked[own[from_]], place[from_], to - from_ + WINDOW
+        first, holder, anchor = at - begin[one[stretch]], flat["id"][one[stretch]], flat["anchor"][one[stretch]]
+        order2, head2, later2, firsts2 = first_holders(holder, anchor, [b.hashes(at, at + size) for b in bodies])
+        gone = order2[later2]
+        lose(stretch[gone], first[gone], size[gone])
+        runs = order2[head2]
+        count = size[runs] - WINDOW + 1
+        again = several(key[np.repeat(from_[runs], count) + counting(count)])
+        sorted_ = np.unique(np.repeat(np.arange(len(runs)), count)[again])
         # whole anchors are sorted in blocks
-        anchor, spent = flat["anchor"][one[asked]], np.cumsum(sizes[one[asked]])
-        lo = 0
-        while lo < len(asked):
+        spent, lo = np.cumsum(size[runs[sorted_]]), 0
+        while lo < len(sorted_):
             over = int(np.searchsorted(spent, (spent[lo - 1] if lo else 0) + sort_bytes))
-            hi = int(np.searchsorted(anchor, anchor[min(over, len(asked) - 1)], "right"))
-            block = asked[lo:hi]
-            x = one[block]
-            which, p, q = lost_windows(sliced(data, begin[x], sizes[x]), sizes[x], flat["id"][x])
-            times = firsts[block[which]]
-            rows.append(order[np.repeat(head[block[which]], times) + counting(times)])
-            starts.append(np.repeat(p, times))
-            lengths.append(np.repeat(q - p + WINDOW - 1, times))
+            known = anchor[runs[sorted_]]
+            hi = int(np.searchsorted(known, known[min(over, len(sorted_) - 1)], "right"))
+            block = sorted_[lo:hi]
+            y = runs[block]
+            which, p, q = lost_windows(sliced(data, at[y], size[y]), size[y], holder[y])
+            times = firsts2[block[which]]
+            member_ = order2[np.repeat(head2[block[which]], times) + counting(times)]
+            lose(stretch[member_], first[member_] + np.repeat(p, times), np.repeat(q - p + WINDOW - 1, times))
             lo = hi
         x = np.concatenate(rows)
         return pa.table({"a": flat["a"][x], "id": flat["id"][x], "start": flat["start"][x] + np.concatenate(starts), "length": np.concatenate(lengths)})
