@@ -58,11 +58,12 @@ class Router:
 class KeyModels:
     """The whole model set of one key: offset, scaler, linear model, rules and router.
 
-    The step order is part of the meaning: every model answers before it sees the target.
+    The step order is part of the meaning: every model answers before it sees the target. ``challenger`` names the model
+    that the router guards: ``rules``, ``linear`` or ``offset``. The rules learn only as the challenger.
     """
 
-    def __init__(self, width: int = 16, settings: Settings = Settings()):
-        self.width, self.settings = width, settings
+    def __init__(self, width: int = 16, settings: Settings = Settings(), challenger: str = "rules"):
+        self.width, self.settings, self.challenger = width, settings, challenger
         self.offset = 0.0
         self.n, self.mean, self.m2 = 0, np.zeros(width), np.zeros(width)
         self.weights, self.bias = np.zeros(width), 0.0
@@ -83,14 +84,17 @@ class KeyModels:
         """The computed columns of one result row, in order: three forces, five errors, the flag."""
         s = self.settings
         residual = actual - baseline
-        mean_force = baseline + self.offset
+        answer = self.offset
+        mean_force = baseline + answer
         self.offset = s.mean_rate * residual + (1.0 - s.mean_rate) * self.offset
         z = self.scale(x)
-        sgd_force = baseline + self.bias + float(self.weights @ z)
+        linear = self.bias + float(self.weights @ z)
+        sgd_force = baseline + linear
         error = actual - sgd_force
         self.bias += s.sgd_rate * error
         self.weights = (1.0 - s.sgd_decay) * self.weights + s.sgd_rate * error * z
-        answer = self.rules.predict_and_train(z, residual)
+        if self.challenger != "offset":
+            answer = linear if self.challenger == "linear" else self.rules.predict_and_train(z, residual)
         routed, flag, base, shadow, safe = self.router.step(baseline, answer, actual)
         return (
             mean_force, sgd_force, routed, base, ape(mean_force, actual), ape(sgd_force, actual), safe, shadow, flag
@@ -101,6 +105,7 @@ class KeyModels:
             "width": self.width, "settings": asdict(self.settings), "offset": self.offset,
             "scaler": (self.n, self.mean, self.m2), "linear": (self.weights, self.bias),
             "rules": self.rules.dump(), "trust": (self.router.model_trust, self.router.baseline_trust),
+            "challenger": self.challenger,
         }
         return pickle.dumps(state)
 
@@ -109,7 +114,7 @@ class KeyModels:
         state = pickle.loads(blob)
         raw = dict(state["settings"])
         raw["rules"] = RuleParams(**raw["rules"])
-        model = cls(state["width"], Settings(**raw))
+        model = cls(state["width"], Settings(**raw), state.get("challenger", "rules"))
         model.offset = state["offset"]
         model.n, model.mean, model.m2 = state["scaler"]
         model.weights, model.bias = state["linear"]

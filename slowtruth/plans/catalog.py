@@ -415,11 +415,11 @@ def prequential_eval(spark, sf):
     return result
 
 
-def _result(rows: DataFrame) -> DataFrame:
+def _result(rows: DataFrame, guards: bool = True) -> DataFrame:
     digits = {n: 2 for n in evaluation.RESULT_COLUMNS if n.endswith("_kn") and not n.startswith(("baseline", "actual"))}
     digits |= {n: 4 for n in evaluation.RESULT_COLUMNS if n.endswith("_ape")} | {"wear_level": 6}
     shown = [_r(n, digits[n]) if n in digits else F.col(n) for n in evaluation.RESULT_COLUMNS[1:]]
-    return rows.select(_text_time("evaluation_timestamp"), *shown, *[F.col(n).cast("int").alias(n) for n in ("unsafe", "untrusted")])
+    return rows.select(_text_time("evaluation_timestamp"), *shown, *[F.col(n).cast("int").alias(n) for n in ("unsafe", "untrusted") if guards])
 
 
 def prequential_linear(spark, sf):
@@ -449,40 +449,73 @@ def model_checkpoint_rules(spark, sf):
     return _resumed(spark, sf, "rules")
 
 
+#: Where the runs of the live job part, and how much time its held rows are cut into: the tables span seven years.
+SERVED_MIDDLE, SERVED_STRETCH = "1998-06-05", 86_400.0
+
+
+def _worked_off(rows: DataFrame, out: str, checkpoint: str) -> None:
+    """Run a stream over what is there."""
+    query = sinks.write_metrics(rows, out, checkpoint, None)
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
 def _served(spark, sf) -> tuple[DataFrame, str]:
-    """The live job over the raw messages in two runs, the second of which resumes from the checkpoint."""
-    raw = materialize(fixtures.raw_messages(spark, sf).select("side", "body", "sent_at"), "raw")
-    second = history.wall_second(F.col("sent_at"))
-    middle = raw.agg(F.percentile_approx(second, 0.5).alias("m")).first()["m"]
+    """The live job over the raw messages in two runs: the second resumes from the checkpoint and gets those delayed in the first."""
+    raw = materialize(fixtures.raw_messages(spark, sf).select("side", "body", "sent_at", "delayed"), "raw")
     serving.use_stream_settings(spark)
     sources = {side: new_path(spark, f"topic-{side}") for side in "AB"}
     out, checkpoint = new_path(spark, "served"), new_path(spark, "checkpoint")
-    for part in (raw.where(second < middle), raw.where(second >= middle)):
+    first = (F.col("sent_at") < F.lit(SERVED_MIDDLE).cast("timestamp_ntz")) & ~F.col("delayed")
+    for part in (raw.where(first), raw.where(~first)):
         for side, path in sources.items():
             part.where(F.col("side") == side).select("body").write.mode("append").text(path)
         streams = [events.read_event_stream(spark, sources[side]) for side in "AB"]
-        query = sinks.write_metrics(serving.serve(*streams), out, checkpoint, None)
-        query.awaitTermination()
-        if query.exception():
-            raise query.exception()
+        _worked_off(serving.serve(*streams, stretch=SERVED_STRETCH), out, checkpoint)
     return serving.read_served(spark, out), checkpoint
 
 
 def serve_stream(spark, sf):
-    """The result rows of the live job."""
-    return _served(spark, sf)[0].where("kind = 'matched'").select(*evaluation.RESULT_COLUMNS)
+    """The result rows of the live job, and of the rows it still holds, by a batch run with its models."""
+    served, checkpoint = _served(spark, sf)
+    last, _ = evaluation.prequential_rows(serving.held_rows(spark, checkpoint), state=serving.saved_models(spark, checkpoint))
+    return served.where("kind = 'matched'").select(*evaluation.RESULT_COLUMNS).unionByName(last)
 
 
 def serve_accounts(spark, sf):
-    """What became of every message of the live job: two for each result, one for each event lost, waiting or unusable."""
+    """What became of every message of the live job: two for each result, one for each event lost, waiting, late or unusable."""
     rows, checkpoint = _served(spark, sf)
-    waiting = serving.waiting_events(spark, checkpoint)
-    fate = F.when(F.col("kind") == "quarantine", "unusable").when(F.col("kind") == "matched", "matched").otherwise("unpaired")
-    both = rows.select(fate.alias("fate"), F.when(F.col("kind") == "matched", 2).otherwise(1).alias("n")).unionByName(
-        waiting.select(F.lit("unpaired").alias("fate"), F.lit(1).alias("n")))
+    fate = F.when(F.col("kind") == "quarantine", "unusable").when(F.col("kind").isin("matched", "late"), F.col("kind")).otherwise("unpaired")
+    both = rows.select(fate.alias("fate"), F.when(F.col("kind") == "matched", 2).otherwise(1).alias("n"))
+    for more, name, n in ((serving.waiting_events(spark, checkpoint), "unpaired", 1), (serving.held_rows(spark, checkpoint), "matched", 2)):
+        both = both.unionByName(more.select(F.lit(name).alias("fate"), F.lit(n).alias("n")))
     return both.groupBy("fate").agg(F.sum("n").alias("n_messages"))
 
 
+def model_handover(spark, sf):
+    """One evaluation in three parts: a batch run, a live job that starts with its models, a batch run that ends what the job holds."""
+    pairs = materialize(_matched(spark, sf), "pairs")
+    middle = F.lit(SERVED_MIDDLE).cast("timestamp_ntz")
+    before, state = evaluation.prequential_eval(pairs.where(F.col("b.ts") < middle), challenger="linear")
+    path = new_path(spark, "models")
+    evaluation.write_checkpoint(state, path)
+    rest = fixtures.passes(spark, sf).where(F.col("measured_at") >= middle)
+    topic, out, checkpoint = (new_path(spark, n) for n in ("topic", "served", "checkpoint"))
+    tagged = serving.tag_streams(fixtures.requests(spark, sf, rest), fixtures.truths(spark, sf, rest))
+    tagged.write.parquet(topic)
+    serving.use_stream_settings(spark)
+    start = serving.live_models(evaluation.read_checkpoint(spark, path), challenger="linear")
+    stream = serving.pair_stream(spark.readStream.schema(tagged.schema).parquet(topic))
+    _worked_off(serving.evaluate_stream(stream, challenger="linear", stretch=SERVED_STRETCH, models=start), out, checkpoint)
+    live = spark.read.parquet(out).where("kind = 'matched'")
+    ended, after = evaluation.prequential_rows(
+        serving.held_rows(spark, checkpoint), state=serving.saved_models(spark, checkpoint, "linear"), challenger="linear")
+    evaluation.write_checkpoint(after, path)
+    parts = [part.select(*evaluation.RESULT_COLUMNS) for part in (before, live, ended)]
+    return _result(parts[0].unionByName(parts[1]).unionByName(parts[2]), guards=False)
+
+
 # --- reports ---
 
 
@@ -626,6 +659,7 @@ QUERIES: dict[str, Query] = {
     "model_checkpoint_rules": Query(model_checkpoint_rules),
     "serve_stream": Query(serve_stream),
     "serve_accounts": Query(serve_accounts, oracle.SERVE_ACCOUNTS),
+    "model_handover": Query(model_handover, oracle.MODEL_HANDOVER),
     "grade_filter": Query(grade_filter, oracle.GRADE_FILTER),
     "latest_60_per_grade": Query(latest_60_per_grade, oracle.LATEST_60),
     "current_wear": Query(current_wear, oracle.CURRENT_WEAR),

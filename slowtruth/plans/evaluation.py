@@ -11,6 +11,7 @@ from slowtruth.functions import expr
 from slowtruth.operators import learn, scan
 from slowtruth.operators.models import Settings
 from slowtruth.operators.scan import BLOCK, KEY, ROW, stage_order, with_block
+from slowtruth.session import materialize
 
 # The model key. More columns (plant, line) give more independent model sets and more parallel tasks.
 MODEL_KEYS = ("steel_grade",)
@@ -135,9 +136,20 @@ def prequential_eval(
     Everything but the rule learner runs in blocks over the whole cluster. The learner is
     sequential by nature, so its pass gets only what it needs and is parallel by key.
     """
+    return prequential_rows(matched_rows(pairs, list(keys)), keys, settings, state, rows_per_round, challenger)
+
+
+def prequential_rows(
+    rows_in: DataFrame,
+    keys: Sequence[str] = MODEL_KEYS,
+    settings: Settings = Settings(),
+    state: dict[str, DataFrame] | None = None,
+    rows_per_round: int = learn.ROWS_PER_ROUND,
+    challenger: str = "rules",
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``prequential_eval`` over flat rows, as ``matched_rows`` makes them or a live job holds them."""
     state = state or {}
     keys = list(keys)
-    rows_in = matched_rows(pairs, keys)
     if "last" in state:
         rows_in = after_last(rows_in, state["last"], keys)
     if "seen" in state:
@@ -227,20 +239,49 @@ def _final(carry: DataFrame, keys: Sequence[str], staged: DataFrame) -> DataFram
     return carry.where(F.col(BLOCK).isNull()).select(*scan.key_columns(keys, staged.schema), *state)
 
 
+#: Of the log of seen rows: the day they were measured (NO_DAY without a time), and the saved version that added them.
+SEEN_DAY, SEEN_VERSION, NO_DAY = "seen_day", "seen_version", -1_000_000
+#: Days of a run up to which the log is read by day.
+DAYS_LISTED = 5000
+
+
+def _day(time: str = ORDER[0]) -> Column:
+    return F.coalesce(F.datediff(F.col(time), F.lit("1970-01-01").cast("date")), F.lit(NO_DAY))
+
+
 def seen_rows(staged: DataFrame, keys: Sequence[str], before: DataFrame | None) -> DataFrame:
-    """(keys, time, slab, pass) of all rows that the models have seen."""
-    seen = staged.select(*_identity(keys))
-    return seen if before is None else before.select(seen.columns).unionByName(seen)
+    """(keys, time, slab, pass, day, version) of all rows that the models have seen; rows not yet saved have no version."""
+    seen = staged.select(*_identity(keys), _day().alias(SEEN_DAY), F.lit(None).cast("int").alias(SEEN_VERSION))
+    return seen if before is None else _dated(before).select(seen.columns).unionByName(seen)
+
+
+def _dated(seen: DataFrame) -> DataFrame:
+    """Identities with their day and version, which tables saved before the log do not have."""
+    if SEEN_DAY in seen.columns:
+        return seen
+    return seen.withColumns({SEEN_DAY: _day(), SEEN_VERSION: F.lit(None).cast("int")})
 
 
 def unseen(rows: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows without an equal identity among ``seen``; nulls are equal to nulls."""
-    names = _identity(keys)
-    known = seen.select(*[F.col(c).alias(f"_seen{k}") for k, c in enumerate(names)]).distinct()
+    """Rows without an equal identity among ``seen``; nulls are equal to nulls.
+
+    The rows are written first, for the days they were measured. Of the log, which is kept by day, only those days are
+    read: what a run costs does not grow with the history.
+    """
+    incoming = materialize(rows.withColumn(SEEN_DAY, _day()), "incoming")
+    days = [r[0] for r in incoming.select(SEEN_DAY).distinct().limit(DAYS_LISTED + 1).collect()]
+    known = seen_on(seen, days)
+    names = [SEEN_DAY, *_identity(keys)]
+    known = known.select(*[F.col(c).alias(f"_seen{k}") for k, c in enumerate(names)])
     same = F.lit(True)
     for k, c in enumerate(names):
         same = same & F.col(c).eqNullSafe(F.col(f"_seen{k}"))
-    return rows.join(known, same, "left_anti")
+    return incoming.join(known, same, "left_anti").drop(SEEN_DAY)
+
+
+def seen_on(seen: DataFrame, days: Sequence[int]) -> DataFrame:
+    seen = _dated(seen)
+    return seen.where(F.col(SEEN_DAY).isin(list(days))) if len(days) <= DAYS_LISTED else seen
 
 
 def _identity(keys: Sequence[str]) -> list[str]:
@@ -254,7 +295,7 @@ def after_last(rows: DataFrame, last: DataFrame, keys: Sequence[str]) -> DataFra
     return joined.where(F.col("last").isNull() | (F.struct(*ORDER) > F.col("last"))).drop(KEY, "last")
 
 
-_MARK = "published"
+_MARK, _SEEN = "published", "seen"
 
 
 def _folders(spark, path: str) -> list[str]:
@@ -273,11 +314,15 @@ def write_checkpoint(state: dict[str, DataFrame], path: str) -> int:
 
     Tables of earlier versions are never touched, so the new state may still be read from them. The marker comes last
     and is one rename-free folder creation: a run that dies before it leaves the earlier version in force, and the next
-    run overwrites the unpublished tables.
+    run overwrites the unpublished tables. Rows seen are a log by day next to the versions: a version adds its own, and those
+    of earlier ones are never read or written again.
     """
     spark = state["offset"].sparkSession
     version = max(_versions(spark, path), default=0) + 1
-    for name in state:
+    if "seen" in state:
+        new = _dated(state["seen"]).where(F.col(SEEN_VERSION).isNull()).drop(SEEN_VERSION)
+        new.repartitionByRange(SEEN_DAY, "slab_id").write.mode("overwrite").partitionBy(SEEN_DAY).parquet(f"{path}/{_SEEN}/{SEEN_VERSION}={version}")
+    for name in state.keys() - {"seen"}:
         state[name].write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
     mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{_MARK}={version}")
     mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(mark)
@@ -292,4 +337,9 @@ def read_checkpoint(spark, path: str, version: int | None = None) -> dict[str, D
     if version not in known:
         raise FileNotFoundError(f"no published models under {path}" + (f" of version {version}" if version else ""))
     tables = [n for n in _folders(spark, f"{path}/version={version}") if not n.startswith((".", "_"))]
-    return {name: spark.read.parquet(f"{path}/version={version}/{name}") for name in tables}
+    state = {name: spark.read.parquet(f"{path}/version={version}/{name}") for name in tables}
+    logged = [int(n.partition("=")[2]) for n in _folders(spark, f"{path}/{_SEEN}") if n.startswith(SEEN_VERSION)]
+    if any(v <= version for v in logged):
+        log = spark.read.parquet(f"{path}/{_SEEN}").where(F.col(SEEN_VERSION) <= version)
+        state["seen"] = log if "seen" not in state else log.unionByName(_dated(state["seen"]))
+    return state

@@ -187,6 +187,7 @@ SELECT {stamp("measured_at")} AS evaluation_timestamp, steel_grade, {KEYS}, base
   round(safe_ape, 4) AS am_rules_ape, round(shadow_ape, 4) AS am_rules_shadow_ape, round(wear_level, 6) AS wear_level,
   fallback AS is_am_rules_fallback, CAST(unsafe AS INTEGER) AS unsafe, CAST(untrusted AS INTEGER) AS untrusted
 FROM gsgd JOIN tm USING (steel_grade, rn)"""
+MODEL_HANDOVER = f"SELECT * EXCLUDE (unsafe, untrusted) FROM ({PREQUENTIAL_LINEAR})"
 
 # --- drift test ---
 
@@ -399,6 +400,18 @@ REDUCTION_CLASS = with_passes(f"""SELECT {KEYS}, total AS total_passes, CASE WHE
   WHEN CAST(p AS DOUBLE) / total < 0.8 THEN 'medium' ELSE 'light' END AS reduction_class
 FROM (SELECT *, max(p) OVER (PARTITION BY slab_id) AS total FROM passes)""")
 
+# Two runs: messages delayed in the first come with the second, behind the watermark of the first or not.
+_MIDDLE = "TIMESTAMP '1998-06-05'"
+_A_SLOW, _B_SLOW = "(o + 2 * p) % 61 = 11", "(o + 2 * p) % 61 = 7"
 SERVE_ACCOUNTS = with_passes(f"""SELECT fate, CAST(sum(n) AS BIGINT) AS n_messages FROM (
-  SELECT CASE WHEN NOT ({READABLE}) THEN 'unusable' WHEN {HAS_REQUEST} AND {HAS_TRUTH} THEN 'matched' ELSE 'unpaired' END AS fate,
-    CAST({HAS_REQUEST} AS INTEGER) + CAST({HAS_TRUTH} AS INTEGER) AS n FROM passes) GROUP BY fate""")
+  SELECT unnest(CASE
+      WHEN NOT ({READABLE}) THEN [{{'fate': 'unusable', 'n': a + b}}]
+      WHEN a - a_late = 1 AND b - b_late = 1 THEN [{{'fate': 'matched', 'n': 2}}]
+      ELSE [{{'fate': 'late', 'n': a_late + b_late}}, {{'fate': 'unpaired', 'n': a - a_late + b - b_late}}] END, recursive := true)
+  FROM (SELECT *, CAST(a = 1 AND {_A_SLOW} AND requested_at <= mark AS INTEGER) AS a_late,
+               CAST(b = 1 AND {_B_SLOW} AND measured_at <= mark AS INTEGER) AS b_late
+        FROM (SELECT *, CAST({HAS_REQUEST} AS INTEGER) AS a, CAST({HAS_TRUTH} AS INTEGER) AS b FROM passes),
+             (SELECT max(CASE WHEN sent < {_MIDDLE} AND NOT slow THEN sent END) - to_minutes(5) AS mark FROM (
+                SELECT requested_at AS sent, {_A_SLOW} AS slow FROM passes WHERE {HAS_REQUEST} AND {READABLE}
+                UNION ALL SELECT measured_at, {_B_SLOW} FROM passes WHERE {HAS_TRUTH} AND {READABLE}))))
+WHERE n > 0 GROUP BY fate""")

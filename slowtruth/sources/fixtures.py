@@ -143,6 +143,8 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("m"),
     ).select("o", "p", "m.*")
+    # a few messages are on their way for long
+    sent = sent.withColumn("delayed", F.expr("(o + 2 * p) % 61 = CASE side WHEN 'A' THEN 11 ELSE 7 END"))
     sent = sent.where(
         F.when(F.col("side") == "A", F.expr("(o + p) % 50 != 1")).otherwise(F.expr("(o + p) % 50 != 0"))
     )

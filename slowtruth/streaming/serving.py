@@ -1,8 +1,9 @@
-"""The live job: pair two streams with a time limit, then score and train per grade.
+"""The live job: pair two streams with a time limit, then score and train per grade in the order of measurement.
 
-Both steps keep their state in Spark's state store and use the same step code as the
-batch plans. Rows of a key are put in order inside a micro-batch, so a run can be replayed;
-it equals the batch result when each micro-batch is complete in time.
+Both steps keep their state in Spark's state store and use the same step code as the batch plans. Matched rows wait in the
+state, in chunks by time, until the watermark says that no earlier row can come any more; then timers drain them in order.
+Whatever the order of arrival, the rows are those of a batch run over the same pairs. What comes behind the watermark is
+written as it is, with ``kind`` late, by the micro-batch that got it.
 """
 
 from __future__ import annotations
@@ -12,15 +13,19 @@ from datetime import datetime, timezone
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from slowtruth.functions import expr
 from slowtruth.operators.match import DEFAULT_TTL
-from slowtruth.operators.models import KeyModels, Settings
-from slowtruth.plans.evaluation import RESULT_COLUMNS
+from slowtruth.operators.models import KeyModels, Router, RulesAndRouter, Settings
+from slowtruth.plans.evaluation import RESULT_COLUMNS, X
+from slowtruth.session import materialize
 from slowtruth.sources.events import decode_events, quarantine_events
 
 STREAM_SETTINGS = {
@@ -70,7 +75,10 @@ def tag_streams(requests: DataFrame, truths: DataFrame) -> DataFrame:
 
 
 class PairProcessor(StatefulProcessor):
-    """One waiting event per key. Its deadline belongs to it: a timer never purges a later event."""
+    """One waiting event per key. Its deadline belongs to it: a timer never purges a later event.
+
+    Events at or before the watermark are late: they touch no state and leave at once, with their time as it was.
+    """
 
     def __init__(self, ttl: float = DEFAULT_TTL):
         self.ttl = int(ttl * 1_000_000)
@@ -83,7 +91,11 @@ class PairProcessor(StatefulProcessor):
         events = sorted((r.asDict() for r in rows), key=lambda e: (e["at"], e["side"]))
         stored = self._load()
         waiting = stored
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
         for event in events:
+            if event["at"] <= watermark and watermark > 0:
+                yield _lost(key, event, "late", watermark + 1000)  # Spark wants what is emitted after it
+                continue
             expired = waiting is not None and waiting["at"] + self.ttl <= event["at"]
             if waiting is None:
                 waiting = event
@@ -149,9 +161,13 @@ def _pair(key, a, b, at: int) -> Row:
 
 
 def pair_stream(tagged: DataFrame, ttl: float = DEFAULT_TTL, delay: str = "5 minutes") -> DataFrame:
-    """Pairs, orphans and superseded events of a tagged stream (``status`` tells them apart)."""
+    """Pairs, orphans, superseded and late events of a tagged stream (``status`` tells them apart).
+
+    The watermark is taken from ``ts``, which the processor does not get: Spark drops late rows only where it sees the
+    watermarked column, and here the processor passes them on.
+    """
     return (
-        tagged.withWatermark("ts", delay)
+        tagged.withWatermark("ts", delay).drop("ts")
         .groupBy("slab_id", "pass_number")
         .transformWithState(
             PairProcessor(ttl), outputStructType=PAIR_SCHEMA, outputMode="Append", timeMode="EventTime",
@@ -160,68 +176,127 @@ def pair_stream(tagged: DataFrame, ttl: float = DEFAULT_TTL, delay: str = "5 min
     )
 
 
+_COMPUTED = (
+    "target_mean_roll_force_kn", "sgd_roll_force_kn", "am_rules_roll_force_kn", "baseline_ape", "target_mean_ape", "sgd_ape",
+    "am_rules_ape", "am_rules_shadow_ape", "is_am_rules_fallback",
+)
+#: What is held of a matched row until its turn.
+_HELD_TYPES = T.StructType([
+    T.StructField("b_at", T.LongType()), T.StructField("a_at", T.LongType()), T.StructField("slab_id", T.StringType()),
+    T.StructField("pass_number", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType())),
+    *[T.StructField(c, T.DoubleType()) for c in ("baseline", "actual", "wear_level")],
+])
+_HELD = to_arrow_schema(_HELD_TYPES)
+
+
+def packed(pdf: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pandas(pdf, _HELD, preserve_index=False)
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(blob: bytes) -> pa.Table:
+    with pa.ipc.open_stream(blob) as reader:
+        return reader.read_all()
+
+
 class GradeProcessor(StatefulProcessor):
-    """The model set of one grade: read once per key and micro-batch, written back once."""
+    """The model set of one key, trained in the order of measurement.
+
+    Matched rows are held in ``held``, a chunk for each Arrow batch and stretch of ``stretch`` seconds, and ``chunks`` knows how
+    many a stretch has. A truth may come before its request, so a pair made at the watermark can have been measured up to ``ttl``
+    earlier: a stretch is due when the watermark has passed its end by that. Its timer drains all stretches that are due, one
+    after another, so that no more than one is in memory. The models are read and written once for each such call.
+    """
 
-    def __init__(self, settings: Settings = Settings()):
-        self.settings = settings
+    def __init__(self, settings: Settings = Settings(), challenger: str = "rules", ttl: float = DEFAULT_TTL, stretch: float = 60.0):
+        self.settings, self.challenger = settings, challenger
+        self.ttl, self.stretch = int(ttl * 1_000_000), int(stretch * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.models = handle.getValueState("models", "blob binary")
+        self.held = handle.getMapState("held", "stretch long, chunk int", "rows binary")
+        self.chunks = handle.getMapState("chunks", "stretch long", "n int")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for blob in initialState["blob"]:
+            self.models.update((bytes(blob),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))
-        lost = pdf[pdf["status"] != "matched"]
-        if len(lost):  # passed on as they are
-            yield lost.rename(columns={
-                "status": "kind", "baseline": "baseline_roll_force_kn", "actual": "actual_roll_force_kn"}).reindex(columns=_RESULT_FIELDS)
-        pdf = pdf[pdf["status"] == "matched"].sort_values(["b_at", "slab_id", "pass_number"], kind="stable")
-        if not len(pdf):
+        for pdf in rows:
+            lost = pdf[pdf["status"] != "matched"]
+            if len(lost):  # passed on as they are
+                yield lost.rename(columns={
+                    "status": "kind", "baseline": "baseline_roll_force_kn", "actual": "actual_roll_force_kn"}).reindex(columns=_RESULT_FIELDS)
+            matched = pdf.loc[pdf["status"] == "matched", _HELD.names]
+            for number, part in matched.groupby(matched["b_at"].astype("int64") // self.stretch):
+                number, count = int(number), self.chunks.getValue((int(number),))
+                if count is None:
+                    self.handle.registerTimer(self._due(number))
+                chunk = 0 if count is None else count[0]
+                self.held.updateValue((number, chunk), (packed(part),))
+                self.chunks.updateValue((number,), (chunk + 1,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        due = sorted(number for (number,) in self.chunks.keys() if self._due(number) <= passed)
+        if not due:  # an earlier timer of this batch has drained it
             return
-        if self.models.exists():
-            model = KeyModels.load(bytes(self.models.get()[0]))
-        else:
-            model = KeyModels(len(pdf["x"].iloc[0]), self.settings)
-        scored = [
-            model.step(np.asarray(x, dtype=float), b, a)
-            for x, b, a in zip(pdf["x"], pdf["baseline"].tolist(), pdf["actual"].tolist())
-        ]
+        model = KeyModels.load(bytes(self.models.get()[0])) if self.models.exists() else None
+        for number in due:
+            (count,) = self.chunks.getValue((number,))
+            chunks = [unpacked(bytes(self.held.getValue((number, k))[0])) for k in range(count)]
+            pdf = pa.concat_tables(chunks).to_pandas().sort_values(["b_at", "slab_id", "pass_number"], kind="stable")
+            if model is None:
+                model = KeyModels(len(pdf["x"].iloc[0]), self.settings, self.challenger)
+            scored = [model.step(np.asarray(x, dtype=float), b, a)
+                      for x, b, a in zip(pdf["x"], pdf["baseline"].tolist(), pdf["actual"].tolist())]
+            for k in range(count):
+                self.held.removeKey((number, k))
+            self.chunks.removeKey((number,))
+            out = pdf.assign(kind="matched", steel_grade=key[0], **dict(zip(_COMPUTED, map(list, zip(*scored)))))
+            yield out.rename(columns={"baseline": "baseline_roll_force_kn", "actual": "actual_roll_force_kn"})[_RESULT_FIELDS]
         self.models.update((model.dump(),))
-        names = ("target_mean_roll_force_kn", "sgd_roll_force_kn", "am_rules_roll_force_kn", "baseline_ape", "target_mean_ape",
-                 "sgd_ape", "am_rules_ape", "am_rules_shadow_ape", "is_am_rules_fallback")
-        out = pdf.assign(kind="matched", **dict(zip(names, map(list, zip(*scored))))).rename(
-            columns={"baseline": "baseline_roll_force_kn", "actual": "actual_roll_force_kn"})
-        yield out[_RESULT_FIELDS]
 
     def close(self) -> None:
         pass
 
+    def _due(self, number: int) -> int:
+        """When a stretch is complete, in milliseconds of the watermark, rounded up."""
+        return -(-((number + 1) * self.stretch + self.ttl) // 1000)
+
 
 def wall_clock(micros: str) -> Column:
     """Microseconds back to a zone-less timestamp, without the session's zone."""
     return F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST({micros} AS DECIMAL(20, 0)) / 1000000)")
 
 
-def evaluate_stream(pairs: DataFrame, keys: Sequence[str] = ("steel_grade",), settings: Settings = Settings()):
-    """Result rows of the matched pairs of a stream, one model set per key; events without a partner pass through.
+def evaluate_stream(pairs: DataFrame, settings: Settings = Settings(), challenger: str = "rules", ttl: float = DEFAULT_TTL,
+                    stretch: float = 60.0, models: DataFrame | None = None) -> DataFrame:
+    """Result rows of the matched pairs of a stream, one model set per grade; events without a partner pass through.
 
-    ``kind`` is ``matched``, ``orphan`` or ``superseded``; ``evaluation_timestamp`` the time of the truth, else of the request.
+    ``kind`` is ``matched``, ``orphan``, ``superseded`` or ``late``; ``evaluation_timestamp`` the time of the truth, else of the
+    request. ``models`` (steel_grade, blob) start the grades of a new query, see ``live_models``; a restarted one has its own.
     """
-    scored = pairs.groupBy(*keys).transformWithStateInPandas(
-        GradeProcessor(settings), outputStructType=RESULT_SCHEMA, outputMode="Append", timeMode="None"
+    scored = pairs.groupBy("steel_grade").transformWithStateInPandas(
+        GradeProcessor(settings, challenger, ttl, stretch), outputStructType=RESULT_SCHEMA, outputMode="Append", timeMode="EventTime",
+        initialState=None if models is None else models.groupBy("steel_grade"),
     )
     return scored.select("kind", wall_clock("coalesce(b_at, a_at)").alias("evaluation_timestamp"), *RESULT_COLUMNS[1:])
 
 
 def serve(raw_requests: DataFrame, raw_truths: DataFrame, ttl: float = DEFAULT_TTL, delay: str = "5 minutes",
-          settings: Settings = Settings()) -> DataFrame:
-    """The whole job: raw JSON of both topics in; result rows, events without a partner and unusable records out.
+          settings: Settings = Settings(), challenger: str = "rules", stretch: float = 60.0, models: DataFrame | None = None) -> DataFrame:
+    """The whole job: raw JSON of both topics in; result rows, events without a partner, late and unusable records out.
 
     ``kind`` tells them apart (``quarantine`` for the last, with ``body`` and ``reject_reason``), so that one sink writes
     all of a micro-batch or nothing of it.
     """
     tagged = tag_streams(decode_events(raw_requests, "request"), decode_events(raw_truths, "truth"))
-    served = evaluate_stream(pair_stream(tagged, ttl, delay), settings=settings)
+    served = evaluate_stream(pair_stream(tagged, ttl, delay), settings, challenger, ttl, stretch, models)
     for raw, side in ((raw_requests, "request"), (raw_truths, "truth")):
         bad = quarantine_events(raw, side).select(F.lit("quarantine").alias("kind"), F.lit(side).alias("topic"), "body", "reject_reason")
         served = served.unionByName(bad, allowMissingColumns=True)
@@ -239,17 +314,93 @@ def read_served(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SERVED_SCHEMA).parquet(path)
 
 
-def waiting_events(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The events that wait in the state of a stopped job."""
-    known = spark.read.format("state-metadata").load(checkpoint).where(F.col("operatorProperties").contains('"slot"'))
-    options = {"stateVarName": "slot", "operatorId": known.select("operatorId").first()[0]}
+def _state_of(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    known = spark.read.format("state-metadata").load(checkpoint).where(F.col("operatorProperties").contains(f'"{variable}"'))
+    options = {"stateVarName": variable, "operatorId": known.select("operatorId").first()[0]}
     return spark.read.format("statestore").options(**options).load(checkpoint)
 
 
+def waiting_events(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The events that wait in the state of a stopped job for their partner."""
+    return _state_of(spark, checkpoint, "slot")
+
+
+def held_rows_of(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The matched rows that a stopped job still holds, as they are held."""
+    schema = T.StructType([T.StructField("steel_grade", T.StringType()), *_HELD_TYPES.fields])
+
+    def open_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grade, blob in zip(batch.column("steel_grade").to_pylist(), batch.column("rows").to_pylist()):
+                for part in unpacked(blob).to_batches():
+                    yield pa.RecordBatch.from_arrays([pa.array([grade] * len(part), pa.string()), *part.columns], names=["steel_grade", *_HELD.names])
+
+    chunks = _state_of(spark, checkpoint, "held").select(F.col("key.steel_grade").alias("steel_grade"), F.col("user_map_value.rows").alias("rows"))
+    return chunks.mapInArrow(open_chunks, schema)
+
+
+def held_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The same, in the form that ``evaluation.prequential_rows`` takes."""
+    rows = held_rows_of(spark, checkpoint)
+    return rows.select(
+        wall_clock("b_at").alias("evaluation_timestamp"), "steel_grade", "slab_id", "pass_number", "baseline", "actual", "wear_level",
+        *[F.col("x")[i].alias(name) for i, name in enumerate(X)], expr.residual(F.col("actual"), F.col("baseline")).alias("residual"))
+
+
+def live_models(state: dict[str, DataFrame], settings: Settings = Settings(), challenger: str = "rules") -> DataFrame:
+    """Saved models (``evaluation.read_checkpoint``, keyed by grade) as a new live job takes them: (steel_grade, blob)."""
+    tables = [state["offset"], state["moments"], state["weights"], state["rules" if challenger == "rules" else "trust"]]
+    joined = tables[0]
+    for table in tables[1:]:
+        joined = joined.withColumnRenamed("steel_grade", "_g").join(table, F.col("_g").eqNullSafe(table["steel_grade"])).drop("_g")
+
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            blobs = []
+            for row in pdf.to_dict("records"):
+                model = KeyModels(len(row["_mean0"]), settings, challenger)
+                model.offset = row["_c__tm"]
+                model.n, model.mean, model.m2 = int(row["_n0"]), np.array(row["_mean0"], float), np.array(row["_m20"], float)
+                model.weights, model.bias = np.array(row["_v"][:-1], float), float(row["_v"][-1])
+                if challenger == "rules":
+                    rules = RulesAndRouter(list(X), settings)
+                    rules.load(bytes(row["_state"]))
+                    model.rules, model.router = rules.rules, rules.router
+                else:
+                    model.router = Router(settings, row["_c__mt"], row["_c__bt"])
+                blobs.append(model.dump())
+            yield pd.DataFrame({"steel_grade": pdf["steel_grade"], "blob": blobs})
+
+    return joined.mapInPandas(build, "steel_grade string, blob binary")
+
+
+def saved_models(spark: SparkSession, checkpoint: str, challenger: str = "rules") -> dict[str, DataFrame]:
+    """The models of a stopped live job as batch runs take them and ``evaluation.write_checkpoint`` saves them."""
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for grade, blob in zip(pdf["steel_grade"], pdf["blob"]):
+                model = KeyModels.load(bytes(blob))
+                rules = RulesAndRouter(list(X), model.settings)
+                rules.rules, rules.router = model.rules, model.router
+                rows.append((grade, model.offset, model.n, model.mean.tolist(), model.m2.tolist(), [*model.weights.tolist(), model.bias],
+                             model.router.model_trust, model.router.baseline_trust, rules.dump()))
+            yield pd.DataFrame(rows, columns=["steel_grade", "_c__tm", "_n0", "_mean0", "_m20", "_v", "_c__mt", "_c__bt", "_state"])
+
+    blobs = _state_of(spark, checkpoint, "models").select(F.col("key.steel_grade").alias("steel_grade"), F.col("value.blob").alias("blob"))
+    every = materialize(blobs.mapInPandas(
+        read, "steel_grade string, _c__tm double, _n0 long, _mean0 array<double>, _m20 array<double>, _v array<double>, "
+              "_c__mt double, _c__bt double, _state binary"), "live-models")
+    tables = {"offset": ["_c__tm"], "moments": ["_n0", "_mean0", "_m20"], "weights": ["_v"]}
+    tables |= {"rules": ["_state"]} if challenger == "rules" else {"trust": ["_c__mt", "_c__bt"]}
+    return {name: every.select("steel_grade", *columns) for name, columns in tables.items()}
+
+
 class LateRows(StreamingQueryListener):
-    """Total of the rows dropped behind the watermark, batch after batch: ``spark.streams.addListener`` before the start.
+    """Total of the rows that Spark dropped behind the watermark, batch after batch: ``spark.streams.addListener`` before the start.
 
-    The progress that a query keeps ends at its last hundred batches; events reach a listener for all of them.
+    The job itself drops none: late events are rows of kind ``late``. This is the proof. The progress that a query keeps
+    ends at its last hundred batches; events reach a listener for all of them.
     """
 
     def __init__(self):
