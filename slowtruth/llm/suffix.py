@@ -25,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slowtruth.llm.common import map_batches, numbered, position, restored
-from slowtruth.llm.rolling import Ranges, combined
+from slowtruth.llm.common import map_batches, numbered, position, restored, to_arrow_schema
+from slowtruth.llm.packs import opened, packs, texts_of
+from slowtruth.llm.rolling import Ranges, combined, sliding
 from slowtruth.session import materialize
 
 WINDOW, GRAM = 50, 24
@@ -38,6 +40,8 @@ SPAN = WINDOW - GRAM + 1
 HASH_BYTES, SORT_BYTES = 2 << 20, 1 << 18
 #: Anchors of a task of step 1 and bytes of a task of step 3, for the number of buckets.
 BUCKET_ANCHORS, BUCKET_BYTES = 2_000_000, 4 << 20
+#: Text of a pack, and bytes of stretches that are hashed at a time in step 3.
+PACK_BYTES, BLOCK_BYTES = 8 << 20, 2 << 20
 #: An anchor of more texts is dealt by window: sorting takes some 20 KB for each different stretch.
 HOT_HOLDERS = 8192
 PRIME = 0x9E3779B97F4A7C15
@@ -140,15 +144,6 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return out | np.uint64(1)
 
 
-def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
-    """Minimum or maximum of each ``width`` neighbours."""
-    size = 1
-    while size * 2 <= width:
-        values = pick(values[:-size], values[size:])
-        size *= 2
-    return values if size == width else pick(values[: len(values) - (width - size)], values[width - size :])
-
-
 class Anchors:
     """Anchors of some texts: ``at`` (position in the joined bytes), ``text`` (its number), ``hash``."""
 
@@ -318,23 +313,24 @@ def shared_anchors(packs: DataFrame, buckets: int, hot_holders: int = HOT_HOLDER
     return answers.groupBy("to").applyInArrow(gather, "a long, shared array<long>, hot array<long>")
 
 
-def stretches(rows: DataFrame, buckets: int) -> DataFrame:
-    """Packs of stretches of shared anchors, from (id, a, text, shared, hot).
+def stretches(held: DataFrame, buckets: int, text: str) -> DataFrame:
+    """Messages of stretches of shared anchors, from (pack, blob) with the columns key, text, shared and hot in each pack.
 
-    (bucket, anchor, id, a, start, windows, offset, stretch): each list has an entry for a stretch, except ``stretch``,
+    (bucket, pack, anchor, id, row, start, windows, offset, stretch): each list has an entry for a stretch, except ``stretch``,
     their bytes one after another, compressed: ``windows`` + 49 of each. ``offset`` is where the anchor stands in it.
 
-    A stretch that a smaller id of the same batch holds too is lost at once. Neighbouring ones come as one run of windows
-    without bytes, in a pack of a negative bucket.
+    A stretch that a smaller id of the same pack holds too is lost at once. Neighbouring ones come as one run of windows
+    without bytes, in a message of a negative bucket.
 
     A stretch of a hot anchor comes as its windows, each with a hash of its 50 bytes for its anchor.
     """
-    lists = {"anchor": np.int64, "id": np.int64, "a": np.int64, "start": np.int32, "windows": np.int32, "offset": np.int32}
+    lists = {"anchor": np.int64, "id": np.int64, "row": np.int32, "start": np.int32, "windows": np.int32, "offset": np.int32}
 
-    def pack(buckets: list, cuts: np.ndarray, columns: list, bodies: list[bytes]) -> pa.RecordBatch:
+    def message(number: int, buckets: list, cuts: np.ndarray, columns: list, bodies: list[bytes]) -> pa.RecordBatch:
         arrays = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(c.astype(t))) for c, t in zip(columns, lists.values())]
         return pa.RecordBatch.from_arrays(
-            [pa.array(buckets, pa.int64()), *arrays, pa.array(bodies, pa.binary())], names=["bucket", *lists, "stretch"])
+            [pa.array(buckets, pa.int64()), pa.array([number] * len(buckets), pa.int64()), *arrays, pa.array(bodies, pa.binary())],
+            names=["bucket", "pack", *lists, "stretch"])
 
     def held_before(anchor: np.ndarray, digests: list, ids: np.ndarray) -> np.ndarray:
         """Which of the strings a smaller id holds too."""
@@ -343,72 +339,76 @@ def stretches(rows: DataFrame, buckets: int) -> DataFrame:
         out[order] = later
         return out
 
-    def runs(lost: np.ndarray, which, anchor, ids, a, start, n, offset) -> pa.RecordBatch:
+    def runs(number, lost: np.ndarray, anchor, ids, row, start, n, offset) -> pa.RecordBatch:
         from pyspark import TaskContext
 
         x = np.flatnonzero(lost)  # stretches stand in the order of their texts
-        joins = (which[x][1:] == which[x][:-1]) & (start[x][1:] == (start + n)[x][:-1])
+        joins = (row[x][1:] == row[x][:-1]) & (start[x][1:] == (start + n)[x][:-1])
         head = np.flatnonzero(np.concatenate(([True], ~joins)))
         total = np.add.reduceat(n[x], head)
         x = x[head]
-        return pack([-1 - TaskContext.get().partitionId()], np.array([0, len(x)]), [anchor[x], ids[x], a[x], start[x], total, offset[x]], [b""])
+        return message(number, [-1 - TaskContext.get().partitionId()], np.array([0, len(x)]), [anchor[x], ids[x], row[x], start[x], total, offset[x]], [b""])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         small = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            # all texts that hold a shared anchor have it among theirs, so one list for the batch does
-            wanted = np.unique(batch.column("shared").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            whole, base = np.frombuffer(b"".join(texts), np.uint8), 0
-            got: list[list] = [[] for _ in range(8)]
-            for lo, hi in pieces(texts, HASH_BYTES):
-                found = Anchors(texts[lo:hi])
-                starts, own = found.owners()
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))[: len(own)]
-                count = np.diff(np.concatenate((first, [len(own)])))
-                keep = member(found.hash[own[first]] & KNOWN, wanted) if len(first) else np.zeros(0, bool)
-                mine, at, n = own[first][keep], starts[first][keep], count[keep]
-                text_ = found.text[mine]
-                data = whole[base : base + len(found.joined)]
-                digests = [Ranges(data, k).hashes(at, at + n + WINDOW - 1) for k in (0, 1)]
-                for values, new in zip(got, (found.hash[mine].view(np.int64), text_ + lo, at - found.starts[text_], n, found.at[mine] - at, at + base, *digests)):
-                    values.append(new)
-                base += len(data)
-            if not sum(map(len, got[0])):
-                continue
-            anchor, which, start, n, offset, place, *digests = [np.concatenate(v) for v in got]
-            ids, a = batch.column("id").to_numpy()[which], batch.column("a").to_numpy()[which]
-            lost = held_before(anchor, digests, ids)
-            if lost.any():
-                yield runs(lost, which, anchor, ids, a, start, n, offset)
-            hot = member(anchor & KNOWN.view(np.int64), np.unique(batch.column("hot").flatten().to_numpy(zero_copy_only=False))) & ~lost
-            stay = np.flatnonzero(~(lost | hot))
-            if hot.any():
-                x = np.flatnonzero(hot)
-                of, shift = np.repeat(x, n[x]), counting(n[x])
-                single = sliced(whole, place[of] + shift, np.full(len(of), WINDOW))
-                cuts = np.arange(len(of) + 1) * WINDOW
-                names = [Ranges(single, k).hashes(cuts[:-1], cuts[1:]) for k in (0, 1)]
-                windows = (which[of], names[0].view(np.int64), ids[of], a[of], start[of] + shift, np.ones(len(of), np.int64), offset[of] - shift)
-                gone = held_before(windows[1], names, ids[of])
-                if gone.any():
-                    yield runs(gone, *windows)
-                left = np.flatnonzero(~gone)
-                anchor, ids, a, start, n, offset, place = [
-                    np.concatenate((c[stay], w[left])) for c, w in zip((anchor, ids, a, start, n, offset, place), (*windows[1:], place[of] + shift))]
-                stay = np.arange(len(anchor))
-            bucket = (anchor.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            order = stay[np.lexsort((anchor[stay], bucket[stay]))]
-            bucket = bucket[order]
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(order) else np.zeros(1, np.int64)
-            sizes = n + WINDOW - 1
-            bodies = [small.compress(sliced(whole, place[order[p:q]], sizes[order[p:q]]).tobytes()) for p, q in zip(cuts[:-1], cuts[1:])]
-            yield pack(bucket[cuts[:-1]].tolist(), cuts, [c[order] for c in (anchor, ids, a, start, n, offset)], bodies)
-
-    schema = "bucket long, anchor array<long>, id array<long>, a array<long>, start array<int>, windows array<int>, offset array<int>, stretch binary"
-    return rows.mapInArrow(run, schema)
+        for messages in batches:
+            for number, blob in zip(messages.column("pack").to_pylist(), messages.column("blob")):
+                yield from cut_pack(number, opened(blob.as_py()), small)
+
+    def cut_pack(number: int, batch: pa.RecordBatch, small) -> Iterator[pa.RecordBatch]:
+        texts = texts_of(batch, text)
+        # all texts that hold a shared anchor have it among theirs, so one list for the pack does
+        wanted = np.unique(batch.column("shared").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        whole, base = np.frombuffer(b"".join(texts), np.uint8), 0
+        got: list[list] = [[] for _ in range(8)]
+        for lo, hi in pieces(texts, HASH_BYTES):
+            found = Anchors(texts[lo:hi])
+            starts, own = found.owners()
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))[: len(own)]
+            count = np.diff(np.concatenate((first, [len(own)])))
+            keep = member(found.hash[own[first]] & KNOWN, wanted) if len(first) else np.zeros(0, bool)
+            mine, at, n = own[first][keep], starts[first][keep], count[keep]
+            text_ = found.text[mine]
+            data = whole[base : base + len(found.joined)]
+            digests = [Ranges(data, k).hashes(at, at + n + WINDOW - 1) for k in (0, 1)]
+            for values, new in zip(got, (found.hash[mine].view(np.int64), text_ + lo, at - found.starts[text_], n, found.at[mine] - at, at + base, *digests)):
+                values.append(new)
+            base += len(data)
+        if not sum(map(len, got[0])):
+            return
+        anchor, row, start, n, offset, place, *digests = [np.concatenate(v) for v in got]
+        ids = batch.column("key").to_numpy()[row]
+        lost = held_before(anchor, digests, ids)
+        if lost.any():
+            yield runs(number, lost, anchor, ids, row, start, n, offset)
+        hot = member(anchor & KNOWN.view(np.int64), np.unique(batch.column("hot").flatten().to_numpy(zero_copy_only=False))) & ~lost
+        stay = np.flatnonzero(~(lost | hot))
+        if hot.any():
+            x = np.flatnonzero(hot)
+            of, shift = np.repeat(x, n[x]), counting(n[x])
+            single = sliced(whole, place[of] + shift, np.full(len(of), WINDOW))
+            cuts = np.arange(len(of) + 1) * WINDOW
+            names = [Ranges(single, k).hashes(cuts[:-1], cuts[1:]) for k in (0, 1)]
+            windows = (names[0].view(np.int64), ids[of], row[of], start[of] + shift, np.ones(len(of), np.int64), offset[of] - shift)
+            gone = held_before(windows[0], names, ids[of])
+            if gone.any():
+                yield runs(number, gone, *windows)
+            left = np.flatnonzero(~gone)
+            anchor, ids, row, start, n, offset, place = [
+                np.concatenate((c[stay], w[left])) for c, w in zip((anchor, ids, row, start, n, offset, place), (*windows, place[of] + shift))]
+            stay = np.arange(len(anchor))
+        bucket = (anchor.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = stay[np.lexsort((anchor[stay], bucket[stay]))]
+        bucket = bucket[order]
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(order) else np.zeros(1, np.int64)
+        sizes = n + WINDOW - 1
+        bodies = [small.compress(sliced(whole, place[order[p:q]], sizes[order[p:q]]).tobytes()) for p, q in zip(cuts[:-1], cuts[1:])]
+        yield message(number, bucket[cuts[:-1]].tolist(), cuts, [c[order] for c in (anchor, ids, row, start, n, offset)], bodies)
+
+    schema = "bucket long, pack long, anchor array<long>, id array<long>, row array<int>, start array<int>, windows array<int>, offset array<int>, stretch binary"
+    return held.mapInArrow(run, schema)
 
 
 def lost_windows(joined: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -476,8 +476,8 @@ def several(keys: np.ndarray) -> np.ndarray:
     return times[back] > 1
 
 
-def later_windows(packs: DataFrame, sort_bytes: int = SORT_BYTES) -> DataFrame:
-    """(a, id, start, length): runs of bytes whose windows a smaller id holds, in the stretches of each bucket.
+def later_windows(messages: DataFrame, sort_bytes: int = SORT_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(pack, row, start, length): runs of bytes whose windows a smaller id holds, in the stretches of each bucket.
 
     Equal stretches are one. Of what is left, windows that stand alone by their hash are cut off, and equal runs of the others
     are one again. Suffix arrays tell the windows of those runs apart that still share one with a different run.
@@ -485,63 +485,80 @@ def later_windows(packs: DataFrame, sort_bytes: int = SORT_BYTES) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         import zstandard
 
-        flat = {c: table[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("anchor", "id", "a", "start", "windows", "offset")}
+        flat = {c: table[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("anchor", "id", "row", "start", "windows", "offset")}
+        flat["pack"] = np.repeat(table["pack"].to_numpy(), pc.list_value_length(table["anchor"]).to_numpy())
         sizes = flat["windows"] + WINDOW - 1
         if table["bucket"][0].as_py() < 0:
-            return pa.table({"a": flat["a"], "id": flat["id"], "start": flat["start"], "length": sizes})
-        opened = zstandard.ZstdDecompressor()
-        data = np.frombuffer(b"".join(opened.decompress(x) for x in table["stretch"].to_pylist()), np.uint8)
+            return pa.table({"pack": flat["pack"], "row": flat["row"], "start": flat["start"], "length": sizes})
+        unpack = zstandard.ZstdDecompressor()
+        data = np.frombuffer(b"".join(unpack.decompress(x) for x in table["stretch"].to_pylist()), np.uint8)
         begin = np.cumsum(sizes) - sizes
-        bodies = [Ranges(data, k) for k in (0, 1)]
-        rows, starts, lengths = [], [], []
-
-        def lose(stretch: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
-            """Bytes of distinct stretches that go, in all rows of the smallest id."""
-            times = firsts[stretch]
-            rows.append(order[np.repeat(head[stretch], times) + counting(times)])
-            starts.append(np.repeat(first, times))
-            lengths.append(np.repeat(size, times))
-
-        order, head, later, firsts = first_holders(flat["id"], flat["anchor"], [b.hashes(begin, begin + sizes) for b in bodies])
-        rows.append(order[later])
-        starts.append(np.zeros(len(rows[0]), np.int64))
-        lengths.append(sizes[rows[0]])
-        one = order[head]
-        asked = np.flatnonzero(may_share(data, flat["anchor"][one], begin[one], sizes[one], flat["offset"][one]))
-        x = one[asked]
-        own = np.repeat(np.arange(len(x)), flat["windows"][x])
-        place = begin[x][own] + counting(flat["windows"][x])
-        key = combined(flat["anchor"][x][own].view(np.uint64), Ranges(data, 3).hashes(place, place + WINDOW))
-        shared = several(key)
-        breaks = own[1:] != own[:-1]
-        from_ = np.flatnonzero(shared & np.concatenate(([True], ~shared[:-1] | breaks))[: len(own)])
-        to = np.flatnonzero(shared & np.concatenate((~shared[1:] | breaks, [True]))[: len(own)])
-        stretch, at, size = asked[own[from_]], place[from_], to - from_ + WINDOW
-        first, holder, anchor = at - begin[one[stretch]], flat["id"][one[stretch]], flat["anchor"][one[stretch]]
-        order2, head2, later2, firsts2 = first_holders(holder, anchor, [b.hashes(at, at + size) for b in bodies])
-        gone = order2[later2]
-        lose(stretch[gone], first[gone], size[gone])
-        runs = order2[head2]
-        count = size[runs] - WINDOW + 1
-        again = several(key[np.repeat(from_[runs], count) + counting(count)])
-        sorted_ = np.unique(np.repeat(np.arange(len(runs)), count)[again])
-        # whole anchors are sorted in blocks
-        spent, lo = np.cumsum(size[runs[sorted_]]), 0
-        while lo < len(sorted_):
-            over = int(np.searchsorted(spent, (spent[lo - 1] if lo else 0) + sort_bytes))
-            known = anchor[runs[sorted_]]
-            hi = int(np.searchsorted(known, known[min(over, len(sorted_) - 1)], "right"))
-            block = sorted_[lo:hi]
-            y = runs[block]
-            which, p, q = lost_windows(sliced(data, at[y], size[y]), size[y], holder[y])
-            times = firsts2[block[which]]
-            member_ = order2[np.repeat(head2[block[which]], times) + counting(times)]
-            lose(stretch[member_], first[member_] + np.repeat(p, times), np.repeat(q - p + WINDOW - 1, times))
+        # whole anchors at a time, so that the hashes of a block fit the task whatever the bucket holds
+        order = np.argsort(flat["anchor"], kind="stable")
+        spent, known, lo, found = np.cumsum(sizes[order]), flat["anchor"][order], 0, []
+        while lo < len(order):
+            over = int(np.searchsorted(spent, (spent[lo - 1] if lo else 0) + block_bytes))
+            hi = int(np.searchsorted(known, known[min(over, len(order) - 1)], "right"))
+            x = order[lo:hi]
+            which, first, length = lost_runs(sliced(data, begin[x], sizes[x]), *(flat[c][x] for c in ("anchor", "id", "windows", "offset")), sort_bytes)
+            found.append((x[which], first, length))
             lo = hi
-        x = np.concatenate(rows)
-        return pa.table({"a": flat["a"][x], "id": flat["id"][x], "start": flat["start"][x] + np.concatenate(starts), "length": np.concatenate(lengths)})
-
-    return packs.groupBy("bucket").applyInArrow(run, "a long, id long, start long, length long")
+        x, first, length = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"pack": flat["pack"][x], "row": flat["row"][x], "start": flat["start"][x] + first, "length": length})
+
+    return messages.groupBy("bucket").applyInArrow(run, "pack long, row long, start long, length long")
+
+
+def lost_runs(data: np.ndarray, anchor: np.ndarray, id_: np.ndarray, windows: np.ndarray, offset: np.ndarray, sort_bytes: int):
+    """Of stretches, one after another in ``data``: (stretch, first byte, bytes) of what a smaller id holds too."""
+    sizes = windows + WINDOW - 1
+    begin = np.cumsum(sizes) - sizes
+    bodies = [Ranges(data, k) for k in (0, 1)]
+    rows, starts, lengths = [], [], []
+
+    def lose(stretch: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Bytes of distinct stretches that go, in all rows of the smallest id."""
+        times = firsts[stretch]
+        rows.append(order[np.repeat(head[stretch], times) + counting(times)])
+        starts.append(np.repeat(first, times))
+        lengths.append(np.repeat(size, times))
+
+    order, head, later, firsts = first_holders(id_, anchor, [b.hashes(begin, begin + sizes) for b in bodies])
+    rows.append(order[later])
+    starts.append(np.zeros(len(rows[0]), np.int64))
+    lengths.append(sizes[rows[0]])
+    one = order[head]
+    asked = np.flatnonzero(may_share(data, anchor[one], begin[one], sizes[one], offset[one]))
+    x = one[asked]
+    own = np.repeat(np.arange(len(x)), windows[x])
+    place = begin[x][own] + counting(windows[x])
+    key = combined(anchor[x][own].view(np.uint64), Ranges(data, 3).hashes(place, place + WINDOW))
+    shared = several(key)
+    breaks = own[1:] != own[:-1]
+    from_ = np.flatnonzero(shared & np.concatenate(([True], ~shared[:-1] | breaks))[: len(own)])
+    to = np.flatnonzero(shared & np.concatenate((~shared[1:] | breaks, [True]))[: len(own)])
+    stretch, at, size = asked[own[from_]], place[from_], to - from_ + WINDOW
+    first, holder, of = at - begin[one[stretch]], id_[one[stretch]], anchor[one[stretch]]
+    order2, head2, later2, firsts2 = first_holders(holder, of, [b.hashes(at, at + size) for b in bodies])
+    gone = order2[later2]
+    lose(stretch[gone], first[gone], size[gone])
+    runs = order2[head2]
+    count = size[runs] - WINDOW + 1
+    again = several(key[np.repeat(from_[runs], count) + counting(count)])
+    left = np.unique(np.repeat(np.arange(len(runs)), count)[again])
+    # whole anchors are sorted in blocks
+    spent, known, lo = np.cumsum(size[runs[left]]), of[runs[left]], 0
+    while lo < len(left):
+        over = int(np.searchsorted(spent, (spent[lo - 1] if lo else 0) + sort_bytes))
+        hi = int(np.searchsorted(known, known[min(over, len(left) - 1)], "right"))
+        block = left[lo:hi]
+        y = runs[block]
+        which, p, q = lost_windows(sliced(data, at[y], size[y]), size[y], holder[y])
+        times = firsts2[block[which]]
+        same = order2[np.repeat(head2[block[which]], times) + counting(times)]
+        lose(stretch[same], first[same] + np.repeat(p, times), np.repeat(q - p + WINDOW - 1, times))
+        lo = hi
+    return tuple(np.concatenate(c) for c in (rows, starts, lengths))
 
 
 def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sort_bytes: int = SORT_BYTES,
@@ -566,8 +583,8 @@ def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         F.min("key").alias("first"), F.count(F.lit(1)).alias("n"), F.first(F.octet_length("raw")).cast("long").alias("size")), "texts")
     total = texts.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, int(total * 2 / (SPAN + 1) // BUCKET_ANCHORS) + 1)
-    packs = anchor_packs(rows.where(F.octet_length("raw") >= WINDOW).select("a", F.col("raw").alias("text")), buckets)
-    shared = shared_anchors(packs, buckets, hot_holders)
+    sent = anchor_packs(rows.where(F.octet_length("raw") >= WINDOW).select("a", F.col("raw").alias("text")), buckets)
+    shared = shared_anchors(sent, buckets, hot_holders)
     info = materialize(texts.join(shared, "a", "left").where("n > 1 OR shared IS NOT NULL")
                        .select("a", "b", "first", "shared", "hot"), "shared-anchors")
     # texts meet what is known of them once; from here on only the ones with shared anchors move
@@ -579,15 +596,15 @@ def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     asked = told.where("open")
     work = asked.agg(F.sum(F.size("shared") * (WINDOW + SPAN // 2) + F.size("hot") * SPAN * WINDOW)).first()[0] or 0
     # near copies share their lowest anchor, so that most equal stretches meet before they are shuffled
-    near = asked.select(F.col("key").alias("id"), "a", F.encode(F.col(text_at), "UTF-8").alias("text"), "shared", "hot").withColumn(
-        "low", F.array_min("shared")).repartitionByRange("low", "id").drop("low")
-    lost = later_windows(stretches(near, max(1, int(work // BUCKET_BYTES) + 1)), sort_bytes)
-    by_text = lost.groupBy("a", F.col("id").alias("key")).agg(F.collect_list(F.struct("start", "length")).alias("lost"))
-    found = asked.drop("shared", "hot").join(by_text, ["a", "key"], "left")
+    near = asked.withColumn("low", F.array_min("shared")).repartitionByRange("low", "key").sortWithinPartitions("low", "key")
+    columns = [f"_{i}" for i in range(len(names))]
+    held = materialize(packs(near.select(*columns, "key", "shared", "hot"), text_at, PACK_BYTES), "packs", compression="uncompressed")
+    lost = later_windows(stretches(held, max(1, int(work // BUCKET_BYTES) + 1), text_at), sort_bytes)
+    by_pack = lost.groupBy("pack").agg(F.collect_list(F.struct("row", "start", "length")).alias("lost"))
+    found = held.join(by_pack.hint("merge"), "pack", "left")
     # the others: unique, or copies of a text with a smaller id
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length(text_at).cast("long").alias("length")))
-    rest = told.where("NOT open").drop("shared", "hot").withColumn(
-        "lost", F.when(F.col("copy") & (F.octet_length(text_at) >= WINDOW), whole))
+    rest = told.where("NOT open").select(*columns, F.when(F.col("copy") & (F.octet_length(text_at) >= WINDOW), whole).alias("lost"))
 
     def cut_out(texts: list, lost: list) -> list[list]:
         kept, size, gone, spans = [], [], [], []
@@ -607,9 +624,21 @@ def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         return [kept, size, gone, spans]
 
     fields = [("kept_bytes", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("spans", "array<struct<start:long,length:long>>")]
-    keep = [f"_{i}" for i in range(len(names))] + ["lost"]
-    both = found.select(*keep).unionByName(rest.select(*keep))
-    return restored(map_batches(both, [text_at, "lost"], cut_out, fields), names, [n for n, _ in fields])
+    others = map_batches(rest, [text_at, "lost"], cut_out, fields).drop("lost")
+    kinds = to_arrow_schema(others.schema)
+
+    def cut_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, lost in zip(batch.column("blob"), batch.column("lost").to_pylist()):
+                inner = opened(blob.as_py())
+                own: list[list] = [[] for _ in range(inner.num_rows)]
+                for x in lost or ():
+                    own[x["row"]].append(x)
+                new = cut_out(inner.column(text_at).to_pylist(), own)
+                arrays = [inner.column(c) for c in columns] + [pa.array(v, kinds.field(n).type) for (n, _), v in zip(fields, new)]
+                yield pa.RecordBatch.from_arrays(arrays, names=kinds.names)
+
+    return restored(found.mapInArrow(cut_packs, others.schema).unionByName(others), names, [n for n, _ in fields])
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slowtruth.llm.common import map_batches, numbered, position, restored
-from slowtruth.llm.rolling import Ranges, combined
-from slowtruth.llm.suffix import sliding
+from slowtruth.llm.packs import opened, packs, texts_of
+from slowtruth.llm.rolling import Ranges, combined, sliding
 from slowtruth.session import materialize
 
 WINDOW, SHORTEST = 35, 9
@@ -150,50 +150,6 @@ def survivors(words: Words, answers: list[tuple], levels: list[int], window: int
     return at
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
-    return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
-
-
-def opened(blob: bytes) -> pa.RecordBatch:
-    with pa.ipc.open_stream(blob) as reader:
-        return reader.read_all().combine_chunks().to_batches()[0]
-
-
-def packs(rows: DataFrame, text: str) -> DataFrame:
-    """(pack, size, blob): all rows, in packs of about PACK_BYTES of text, as compressed Arrow data."""
-    def close(held: list[pa.RecordBatch]) -> bytes:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            for part in held:
-                writer.write_batch(part)
-        return sink.getvalue().to_pybytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        held, total, number = [], 0, TaskContext.get().partitionId() << 33
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"pack": pa.array([number], pa.int64()), "size": pa.array([total], pa.int64()),
-                                               "blob": pa.array([close(held)], pa.binary())})
-
-        for batch in batches:
-            sizes = np.cumsum([len(t) + 1 for t in texts_of(batch, text)])
-            begin = 0
-            while begin < batch.num_rows:
-                spent = sizes[begin - 1] if begin else 0
-                end = max(begin + 1, int(np.searchsorted(sizes, spent + PACK_BYTES - total, "right")))
-                held.append(batch.slice(begin, end - begin))
-                total += int(sizes[end - 1] - spent)
-                begin = end
-                if total >= PACK_BYTES or begin < batch.num_rows:
-                    yield done()
-                    held, total, number = [], 0, number + 1
-        if held:
-            yield done()
-
-    return rows.mapInArrow(run, "pack long, size long, blob binary")
-
-
 def sent(told: DataFrame, level: int, levels: list[int], window: int, text: str, buckets: int) -> DataFrame:
     """(bucket, pack, a, b, twice, n): the sorted hashes that a level counts, from (pack, blob, answers)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +224,7 @@ def drop_repeated_words(docs: DataFrame, text: str = "text", window: int = WINDO
     near = map_batches(numbered(docs), [text_at], lowest, [("low", "long")])
     near = near.repartitionByRange(*spread).sortWithinPartitions("low", F.xxhash64(text_at))
     rows = near.drop("low")
-    held = materialize(packs(rows, text_at), "packs", compression="uncompressed")
+    held = materialize(packs(rows, text_at, PACK_BYTES), "packs", compression="uncompressed")
     total = held.agg(F.sum("size")).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     answers: list[DataFrame] = []

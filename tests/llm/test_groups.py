@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slowtruth.llm import chat, graph, mix, neardup, shard, suffix
+from slowtruth.llm import chat, graph, mix, neardup, packs, shard, suffix
 from tests.llm.conftest import prose
 
 HOSTILE = [
@@ -192,8 +192,9 @@ def test_suffix_hot_anchor(spark):
     assert Counter((x.doc_id, x.n_bytes, x.n_removed, len(x.spans), bytes(x.kept_bytes)) for x in got) == expected_suffix(rows)
     texts = docs.selectExpr("doc_id AS id", "xxhash64(encode(text, 'UTF-8')) AS a", "encode(text, 'UTF-8') AS text")
     shared = suffix.shared_anchors(suffix.anchor_packs(texts.select("a", "text"), 3), 3, 40)
+    packed = packs.packs(texts.join(shared, "a").selectExpr("id AS key", "text", "shared", "hot"), "text", 1 << 20)
     held = Counter()
-    for pack in suffix.stretches(texts.join(shared, "a").select("id", "a", "text", "shared", "hot"), 3).where("bucket >= 0").collect():
+    for pack in suffix.stretches(packed, 3, "text").where("bucket >= 0").collect():
         held.update(pack.anchor)
     assert max(held.values()) <= 40 < 300
 
