@@ -34,7 +34,7 @@ from slowtruth.session import materialize
 
 WINDOW, SHORTEST = 35, 9
 #: Text of a pack, and hashes of a bucket, for the number of buckets.
-PACK_BYTES, BUCKET_HASHES = 4 << 20, 2_000_000
+PACK_BYTES, BUCKET_HASHES = 2 << 20, 2_000_000
 _ONE_SPACE = bytes(32 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
 
 
