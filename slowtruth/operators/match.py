@@ -154,7 +154,8 @@ def _by_block(tagged, keys, order, ttl) -> DataFrame:
         (F.max(ROW) - F.max(F.when(~F.col("_linked"), F.col(ROW)))).alias("_run"),
     ).withColumn("_run", F.coalesce("_run", F.lit(-1)))
     carry = carry_in(
-        runs, keys, "_k0 long", (-1,), lambda held, b: (b[1] if b[1] >= 0 else held[0] + b[0],), ["_n", "_run"]
+        runs, keys, "_k0 long", (-1,), lambda held, b: (b[1] if b[1] >= 0 else held[0] + b[0],), ["_n", "_run"],
+        join=lambda a, b: (a[0] + b[0], b[1] if b[1] >= 0 else a[1] + b[0] if a[1] >= 0 else -1),
     )
     upto = win.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_reset", F.max(F.when(~F.col("_linked"), F.col(ROW))).over(upto)).withColumn(

@@ -250,48 +250,44 @@ def _decay(width: int, decay: float) -> np.ndarray:
     return d
 
 
-def linear_maps(z, y, rate: float, decay: float) -> np.ndarray:
-    """One augmented map [matrix | vector] per strip."""
+def linear_affine(z, y, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """The linear model over a block of rows without its start: what every row's answer, and the model after the block, are of it.
+
+    A training step is an affine map of (weights, bias), and an answer is an affine function of them. Row ``i`` answers
+    ``coef[i, :-1] @ start + coef[i, -1]``; after the block the model is ``end[:, :-1] @ start + end[:, -1]``. Strips of rows
+    advance side by side, each from a start of its own, and are then put behind one another.
+    """
     u, target, real = _strips(z, y)
     count, _, size = u.shape
     keep = _decay(size - 1, decay)[None, :, None]
     maps = np.zeros((count, size, size + 1))
     maps[:, range(size), range(size)] = 1.0
+    seen = np.zeros((count, STRIP, size + 1))
     tail = int(real[-1].sum())
     for t in range(STRIP):
         # Only the last strip can be short; past its end the others go on without it.
         live = count if t < tail else count - 1
         m, ut = maps[:live], u[:live, t]
-        seen = np.matmul(ut[:, None, :], m)
-        seen[:, 0, -1] -= target[:live, t]
+        answer = np.matmul(ut[:, None, :], m)
+        seen[:live, t] = answer[:, 0]
+        answer[:, 0, -1] -= target[:live, t]
         m *= keep
-        m -= (rate * ut)[:, :, None] * seen
-    return maps
-
-
-def compose(maps: np.ndarray) -> np.ndarray:
-    """The map of all strips in turn."""
-    total = maps[0]
-    for m in maps[1:]:
-        matrix, vector = m[:, :-1], m[:, -1]
-        total = matrix @ total
-        total[:, -1] += vector
-    return total
-
-
-def linear_predict(z, y, start, rate: float, decay: float):
-    """Predictions of every row before it is learnt from, and the (weights, bias) after the last row."""
-    maps = linear_maps(z, y, rate, decay)
-    v = np.empty((len(maps), z.shape[1] + 1))
-    v[0] = start
-    for i in range(len(maps) - 1):
-        v[i + 1] = maps[i][:, :-1] @ v[i] + maps[i][:, -1]
-    u, target, real = _strips(z, y)
-    keep = _decay(z.shape[1], decay)
-    out = np.empty(target.shape)
-    for t in range(STRIP):
-        out[:, t] = (u[:, t] * v).sum(axis=1)
-        step = np.where(real[:, t], rate * (target[:, t] - out[:, t]), 0.0)
-        moved = keep * v + step[:, None] * u[:, t]
-        v = np.where(real[:, t][:, None], moved, v)
-    return out.reshape(-1)[: len(y)], v[-1]
+        m -= (rate * ut)[:, :, None] * answer
+    start = np.eye(size, size + 1)
+    coef = np.empty_like(seen)
+    for strip in range(count):
+        for out, own in ((coef[strip], seen[strip]), (None, maps[strip])):
+            moved = own[:, :-1] @ start
+            moved[:, -1] += own[:, -1]
+            if out is None:
+                start = moved
+            else:
+                out[:] = moved
+    return coef.reshape(-1, size + 1)[: len(y)], start
+
+
+def chained(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """One affine map after another."""
+    out = then[:, :-1] @ first
+    out[:, -1] += then[:, -1]
+    return out

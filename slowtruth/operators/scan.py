@@ -31,6 +31,8 @@ BLOCK = "_block"
 #: any other and keeps its rows.
 KEY = "_key"
 BLOCK_BITS = 14
+#: Row ids hold the range partition above so many bits. Up to so many partitions the blocks of a key are scanned at once.
+PART_BITS, SCANNED_PARTITIONS, _PART = 33, 64, "_part"
 
 
 def stage_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str = "ordered") -> DataFrame:
@@ -76,50 +78,87 @@ def carry_in(
     values: Sequence[str],
     initial: DataFrame | None = None,
     with_final: bool = False,
+    join: Callable[[tuple, tuple], tuple] | None = None,
+    bits: int | None = None,
 ) -> DataFrame:
     """State before each block: an exclusive ordered scan over the block summaries of each key.
 
     ``summary`` and the result are keyed by the key's text. ``state`` is a DDL list of the state columns,
     ``merge(state, values)`` folds one block in. ``initial`` (``keys`` + state columns) starts a key from an earlier run. With ``with_final``
     one more row per key, block null, holds the state after its last block.
-    The scan streams, so memory does not grow with the number of blocks.
+    The scan streams, so memory does not grow with the number of blocks. With ``join(values, values)``, which puts two
+    summaries behind one another, it has two levels: the blocks of a range partition are folded in parallel, the scan over
+    a key then has a row for each partition, and the states inside the partitions are found in parallel again. With few
+    partitions one scan of all blocks is shorter than two more exchanges.
     """
     state_fields = T.StructType.fromDDL(state).fields
-    names = [f.name for f in state_fields]
     values = list(values)
-    rows = summary.select(
-        KEY, BLOCK, *values, *[F.lit(None).cast(f.dataType).alias(f"_s_{f.name}") for f in state_fields]
-    )
-    if initial is not None:
-        start = initial.select(
-            F.to_json(F.struct(*keys)).alias(KEY),
-            F.lit(-1).cast("long").alias(BLOCK),
-            *[F.lit(None).cast(summary.schema[v].dataType).alias(v) for v in values],
-            *[F.col(n).alias(f"_s_{n}") for n in names],
-        )
-        rows = rows.unionByName(start)
-    out = T.StructType([T.StructField(KEY, T.StringType()), T.StructField(BLOCK, T.LongType()), *state_fields])
+    shape = (state_fields, zero, merge, values)
+    start = None if initial is None else initial.select(F.to_json(F.struct(*keys)).alias(KEY), *[f.name for f in state_fields])
+    parts = int(summary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if join is None or parts <= SCANNED_PARTITIONS:
+        return _scanned(summary, [KEY], start, with_final, *shape)
+    rows = summary.withColumn(_PART, F.shiftright(BLOCK, PART_BITS - (BLOCK_BITS if bits is None else bits)))
+    folded = _folded(rows, join, values).withColumnRenamed(_PART, BLOCK)
+    outer = materialize(_scanned(folded, [KEY], start, True, *shape), "carry")
+    inner = _scanned(rows, [KEY, _PART], outer.where(F.col(BLOCK).isNotNull()).withColumnRenamed(BLOCK, _PART), False, *shape).drop(_PART)
+    return inner.unionByName(outer.where(F.col(BLOCK).isNull())) if with_final else inner
+
+
+def _folded(rows: DataFrame, join: Callable, values: Sequence[str]) -> DataFrame:
+    """One summary for each partition of a key."""
+    out = T.StructType([rows.schema[c] for c in (KEY, _PART, *values)])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = None, None
+        for pdf in batches:
+            found = []
+            for key, part, *row in zip(*[pdf[c].tolist() for c in out.names]):
+                if (key, part) != current:
+                    if current is not None:
+                        found.append((*current, *held))
+                    current, held = (key, part), tuple(row)
+                else:
+                    held = join(held, tuple(row))
+            yield pd.DataFrame(found, columns=out.names)
+        if current is not None:
+            yield pd.DataFrame([(*current, *held)], columns=out.names)
+
+    ordered = rows.repartition(KEY, _PART).sortWithinPartitions(KEY, _PART, BLOCK).select(*out.names)
+    return ordered.mapInPandas(fold, schema=out)
+
+
+def _scanned(summary, by, start, with_final, state_fields, zero, merge, values) -> DataFrame:
+    """The scan of the summaries of each value of ``by``, from the states in ``start`` (``by`` and the state) where there are any."""
+    names = [f.name for f in state_fields]
+    rows = summary.select(*by, BLOCK, *values, *[F.lit(None).cast(f.dataType).alias(f"_s_{f.name}") for f in state_fields])
+    if start is not None:
+        rows = rows.unionByName(start.select(
+            *by, F.lit(-1).cast("long").alias(BLOCK), *[F.lit(None).cast(summary.schema[v].dataType).alias(v) for v in values],
+            *[F.col(n).alias(f"_s_{n}") for n in names]))
+    out = T.StructType([*[summary.schema[c] for c in by], T.StructField(BLOCK, T.LongType()), *state_fields])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = None, zero
         for pdf in batches:
             found: list[tuple] = []
-            columns = [pdf[c].tolist() for c in [KEY, BLOCK, *values, *[f"_s_{n}" for n in names]]]
-            for key, block, *row in zip(*columns):
+            columns = [pdf[c].tolist() for c in [*by, BLOCK, *values, *[f"_s_{n}" for n in names]]]
+            for row in zip(*columns):
+                key, block, row = row[: len(by)], row[len(by)], row[len(by) + 1 :]
                 if key != current:
                     if with_final and current is not None:
-                        found.append((current, None, *held))
+                        found.append((*current, None, *held))
                     current, held = key, zero
                 if block < 0:
                     held = tuple(row[len(values):])
                     continue
-                found.append((key, block, *held))
+                found.append((*key, block, *held))
                 held = merge(held, tuple(row[: len(values)]))
             yield _frame(found, out)
         if with_final and current is not None:
-            yield _frame([(current, None, *held)], out)
+            yield _frame([(*current, None, *held)], out)
 
-    return rows.repartition(KEY).sortWithinPartitions(KEY, BLOCK).mapInPandas(scan, schema=out)
+    return rows.repartition(*by).sortWithinPartitions(*by, BLOCK).mapInPandas(scan, schema=out)
 
 
 def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
@@ -191,9 +230,13 @@ def ewma_carry(rows, keys, columns, rate, initial=None, with_final=False, bits=N
         factor = keep ** block[0]
         return tuple(h * factor + v for h, v in zip(held, block[1:]))
 
+    def join(first, then):
+        factor = keep ** then[0]
+        return (first[0] + then[0], *[a * factor + b for a, b in zip(first[1:], then[1:])])
+
     return carry_in(
         summary, keys, ", ".join(f"_c_{o} double" for o in outs), (0.0,) * len(outs), merge,
-        ["_n", *[f"_v_{o}" for o in outs]], initial, with_final,
+        ["_n", *[f"_v_{o}" for o in outs]], initial, with_final, join, bits,
     )
 
 
@@ -258,6 +301,7 @@ def moments_carry(rows, keys, columns, initial=None, with_final=False) -> DataFr
     return carry_in(
         summary, keys, "_n0 long, _mean0 array<double>, _m20 array<double>",
         (0, [0.0] * width, [0.0] * width), moments_merge, ["_n", "_mean", "_m2"], initial, with_final,
+        moments_merge,
     )
 
 

@@ -169,14 +169,11 @@ def prequential_rows(
     z = [f"{x}_z" for x in X]
     # With equal block sizes the rows are already together: the next step adds no shuffle.
     blocks = rows if bits == scan.BLOCK_BITS else with_block(rows, keys)
-    weights = learn.materialize(learn.sgd_carry(
-        blocked, _started(moments), keys, X, "residual", settings.sgd_rate, settings.sgd_decay,
-        state.get("weights"), with_final=True,
-    ), "weights")
-    scored = learn.apply_sgd(
-        blocks, _started(moments), _started(weights), X, "residual", settings.sgd_rate, settings.sgd_decay
+    affine = learn.sgd_affine(
+        blocks, _started(moments), X, "residual", settings.sgd_rate, settings.sgd_decay, keep_z=challenger == "rules"
     )
-    scored = learn.materialize(scored, "scored")
+    weights = learn.materialize(learn.sgd_carry(affine, keys, len(X), state.get("weights"), with_final=True), "weights")
+    scored = learn.apply_sgd(affine, _started(weights), len(X))
     if challenger == "rules":
         routed, rules = learn.amrules_prequential(
             scored, keys, z, settings=settings, initial=state.get("rules"), rows_per_round=rows_per_round
@@ -184,7 +181,7 @@ def prequential_rows(
         joined = scored.drop(*z, "baseline_ape").join(routed.drop("baseline", "actual", *keys), ROW)
         router, guards = {"rules": rules}, []
     else:
-        joined, trust = routed_in_blocks(scored.drop(*z), CHALLENGERS[challenger], keys, settings, state.get("trust"))
+        joined, trust = routed_in_blocks(scored, CHALLENGERS[challenger], keys, settings, state.get("trust"))
         router, guards = {"trust": _final(trust, keys, staged)}, ["unsafe", "untrusted"]
     b, a = F.col("baseline"), F.col("actual")
     mean_force = expr.final_force(b, F.col("target_mean_residual"))

@@ -94,11 +94,46 @@ def test_linear_kernels(n):
     rng = np.random.default_rng(n)
     z, y = rng.normal(size=(n, 5)), rng.normal(size=n) * 100
     expected, end = loop_sgd(z, y, 0.01, 0.001)
-    found, last = models.linear_predict(z, y, np.zeros(6), 0.01, 0.001)
-    np.testing.assert_allclose(found, expected, rtol=1e-9, atol=1e-9)
-    np.testing.assert_allclose(last, end, rtol=1e-9)
-    total = models.compose(models.linear_maps(z, y, 0.01, 0.001))
-    np.testing.assert_allclose(total[:, -1], end, rtol=1e-9)
+    coef, after = models.linear_affine(z, y, 0.01, 0.001)
+    np.testing.assert_allclose(coef[:, -1], expected, rtol=1e-9, atol=1e-9)  # from a start of zero
+    np.testing.assert_allclose(after[:, -1], end, rtol=1e-9)
+    half = n // 2 + 1
+    first, then = models.linear_affine(z[:half], y[:half], 0.01, 0.001), models.linear_affine(z[half:], y[half:], 0.01, 0.001) if n > half else None
+    if then is not None:  # a block that starts from what the one before has learnt
+        start = first[1][:, -1]
+        np.testing.assert_allclose(then[0][:, :-1] @ start + then[0][:, -1], expected[half:], rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(models.chained(first[1], then[1])[:, -1], end, rtol=1e-9)
+
+
+@pytest.mark.parametrize("scanned", [0, 64])
+def test_two_levels_of_a_scan_agree(spark, rows, tiny_blocks, monkeypatch, scanned):
+    """Blocks folded by range partition, scanned and opened again: the same states as one scan of all blocks."""
+    monkeypatch.setattr(scan, "SCANNED_PARTITIONS", scanned)
+    staged = scan.stage_order(rows, ["k"], ["t"])
+    assert staged.select(F.shiftright(scan.ROW, scan.PART_BITS)).distinct().count() > 1
+    blocked = scan.with_block(staged, ["k"])
+    start = spark.createDataFrame([("a", 3, [1.0, 2.0], [4.0, 5.0])], "k string, _n0 long, _mean0 array<double>, _m20 array<double>")
+    carry = scan.moments_carry(blocked, ["k"], ["x", "c"], start, with_final=True).toPandas()
+    smooth = scan.ewma_carry(scan.with_block(staged, ["k"], 2), ["k"], {"x": "s"}, 0.2, with_final=True, bits=2).toPandas()
+    for k, g in rows.toPandas().sort_values("t").groupby("k"):
+        text = '{"k":"%s"}' % k
+        last = carry[(carry[scan.KEY] == text) & carry[scan.BLOCK].isna()].iloc[0]
+        n, mean, m2 = (3, np.array([1.0, 2.0]), np.array([4.0, 5.0])) if k == "a" else (0, np.zeros(2), np.zeros(2))
+        for x in g[["x", "c"]].to_numpy():
+            n, old = n + 1, mean
+            mean = mean + (x - mean) / n
+            m2 = m2 + (x - old) * (x - mean)
+        assert last["_n0"] == n and carry[carry[scan.KEY] == text][scan.BLOCK].nunique() == len(carry[carry[scan.KEY] == text]) - 1
+        np.testing.assert_allclose(last["_mean0"], mean, rtol=1e-9)
+        np.testing.assert_allclose(last["_m20"], m2, rtol=1e-9, atol=1e-9)
+        value = 0.0
+        for x in g["x"]:
+            value = 0.2 * x + 0.8 * value
+        own = smooth[(smooth[scan.KEY] == text) & smooth[scan.BLOCK].isna()]
+        np.testing.assert_allclose(own["_c_s"].iloc[0], value, rtol=1e-9)
+    found = learn.sgd_prequential(staged, ["k"], ["x", "c"], "y", 0.01, 0.001, standardize=False).toPandas()
+    for k, g in found.sort_values("t").groupby("k"):
+        np.testing.assert_allclose(g["sgd_residual"], loop_sgd(g[["x", "c"]].to_numpy(), g["y"].to_numpy(), 0.01, 0.001)[0], rtol=1e-8, atol=1e-9)
 
 
 def test_sgd_blocked(spark, rows, tiny_blocks):
