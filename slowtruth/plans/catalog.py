@@ -122,8 +122,8 @@ def guarded_target_mean(spark, sf):
     return rows.withColumn("evaluation_timestamp", F.date_format("evaluation_timestamp", "yyyy-MM-dd HH:mm:ss.SSS"))
 
 
-def _metrics(spark, sf) -> DataFrame:
-    """Metrics rows (offset model as challenger) written as the metrics table and read back."""
+def _metrics_path(spark, sf) -> str:
+    """Metrics rows (offset model as challenger) written as the metrics table."""
     g = evaluation.guarded_target_mean(_matched(spark, sf))
     path = new_path(spark, "metrics")
     sinks.write_metrics_table(
@@ -132,9 +132,29 @@ def _metrics(spark, sf) -> DataFrame:
             F.col("shadow_ape").alias("target_mean_ape"), F.col("safe_ape").alias("am_rules_ape"),
             F.col("shadow_ape").alias("am_rules_shadow_ape"), "wear_level",
         ),
-        path,
+        path, period="month",
     )
-    return spark.read.parquet(path)
+    return path
+
+
+def _metrics(spark, sf) -> DataFrame:
+    return sinks.read_metrics(spark, _metrics_path(spark, sf))
+
+
+def metrics_rows(spark, sf):
+    """All 16 result columns (the linear model guarded), written as the metrics table and read back."""
+    path = new_path(spark, "metrics")
+    rows = evaluation.prequential_eval(_matched(spark, sf), challenger="linear")[0]
+    sinks.write_metrics_table(sinks.as_metrics(rows), path, period="month")
+    return _result(sinks.read_metrics(spark, path), guards=False)
+
+
+def metrics_tsv(spark, sf):
+    """The same rows as tab-separated text, read back."""
+    path = new_path(spark, "tsv")
+    rows = evaluation.prequential_eval(_matched(spark, sf), challenger="linear")[0]
+    sinks.write_tsv(sinks.as_metrics(rows), list(sinks.METRICS_COLUMNS), path)
+    return _result(sinks.read_tsv(spark, path, sinks.METRICS_SCHEMA), guards=False)
 
 
 def metrics_table(spark, sf):
@@ -525,17 +545,18 @@ def grade_filter(spark, sf):
 
 
 def latest_60_per_grade(spark, sf):
-    rows = report.latest_per_grade(_metrics(spark, sf))
+    rows = report.newest_rows(spark, _metrics_path(spark, sf))
     return rows.select("steel_grade", "position", *PASS_KEYS, _text_time("evaluation_timestamp"),
                        _r("baseline_ape", 4), _r("target_mean_ape", 4), _r("wear_level", 4))
 
 
 def current_wear(spark, sf):
-    return report.current_wear(_metrics(spark, sf))
+    path = _metrics_path(spark, sf)
+    return report.current_wear(sinks.read_metrics(spark, path, report.newest_folders(spark, path, 1)))
 
 
 def metric_series(spark, sf):
-    rows = report.latest_per_grade(_metrics(spark, sf))
+    rows = report.newest_rows(spark, _metrics_path(spark, sf))
     series = report.metric_series(rows, ["Baseline", "Target Mean", "AMRules (Safe)"])
     return series.select("steel_grade", "position", "series", "label", "value")
 
@@ -618,6 +639,8 @@ QUERIES: dict[str, Query] = {
     "write_metrics": Query(write_metrics, oracle.WRITE_METRICS),
     "metrics_table": Query(metrics_table, oracle.METRICS_TABLE),
     "export_tsv": Query(export_tsv, oracle.EXPORT_TSV),
+    "metrics_rows": Query(metrics_rows, oracle.MODEL_HANDOVER),
+    "metrics_tsv": Query(metrics_tsv, oracle.MODEL_HANDOVER),
     "engineer_features": Query(engineer_features, oracle.ENGINEER_FEATURES),
     "default_features": Query(default_features, oracle.DEFAULT_FEATURES),
     "feature_vector": Query(feature_vector, oracle.FEATURE_VECTOR),

@@ -109,6 +109,26 @@ def test_late_rows_are_scored_once(spark, pairs, tmp_path):
     assert again.count() == 0
 
 
+def test_seen_log_grows_by_day_and_is_read_by_day(spark, pairs, tmp_path):
+    """A version adds the rows of its own run; a run opens the log of the days it brings rows of, and no other."""
+    cut, path = F.lit("1998-06-01").cast("timestamp_ntz"), str(tmp_path)
+    _, state = evaluation.prequential_eval(pairs.where(F.col("b.ts") < cut), challenger="offset")
+    evaluation.write_checkpoint(state, path)
+    late = materialize(pairs.where(F.col("b.ts") >= cut).limit(50), "late")
+    result, state = evaluation.prequential_eval(late, state=evaluation.read_checkpoint(spark, path), challenger="offset")
+    assert result.count() == 50 and evaluation.write_checkpoint(state, path) == 2
+    assert spark.read.parquet(f"{path}/seen/seen_version=2").count() == 50
+    log = evaluation.read_checkpoint(spark, path)["seen"]
+    assert log.count() == 50 + pairs.where(F.col("b.ts") < cut).count()
+    assert evaluation.read_checkpoint(spark, path, 1)["seen"].count() == log.count() - 50
+    days = sorted(r[0] for r in log.select("seen_day").distinct().collect())
+    plan = evaluation.seen_on(log, days[-2:])._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert "seen_day" in filters and "seen_version" in filters and all(str(d) in filters for d in days[-2:])
+    again, _ = evaluation.prequential_eval(late, state=evaluation.read_checkpoint(spark, path), challenger="offset")
+    assert again.count() == 0
+
+
 def test_no_leakage_and_grade_isolation(spark, pairs):
     rows = evaluation.matched_rows(pairs).where("steel_grade = 'high_alloy'").toPandas().sort_values(ORDER).head(400)
     x, b, a = rows[list(evaluation.X)].to_numpy(), rows["baseline"].tolist(), rows["actual"].tolist()
