@@ -163,12 +163,12 @@ def test_double_array_counts():
     symbols = np.array([r.randrange(2, 9) * (r.random() > 0.05) for _ in range(4000)], np.uint64)
     wanted = {tuple(symbols[i : i + k].tolist()) for i in range(0, 300, 3) for k in (2, 3, 5)}
     wanted = sorted(p for p in wanted if 0 not in p)
-    tree = phrases.DoubleArray([np.array(p, np.uint64) for p in wanted])
+    tree = phrases.DoubleArray(np.array([x for p in wanted for x in p], np.uint64), np.array([len(p) for p in wanted]))
     counts, plain = tree.counts(symbols), symbols.tolist()
     assert len(set(tree.accept.tolist())) == len(wanted)
     for p, state in zip(wanted, tree.accept):
         assert counts[state] == sum(tuple(plain[i : i + len(p)]) == p for i in range(len(plain)))
-    assert phrases.DoubleArray([]).counts(symbols).sum() == 0
+    assert phrases.DoubleArray(symbols[:0], np.zeros(0, np.int64)).counts(symbols).sum() == 0
 
 
 # ---- conversation repair
