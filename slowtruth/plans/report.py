@@ -45,9 +45,9 @@ def newest_folders(spark: SparkSession, path: str, count: int) -> list[str]:
     Folder names are the only thing seen of older ones. Rows without a time are in a folder of their own, which comes last.
     """
     left, chosen, take = {}, {}, 1
-    for grade in folders(spark, path):
+    for grade in sinks.folders(spark, path):
         if grade.startswith(f"{sinks.GRADE}="):
-            periods = [p for p in folders(spark, f"{path}/{grade}") if p.startswith(f"{sinks.PERIOD}=")]
+            periods = [p for p in sinks.folders(spark, f"{path}/{grade}") if p.startswith(f"{sinks.PERIOD}=")]
             left[grade] = sorted(periods, key=lambda p: (not p.startswith(f"{sinks.PERIOD}=__"), p))
             chosen[grade] = []
     open_ = list(left)
@@ -65,12 +65,6 @@ def newest_folders(spark: SparkSession, path: str, count: int) -> list[str]:
     return [f"{g}/{p}" for g, periods in chosen.items() for p in periods]
 
 
-def folders(spark: SparkSession, path: str) -> list[str]:
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
-
-
 def newest_rows(spark: SparkSession, path: str, count: int = 60) -> DataFrame:
     """``latest_per_grade`` of a metrics table, without reading its history."""
     return latest_per_grade(sinks.read_metrics(spark, path, newest_folders(spark, path, count)), count)

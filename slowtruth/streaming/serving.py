@@ -27,6 +27,7 @@ from slowtruth.operators.models import KeyModels, Router, RulesAndRouter, Settin
 from slowtruth.plans.evaluation import RESULT_COLUMNS, X
 from slowtruth.session import materialize
 from slowtruth.sources.events import decode_events, quarantine_events
+from slowtruth.sources.sinks import read_live
 
 STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -310,8 +311,8 @@ SERVED_SCHEMA = (
 
 
 def read_served(spark: SparkSession, path: str) -> DataFrame:
-    """What ``serve`` has written so far."""
-    return spark.read.schema(SERVED_SCHEMA).parquet(path)
+    """What ``serve`` has published so far through ``sinks.batch_writer``."""
+    return read_live(spark, path, SERVED_SCHEMA)
 
 
 def _state_of(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
