@@ -37,11 +37,11 @@ from slowtruth.session import materialize
 WINDOW, GRAM = 50, 24
 SPAN = WINDOW - GRAM + 1
 #: Texts are hashed in pieces of about so many bytes; suffix arrays are built over about so many.
-HASH_BYTES, SORT_BYTES = 2 << 20, 1 << 18
+HASH_BYTES, SORT_BYTES = 1 << 20, 1 << 18
 #: Anchors of a task of step 1 and bytes of a task of step 3, for the number of buckets.
 BUCKET_ANCHORS, BUCKET_BYTES = 2_000_000, 4 << 20
 #: Text of a pack, and bytes of stretches that are hashed at a time in step 3.
-PACK_BYTES, BLOCK_BYTES = 8 << 20, 2 << 20
+PACK_BYTES, BLOCK_BYTES = 4 << 20, 1 << 20
 #: An anchor of more texts is dealt by window: sorting takes some 20 KB for each different stretch.
 HOT_HOLDERS = 8192
 PRIME = 0x9E3779B97F4A7C15
