@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from slowtruth.operators import learn, scan
+from slowtruth.plans import catalog, evaluation
 from slowtruth.sources import events, fixtures
 
 from .conftest import SMALL
@@ -21,3 +23,46 @@ def test_unwrap_finds_escaped_keys_and_keeps_plain_texts(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, body string")
     got = [r.u for r in df.select("i", events.unwrap(F.col("body")).alias("u")).orderBy("i").collect()]
     assert got == ['{"a":1}', '{"a":1}', rows[2], rows[3], None, rows[5], None]
+
+
+def _files(monkeypatch):
+    """Labels and columns of the intermediate tables that are written from now on."""
+    from slowtruth import session
+
+    written, write = [], session.materialize
+
+    def noted(df, label, *args, **kwargs):
+        written.append((label, df.schema))
+        return write(df, label, *args, **kwargs)
+
+    for module in (catalog, learn, scan):
+        monkeypatch.setattr(module, "materialize", noted)
+    return written
+
+
+def test_models_without_features_do_not_carry_them(spark, monkeypatch):
+    written = _files(monkeypatch)
+    pairs = catalog._matched(spark, SMALL, None)
+    evaluation.stage_matched(pairs, features=False)
+    request = dict(written)["events"]["a"].dataType
+    assert not {"features", "x"} & set(request.names)
+    # the bounds of the ranges are drawn from written rows, so that pairing runs once
+    labels = [label for label, _ in written]
+    assert labels.index("matched-unordered") < labels.index("matched")
+
+
+def test_vector_in_place_of_the_map_gives_the_same_rows(spark):
+    by_map, by_vector = (evaluation.matched_rows(catalog._matched(spark, SMALL, kind)) for kind in ("map", "vector"))
+    assert by_map.columns == by_vector.columns
+    assert by_map.exceptAll(by_vector).isEmpty() and by_vector.exceptAll(by_map).isEmpty()
+
+
+def test_linear_model_writes_its_weights_and_no_unused_scores(spark, monkeypatch):
+    staged = evaluation.stage_matched(catalog._matched(spark, SMALL))
+    written = _files(monkeypatch)
+    lean = learn.sgd_prequential(staged, ["steel_grade"], evaluation.X, "residual", keep_z=False)
+    tables = dict(written)
+    assert "weights" in tables and not [n for n in tables["affine"].names if n.endswith("_z")]
+    assert "BroadcastHashJoin" in lean._jdf.queryExecution().sparkPlan().toString()
+    full = learn.sgd_prequential(staged, ["steel_grade"], evaluation.X, "residual")
+    assert lean.select("_rid", "sgd_residual").exceptAll(full.select("_rid", "sgd_residual")).isEmpty()
