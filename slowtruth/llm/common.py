@@ -19,6 +19,9 @@ from pyspark.sql.pandas.types import from_arrow_type, to_arrow_schema  # noqa: F
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows of an Arrow batch that are opened as Python objects at once.
+PART_ROWS = 256
+
 
 def position(df: DataFrame, name: str) -> int:
     """Where the column stands; exact name first, then without case."""
@@ -50,6 +53,13 @@ def restored(df: DataFrame, names: list[str], new: Iterable[str], replaced: Iter
     return df.select(*keep, *[df[n] for n in new])
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, so that only a slice's texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(
     df: DataFrame, columns: list[str], fn: Callable[..., list], fields: list[tuple[str, str]]
 ) -> DataFrame:
@@ -62,7 +72,7 @@ def map_batches(
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             out = fn(*[batch.column(c).to_pylist() for c in columns])
             arrays = [pa.array(values, type=field.type) for values, field in zip(out, added)]
             yield pa.RecordBatch.from_arrays(batch.columns + arrays, names=names)

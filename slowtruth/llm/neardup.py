@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slowtruth.llm.common import numbered, position, restored
+from slowtruth.llm.common import numbered, parts_of, position, restored
 from slowtruth.llm.graph import components
 from slowtruth.session import materialize
 
@@ -33,6 +33,8 @@ MIN_ESTIMATE = 0.5
 CHUNK_SETS, CHUNK_SHINGLES = 2000, 2_000_000
 #: Tables of up to so many rows of one or two numbers are sent to all tasks; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Words whose hash a task keeps: about 200 bytes each, held by every Python worker of an executor.
+KEPT_WORDS = 200_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 PAD = np.iinfo(np.int64).max
 
@@ -43,7 +45,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -83,7 +85,7 @@ def sketches(rows: DataFrame, k: int, size: int) -> DataFrame:
         import xxhash
 
         hashes = WordHashes()
-        for batch in batches:
+        for batch in parts_of(batches):
             n, digest, low = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, hashes, size)
@@ -101,11 +103,9 @@ def full_sets(rows: DataFrame, size: int) -> DataFrame:
     """(row, set) from (row, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(t, hashes, size) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), list_array(sets)], names=["row", "set"])
+        for part in parts_of(batches):
+            sets = [shingle_set(t, hashes, size) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("row"), list_array(sets)], names=["row", "set"])
 
     return rows.mapInArrow(run, "row long, set array<long>")
 
