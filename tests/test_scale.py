@@ -1,8 +1,13 @@
 """What a query must not do, so that its cost grows no faster than its input."""
 
+import pickle
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from slowtruth.operators import learn, scan
+from slowtruth.operators.models import Router, Settings
+from slowtruth.operators.rules import AdaptiveRules, Cover, Rule, RuleParams
 from slowtruth.plans import catalog, evaluation
 from slowtruth.sources import events, fixtures
 
@@ -66,3 +71,62 @@ def test_linear_model_writes_its_weights_and_no_unused_scores(spark, monkeypatch
     assert "BroadcastHashJoin" in lean._jdf.queryExecution().sparkPlan().toString()
     full = learn.sgd_prequential(staged, ["steel_grade"], evaluation.X, "residual")
     assert lean.select("_rid", "sgd_residual").exceptAll(full.select("_rid", "sgd_residual")).isEmpty()
+
+
+def _covers(rule, row):
+    return all((row[feature] > cut) == above for feature, above, cut in rule.literals)
+
+
+def _plain_list(model, z, y):
+    """The rule learner with its list searched from the top for every row."""
+    found = []
+    for row, target in zip(z, y):
+        rule = next((r for r in model.rules if _covers(r, row)), model.default)
+        found.append(model._step(rule, row, model.cover.codes(row[None, :]).tobytes(), target, float((row * row).sum())))
+    return found
+
+
+def test_rules_are_looked_up_by_bits_not_along_the_list():
+    """Rules grow with the rows (a third of a key's rows at 1 GB has thousands): a search along the list is quadratic."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(30_000, 6))
+    y = (300 * z[:, 0] * (z[:, 1] > 0.5) + rng.normal(size=len(z)) * 50 + np.where(np.arange(len(z)) > 20_000, 4000, 0)).tolist()
+    params = RuleParams(n_min=20, tie=0.9)
+    batches, whole, found = AdaptiveRules(6, params), AdaptiveRules(6, params), []
+    for lo in range(0, len(z), 7000):
+        if lo == 14_000:  # as between two rounds
+            batches = AdaptiveRules.load(pickle.loads(pickle.dumps(batches.dump())))
+        found += batches.answers(z[lo: lo + 7000], y[lo: lo + 7000])
+    assert found == _plain_list(whole, z, y)
+    assert batches.alarms > 10 and len(batches.rules) > 130
+    assert [r.literals for r in batches.rules] == [r.literals for r in whole.rules]
+
+
+def test_no_number_is_above_no_cut():
+    z = np.array([[np.nan, 0.0], [0.05, 3.0], [0.06, -9.0], [1e300, np.inf]])
+    rules = [Rule(2, RuleParams(), [literal]) for literal in ((0, True, 0.05), (0, False, -1.95), (1, True, 2.05), (1, False, 2.05))]
+    cover = Cover(2, np.array(RuleParams().cuts), rules)
+    expected = [next((i for i, r in enumerate(rules) if _covers(r, row)), -1) for row in z.tolist()]
+    assert cover.first(cover.codes(z)).tolist() == expected == [cover.first(cover.codes(row[None]))[0] for row in z]
+
+
+def test_states_of_waiting_rows_saved_before_are_read():
+    rng = np.random.default_rng(5)
+    z, y = rng.normal(size=(90, 4)), rng.normal(size=400).tolist()
+    model = AdaptiveRules(4)
+    model.answers(z, y)
+    state = model.dump()
+    state["default"]["waiting"] = list(zip(z, y))
+    assert AdaptiveRules.load(state).default.waiting == model.default.waiting
+
+
+def test_the_router_in_columns_is_the_router_row_by_row():
+    rng = np.random.default_rng(6)
+    b, a = rng.uniform(900, 1100, 2000), rng.uniform(900, 1100, 2000)
+    a[5] = 0.0
+    answers = rng.normal(size=2000) * 150
+    rows, columns = Router(Settings()), Router(Settings())
+    expected = [rows.step(*row) for row in zip(b.tolist(), answers.tolist(), a.tolist())]
+    found = [columns.steps(b[lo: lo + 700], answers[lo: lo + 700], a[lo: lo + 700]) for lo in range(0, 2000, 700)]
+    assert [np.concatenate(c).tolist() for c in zip(*found)] == [list(c) for c in zip(*expected)]
+    assert (rows.model_trust, rows.baseline_trust) == (columns.model_trust, columns.baseline_trust)
