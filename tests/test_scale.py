@@ -3,13 +3,15 @@
 import pickle
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from slowtruth.operators import learn, scan
-from slowtruth.operators.models import Router, Settings
+from slowtruth.operators.models import KeyModels, Router, Settings
 from slowtruth.operators.rules import AdaptiveRules, Cover, Rule, RuleParams
 from slowtruth.plans import catalog, evaluation
 from slowtruth.sources import events, fixtures
+from slowtruth.streaming import serving
 
 from .conftest import SMALL
 
@@ -130,3 +132,113 @@ def test_the_router_in_columns_is_the_router_row_by_row():
     found = [columns.steps(b[lo: lo + 700], answers[lo: lo + 700], a[lo: lo + 700]) for lo in range(0, 2000, 700)]
     assert [np.concatenate(c).tolist() for c in zip(*found)] == [list(c) for c in zip(*expected)]
     assert (rows.model_trust, rows.baseline_trust) == (columns.model_trust, columns.baseline_trust)
+
+
+class CountedState:
+    """One value and the timers of a bucket, in memory; counts the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        assert at not in self.timers
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def _one_by_one(waiting, events, ttl, watermark):
+    """What becomes of one key's new events, event by event: (status, a_at, b_at, decided at)."""
+    out = []
+    lost = lambda e, status, at: out.append((status, *((e[0], None) if e[1] == "A" else (None, e[0])), at))
+    for event in sorted(events):
+        if event[0] <= watermark and watermark > 0:
+            lost(event, "late", watermark + 1000)
+            continue
+        expired = waiting is not None and waiting[0] + ttl <= event[0]
+        if waiting is None:
+            waiting = event
+        elif expired or waiting[1] == event[1]:
+            lost(waiting, "orphan" if expired else "superseded", event[0])
+            waiting = event
+        else:
+            a, b = (waiting, event) if waiting[1] == "A" else (event, waiting)
+            out.append(("matched", a[0], b[0], event[0]))
+            waiting = None
+    return waiting, out
+
+
+def test_a_bucket_of_keys_is_paired_with_a_few_calls_of_the_state():
+    """A call for each event, over a socket, was nearly all of the live job's time."""
+    rng, state, ttl = np.random.default_rng(8), CountedState(), 30_000_000
+    processor = serving.PairProcessor(30.0)
+    processor.init(state)
+    waiting, found, expected, mark = {}, [], [], 0
+    take = lambda frames, into: [into.append(r) for f in frames for r in f[
+        ["slab_id", "pass_number", "status", "a_at", "b_at", "event_ts"]].itertuples(index=False)]
+    for batch in range(6):
+        at = (rng.integers(0, 100, 900) + 60 * batch) * 1_000_000
+        rows = pd.DataFrame({
+            "slab_id": rng.choice([f"s{k}" for k in range(40)] + [None], 900), "pass_number": rng.integers(1, 4, 900).astype("int32"), "at": at,
+            "side": rng.choice(["A", "B"], 900), "steel_grade": "g", "x": [[1.0]] * 900, "baseline": 1.0, "actual": 2.0, "wear_level": 0.0})
+        rows = rows.drop_duplicates(["slab_id", "pass_number", "at", "side"])
+        state.calls = 0
+        clock = type("Clock", (), {"getCurrentWatermarkInMs": staticmethod(lambda: mark)})
+        take(processor.handleInputRows((0,), (rows.iloc[lo: lo + 100] for lo in range(0, len(rows), 100)), clock), found)
+        assert state.calls <= 6
+        for (slab, number), own in rows.groupby(["slab_id", "pass_number"], dropna=False):
+            key = (slab if isinstance(slab, str) else None, number)
+            waiting[key], out = _one_by_one(waiting.get(key), list(zip(own["at"], own["side"])), ttl, mark * 1000)
+            expected += [(*key, *row) for row in out]
+        mark = (60 * batch + 65) * 1000
+        while any(t <= mark for t in state.timers):
+            fired = min(state.timers)
+            state.timers.remove(fired)
+            expired = type("Timer", (), {"getExpiryTimeInMs": staticmethod(lambda: fired)})
+            take(processor.handleExpiredTimer((0,), clock, expired), found)
+        for key, event in waiting.items():
+            if event is not None and event[0] + ttl <= mark * 1000:
+                expected.append((*key, "orphan", *((event[0], None) if event[1] == "A" else (None, event[0])), event[0] + ttl))
+                waiting[key] = None
+        held = serving.unpacked(state.value[0]).to_pandas()
+        assert sorted(zip(held["at"], held["side"])) == sorted(e for e in waiting.values() if e is not None)
+        assert len(state.timers) == 1
+    none = lambda v: None if pd.isna(v) else v
+    got = [(none(r[0]), int(r[1]), r[2], none(r[3]), none(r[4]), r[5].value // 1000) for r in found]
+    plain = [(r[0], int(r[1]), r[2], *[None if v is None else int(v) for v in r[3:]]) for r in expected]
+    got = [(*r[:3], *[None if v is None else int(v) for v in r[3:]]) for r in got]
+    assert sorted(got, key=str) == sorted(plain, key=str)
+    assert {r[2] for r in got} == {"matched", "orphan", "superseded", "late"}
+
+
+def test_models_in_columns_are_the_models_row_by_row():
+    rng = np.random.default_rng(9)
+    x, b, a = rng.normal(size=(1500, 5)), rng.uniform(900, 1100, 1500), rng.uniform(900, 1100, 1500)
+    for challenger in ("rules", "linear", "offset"):
+        rows, columns = KeyModels(5, challenger=challenger), KeyModels(5, challenger=challenger)
+        expected = [rows.step(*row) for row in zip(x, b.tolist(), a.tolist())]
+        found = [columns.steps(x[lo: lo + 400], b[lo: lo + 400], a[lo: lo + 400]) for lo in range(0, 1500, 400)]
+        np.testing.assert_allclose([np.concatenate(c) for c in zip(*found)], [list(c) for c in zip(*expected)], rtol=1e-12)
+        assert rows.dump() == columns.dump() or challenger == "rules"
