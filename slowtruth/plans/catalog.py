@@ -74,7 +74,7 @@ def read_event_stream(spark, sf):
     """Text files as a stream, decoded, written batch by batch, read back."""
     raw = fixtures.raw_messages(spark, sf).where("side = 'A'").select("body")
     source, out, checkpoint = (new_path(spark, n) for n in ("topic", "decoded", "checkpoint"))
-    raw.write.text(source)
+    raw.write.option("compression", "lz4").text(source)
     stream = events.decode_events(events.read_event_stream(spark, source), "request")
     query = (
         stream.select(*PASS_KEYS, "steel_grade", "ts", "baseline_roll_force_kn")
