@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from slowtruth.operators import learn, scan
+from slowtruth.operators import learn, match, scan
 from slowtruth.operators.models import KeyModels, Router, Settings
 from slowtruth.operators.rules import AdaptiveRules, Cover, Rule, RuleParams
 from slowtruth.plans import catalog, evaluation
@@ -251,3 +251,35 @@ def test_the_topic_of_a_replayed_stream_is_written_compressed(spark, monkeypatch
     rows = catalog.read_event_stream(spark, SMALL).count()
     files = [f.path for f in spark.read.format("binaryFile").load(places["topic"]).select("path", "length").collect()]
     assert rows > 0 and files and all(f.endswith(".lz4") for f in files)
+
+
+def test_passes_are_made_once_for_both_sides(spark):
+    for features in (None, "map"):
+        both = fixtures.both_sides(spark, SMALL, features)
+        assert both._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
+        if features is None:
+            for side, expected in (("a", fixtures.requests(spark, SMALL, features=False)), ("b", fixtures.truths(spark, SMALL))):
+                found = both.where(F.col("side") == side.upper()).select(f"{side}.*")
+                assert found.columns == expected.columns
+                assert found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
+
+
+def test_keys_and_times_of_events_are_sent_once(spark):
+    pairs = match.pair_events(fixtures.requests(spark, SMALL, features=False), fixtures.truths(spark, SMALL), ["slab_id", "pass_number"])
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("RepartitionByExpression" in line for line in plan) == 1
+    sent = next(line for line in plan[next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line):] if "Project" in line or "Union" in line)
+    assert "ts#" not in sent.split("named_struct")[0] and "side#" not in sent.split("named_struct")[0]
+
+
+def test_hashes_are_counted_only_in_full_buckets(spark, monkeypatch):
+    from slowtruth.session import materialize
+
+    written = []
+    monkeypatch.setattr(match, "materialize", lambda df, label, *a, **k: written.append(label) or materialize(df, label, *a, **k))
+    monkeypatch.setattr(match, "HOT_BUCKETS", 4)
+    keys = spark.range(3000).select(F.when(F.col("id") < 1100, -1).otherwise(F.col("id")).alias("k"))
+    hot = spark.range(1).select(F.xxhash64(F.lit(-1).cast("long")).alias("h")).first()["h"]
+    assert match.hot_key_table(keys, ["k"], 2900).isEmpty() and written == ["hot-buckets"]
+    assert [r[0] for r in match.hot_key_table(keys, ["k"], 1000).collect()] == [hot] and written[-1] == "hot-keys"
+    assert match.hot_key_table(keys, ["k"], 1100).isEmpty()
