@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slowtruth.operators import learn, match, scan
 from slowtruth.operators.models import KeyModels, Router, Settings
-from slowtruth.operators.rules import AdaptiveRules, Cover, Rule, RuleParams
+from slowtruth.operators.rules import AdaptiveRules, Cover, PageHinkley, Rule, RuleParams
 from slowtruth.plans import catalog, evaluation
 from slowtruth.sources import events, fixtures
 from slowtruth.streaming import serving
@@ -32,6 +32,33 @@ def test_unwrap_finds_escaped_keys_and_keeps_plain_texts(spark):
     assert got == ['{"a":1}', '{"a":1}', rows[2], rows[3], None, rows[5], None]
 
 
+def test_drift_runs_in_blocks_and_gives_what_a_row_loop_gives(spark, tiny_blocks, monkeypatch):
+    """No key goes through one task; alarms in every block, in none, at block borders, numbers that are none, a null key."""
+    monkeypatch.delattr(learn, "ordered_pass")
+    noise = np.random.default_rng(4).random(300)
+    series = {
+        "often": noise + np.arange(300) % 40, "never": noise, "late": noise + (np.arange(300) > 200) * 9, None: noise * 30,
+        "none": np.where(np.arange(300) == 150, np.nan, noise * 30), "short": noise[:1],
+    }
+    data = [(k, i, f"{k}-{i}", float(v)) for k, values in series.items() for i, v in enumerate(values)]
+    staged = scan.stage_order(spark.createDataFrame(data, "k string, t long, name string, e double"), ["k"], ["t"])
+    found = learn.drift_detect(staged, ["k"], "e", warmup=5, keep=["t", "name"]).collect()
+    assert len(found) == len(data)
+    by_row = {(r["k"], r["t"]): r for r in found}
+    some = {}
+    for k, values in series.items():
+        test = PageHinkley(0.005, 35.0, 5)
+        for i, v in enumerate(values.tolist()):
+            alarm, r = test.add(v), by_row[k, i]
+            assert r["name"] == f"{k}-{i}" and r["alarm"] == int(alarm)
+            for got, want in ((r["running_mean"], test.mean), (r["excess"], test.cum - test.low)):
+                assert got == want or (np.isnan(want) and (got is None or np.isnan(got)))
+            some[k] = some.get(k, 0) + alarm
+            if alarm:
+                test.reset()
+    assert some["often"] > 5 and some["never"] == 0 and some["late"] >= 1 and some[None] > 3
+
+
 def _files(monkeypatch):
     """Labels and columns of the intermediate tables that are written from now on."""
     from slowtruth import session
