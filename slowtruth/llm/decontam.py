@@ -11,14 +11,15 @@ pattern text, so what is sent to the tasks has a fixed bound; each further block
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slowtruth.llm.common import LOWER, UPPER, numbered, position, restored, take
+from slowtruth.llm.common import LOWER, UPPER, numbered, parts_of, position, restored, take, to_arrow_schema
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -27,6 +28,7 @@ FOLD = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
     for c in range(256)
 )
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SPAN = "array<struct<first_word:long,last_word:long,start:long,end:long>>"
 FIELDS = [
@@ -59,25 +61,20 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
     )
 
 
-def blocks_of(windows: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, list[str]]]]:
-    """The windows, in lists of at most about ``block_bytes``."""
+def blocks_of(windows: DataFrame, block_bytes: int) -> Iterator[tuple[list[tuple[str, list[str]]], bool]]:
+    """The windows, in lists of at most about ``block_bytes``, and whether a list is the last one."""
     cost = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x)) + 64
     total = windows.agg(F.sum(cost)).first()[0] or 0
     n = -(-total // block_bytes) or 1
     for k in range(n):
         part = windows if n == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k)
-        yield [(r["window"], r["items"]) for r in part.collect()]
+        yield [(r["window"], r["items"]) for r in part.collect()], k == n - 1
 
 
-def scan(docs: DataFrame, column: str, patterns: list[tuple[str, list[str]]]) -> DataFrame:
-    """Append the hits of one block of windows to all rows: (first word, last word) pairs and item ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+def scan(shared: Broadcast, column: str, k: int) -> Step:
+    """A step that appends the hits of block ``k`` to all rows: (first word, last word) pairs and item ids."""
     pairs, ids = pa.list_(pa.int64()), pa.list_(pa.string())
-    schema = T.StructType(docs.schema.fields + [
-        T.StructField("count", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())),
-        T.StructField("found", T.ArrayType(T.StringType())),
-    ])
-    names = [f.name for f in schema.fields]
+    added = [f"count{k}", f"hits{k}", f"found{k}"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -89,7 +86,7 @@ def scan(docs: DataFrame, column: str, patterns: list[tuple[str, list[str]]]) ->
         ready = bool(shared.value)
         if ready:
             automaton.make_automaton()
-        for batch in batches:
+        for batch in parts_of(batches):
             counts, hits, found = [], [], []
             for text in batch.column(column).to_pylist():
                 words = fold(text)
@@ -108,11 +105,10 @@ def scan(docs: DataFrame, column: str, patterns: list[tuple[str, list[str]]]) ->
                         items.update(holders)
                 hits.append(spans)
                 found.append(sorted(items))
-            yield pa.RecordBatch.from_arrays(
-                batch.columns + [pa.array(counts, pa.int64()), pa.array(hits, pairs), pa.array(found, ids)], names=names
-            )
+            new = [pa.array(counts, pa.int64()), pa.array(hits, pairs), pa.array(found, ids)]
+            yield pa.RecordBatch.from_arrays(batch.columns + new, names=batch.schema.names + added)
 
-    return docs.mapInArrow(run, schema)
+    return run
 
 
 def merged(numbers: list[int]) -> list[tuple[int, int]]:
@@ -126,37 +122,16 @@ def merged(numbers: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-                   item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All rows of ``docs`` with what they share with the benchmark.
-
-    ``n_words`` and ``n_hit`` (words inside an occurrence of a window), ``spans`` (maximal runs of such words: first
-    and last word, start and end character of the original text, end exclusive), ``items`` (ids as strings, sorted),
-    ``n_items``, ``contaminated`` (a word is hit).
+def finish(keep: list[str], column: str, n_blocks: int) -> Step:
+    """A step that turns the hits of all blocks into the columns of ``FIELDS``."""
+    kinds = to_arrow_schema(T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in FIELDS])).types
+    names = keep + [n for n, _ in FIELDS]
 
-    Null and empty texts have no words and no hits. An empty benchmark hits nothing. Rows are judged one by one, so
-    repeated rows get equal results. Windows that several items share name all of them.
-    """
-    at = position(docs, text)
-    out, added = numbered(docs), []
-    for k, block in enumerate(blocks_of(item_windows(benchmark, item_id, item_text, window), block_bytes)):
-        found = scan(out, f"_{at}", block)
-        out = found.withColumnsRenamed({"count": f"count{k}", "hits": f"hits{k}", "found": f"found{k}"})
-        added.append(k)
-    fields = [T.StructField(n, T._parse_datatype_string(t)) for n, t in FIELDS]
-    keep = [f"_{i}" for i in range(len(docs.columns))]
-    kinds = [T._parse_datatype_string(t) for _, t in FIELDS]
-    schema = T.StructType([f for f in out.schema.fields if f.name in keep] + fields)
-    names = [f.name for f in schema.fields]
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        types = [to_arrow_type(k) for k in kinds]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = list(zip(*[batch.column(f"hits{k}").to_pylist() for k in added]))
-            found = list(zip(*[batch.column(f"found{k}").to_pylist() for k in added]))
-            original = batch.column(f"_{at}")
+            hits = list(zip(*[batch.column(f"hits{k}").to_pylist() for k in range(n_blocks)]))
+            found = list(zip(*[batch.column(f"found{k}").to_pylist() for k in range(n_blocks)]))
+            original = batch.column(column)
             spans, items = [], []
             for row, (numbers, ids) in enumerate(zip(hits, found)):
                 runs = merged([x for block in numbers for x in block])
@@ -167,10 +142,40 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
                 items.append(sorted({x for block in ids for x in block}))
             n_hit = [sum(r["last_word"] - r["first_word"] + 1 for r in runs) for runs in spans]
             new = [batch.column("count0"), n_hit, spans, items, [len(x) for x in items], [n > 0 for n in n_hit]]
-            arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(new, types)]
+            arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(new, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + arrays, names=names)
 
-    return restored(out.mapInArrow(finish, schema), docs.columns, [n for n, _ in FIELDS])
+    return run
+
+
+def then(first: Step, second: Step) -> Step:
+    """Both steps in one worker."""
+    return lambda batches: second(first(batches))
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
+                   item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All rows of ``docs`` with what they share with the benchmark.
+
+    ``n_words`` and ``n_hit`` (words inside an occurrence of a window), ``spans`` (maximal runs of such words: first
+    and last word, start and end character of the original text, end exclusive), ``items`` (ids as strings, sorted),
+    ``n_items``, ``contaminated`` (a word is hit).
+
+    Null and empty texts have no words and no hits. An empty benchmark hits nothing. Rows are judged one by one, so
+    repeated rows get equal results. Windows that several items share name all of them.
+    """
+    at = position(docs, text)
+    out = numbered(docs)
+    keep, kept = out.columns, out.schema.fields
+    schema = T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t)) for n, t in FIELDS])
+    for k, (block, last) in enumerate(blocks_of(item_windows(benchmark, item_id, item_text, window), block_bytes)):
+        run = scan(docs.sparkSession.sparkContext.broadcast(block), f"_{at}", k)
+        if last:  # in the worker that finds the last hits, so that the texts travel once less
+            out = out.mapInArrow(then(run, finish(keep, f"_{at}", k + 1)), schema)
+        else:
+            hits = T._parse_datatype_string(f"count{k} long, hits{k} array<long>, found{k} array<string>")
+            out = out.mapInArrow(run, T.StructType(out.schema.fields + hits.fields))
+    return restored(out, docs.columns, [n for n, _ in FIELDS])
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
