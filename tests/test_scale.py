@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from slowtruth.functions import expr
 from slowtruth.operators import learn, match, scan
 from slowtruth.operators.models import KeyModels, Router, Settings
 from slowtruth.operators.rules import AdaptiveRules, Cover, PageHinkley, Rule, RuleParams
@@ -102,6 +103,83 @@ def test_linear_model_writes_its_weights_and_no_unused_scores(spark, monkeypatch
     assert lean.select("_rid", "sgd_residual").exceptAll(full.select("_rid", "sgd_residual")).isEmpty()
 
 
+def _exchanged(df):
+    """Of the plan of ``df``: how often rows are shuffled other than to be broadcast."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def _same(found, expected):
+    """The same rows but for the last digits, which go with the order in which Spark adds."""
+    frames = [df.toPandas().sort_values(["slab_id", "pass_number"]).reset_index(drop=True) for df in (found, expected)]
+    pd.testing.assert_frame_equal(frames[0], frames[1][frames[0].columns], rtol=1e-9, atol=1e-9)
+
+
+def test_blocks_of_rows_in_order_are_neither_shuffled_nor_written_again(spark, monkeypatch):
+    """The rows, with their answers as functions of the weights, were two thirds of what the linear model moved."""
+    staged = evaluation.stage_matched(catalog._matched(spark, SMALL))
+    assert scan.in_place(staged) and not scan.in_place(staged.repartition(3))
+    written = _files(monkeypatch)
+    rows = learn.sgd_prequential(staged, ["steel_grade"], evaluation.X, "residual", keep_z=False)
+    assert _exchanged(rows) == 0
+    assert all(not {"baseline", *evaluation.X} & set(schema.names) for _, schema in written)
+    scored = scan.whole_blocks(rows, "sgd")
+    assert scan.in_place(scored) and _exchanged(scan.ewma(scored, ["steel_grade"], {"sgd_residual": "s"}, 0.2)) == 0
+    moved = learn.sgd_prequential(staged.repartition(3), ["steel_grade"], evaluation.X, "residual", keep_z=False)
+    _same(rows, moved)
+
+
+def test_blocks_that_came_apart_are_refused(spark, tiny_blocks):
+    import pytest
+
+    rows = spark.range(0, 64, 1, 1).select(F.lit("k").alias("k"), F.col("id").alias("x"))
+    apart = scan.stage_order(rows, ["k"], ["x"]).where("x % 2 = 0").union(scan.stage_order(rows, ["k"], ["x"]).where("x % 2 = 1"))
+    fake = scan.whole_blocks(apart.repartition(4), "apart")
+    step = scan.ewma_step(None, {"x": "s"}, 0.2)
+    step = scan.Step(None, ["x"], step.adds, lambda values, state: {"s_prior": scan.floats(values["x"]), "s": scan.floats(values["x"])})
+    with pytest.raises(Exception, match="whole blocks"):
+        scan.run_blocks(fake, ["k"], 3, [step]).collect()
+
+
+def test_averages_in_place_are_those_of_the_window(spark, tiny_blocks):
+    """Nulls add nothing, a null key is a key, a key may begin inside a block."""
+    data = [(k, t, None if t % 7 == 3 else float(t * t % 11)) for k, n in (("a", 21), (None, 30), ("c", 5)) for t in range(n)]
+    rows = spark.createDataFrame(data, "k string, t long, x double")
+    whole, plain = (scan.ewma(scan.stage_order(rows, ["k"], ["t"], whole=w), ["k"], {"x": "s"}, 0.2) for w in (True, False))
+    assert _exchanged(whole) == 0 < _exchanged(plain)
+    columns = ["k", "t", "s", "s_prior"]
+    found, expected = (df.toPandas()[columns].sort_values(["k", "t"], na_position="first").reset_index(drop=True) for df in (whole, plain))
+    pd.testing.assert_frame_equal(found, expected, rtol=1e-12)
+
+
+def test_the_learner_gets_its_rows_by_round_without_writing_them(spark, monkeypatch):
+    """The z-scores of all rows were written for the rounds, 128 bytes a row."""
+    monkeypatch.setattr(scan, "BLOCK_BITS", 5)
+    pairs = catalog._matched(spark, SMALL).localCheckpoint()
+    written = _files(monkeypatch)
+    rounds = evaluation.prequential_eval(pairs, rows_per_round=500)[0]
+    labels = [label for label, _ in written]
+    assert labels.count("rules") > 2 and "rules-rounds" not in labels
+    assert not {c for label, schema in written for c in schema.names if c.endswith("_z")}
+    whole = evaluation.prequential_eval(pairs)[0]
+    _same(rounds, whole)
+    monkeypatch.setattr(learn, "SPANS", 0)
+    many = evaluation.prequential_eval(pairs, rows_per_round=500)[0]
+    assert "rules-rounds" in [label for label, _ in written]
+    _same(many, whole)
+
+
+def test_what_can_be_derived_is_not_staged(spark, monkeypatch):
+    written = _files(monkeypatch)
+    staged = evaluation.stage_matched(catalog._matched(spark, SMALL))
+    for label in ("matched-unordered", "matched"):
+        assert not {"residual", *evaluation.X[evaluation.MEASURED:]} & set(dict(written)[label].names)
+    found = staged.select("slab_id", "pass_number", "residual", *evaluation.X)
+    rows = expr.once(fixtures.requests(spark, SMALL), "v", expr.feature_vector(F.col("features")))
+    rows = rows.select("slab_id", "pass_number", *[F.col("v")[i].alias(x) for i, x in enumerate(evaluation.X)])
+    assert found.count() > 0 and found.drop("residual").exceptAll(rows).isEmpty()
+
+
 def _covers(rule, row):
     return all((row[feature] > cut) == above for feature, above, cut in rule.literals)
 
