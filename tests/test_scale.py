@@ -358,6 +358,18 @@ def test_the_topic_of_a_replayed_stream_is_written_compressed(spark, monkeypatch
     assert rows > 0 and files and all(f.endswith(".lz4") for f in files)
 
 
+def test_the_topics_of_the_live_job_are_written_compressed(spark, monkeypatch):
+    """Both runs' messages: as plain text they were most of what the live job's queries wrote."""
+    places, place = {}, catalog.new_path
+    monkeypatch.setattr(catalog, "new_path", lambda spark, label: places.setdefault(label, place(spark, label)))
+    monkeypatch.setattr(catalog, "_worked_off", lambda *args: None)
+    monkeypatch.setattr(serving, "read_served", lambda *args: None)
+    catalog._served(spark, SMALL)
+    for side in "AB":
+        files = [f.path for f in spark.read.format("binaryFile").load(places[f"topic-{side}"]).select("path", "length").collect()]
+        assert files and all(f.endswith(".lz4") for f in files)
+
+
 def test_passes_are_made_once_for_both_sides(spark):
     for features in (None, "map"):
         both = fixtures.both_sides(spark, SMALL, features)
